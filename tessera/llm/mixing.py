@@ -23,6 +23,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def targets(sources: DataFrame) -> DataFrame:
     """Targets by source from (source, source_size): weights 3, 1, 2, repeating by code
     point, null last; a target stops at twice its source, the excess goes to the others
@@ -46,24 +50,25 @@ def targets(sources: DataFrame) -> DataFrame:
     return leveled.select("source", "rank", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Every row of docs(doc_id, source, text) with size, source_size, target and taken.
+def mix(docs: DataFrame) -> DataFrame:
+    """Every row of docs(doc_id, source, text): doc_id, size, source_size, target, taken,
+    times (how often the mix takes it), text_hash.
 
     Null texts and texts without words have size 0 and are never taken; a null source is
     a source of its own; equal rows are served one by one; an empty table gives no rows.
-    ``carry`` names further columns to keep. Only counts and keys are sorted: prefix sums
+    Only counts and keys are sorted: prefix sums
     run per (source, digest bucket) with bucket offsets, so a hot source is spread over
     4096 buckets, and only the time step where the budget ends is sorted row by row.
     """
     digest = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), digest.alias("u"), F.substring(digest, 1, 3).alias("bucket"), *carry), "mix-rows")
+    rows = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), digest.alias("u"), F.substring(digest, 1, 3).alias("bucket"), text_hash(F.col("text")).alias("text_hash")), "mix-rows")
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     goals = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")))
     offsets = buckets.select("source", "bucket", F.coalesce(before, F.lit(0)).alias("before")).alias("o").join(goals.alias("g"), F.col("o.source").eqNullSafe(F.col("g.source"))).select("o.source", "bucket", "before", "rank", "source_size", "target")
-    own = Window.partitionBy("source", "bucket").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("source", "bucket").orderBy("u", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
     queued = rows.select("*", F.sum("size").over(own).alias("run")).alias("r").join(offsets.alias("o"), F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("r.bucket") == F.col("o.bucket")))
-    queued = stage(queued.select("r.doc_id", "r.source", "size", "u", *carry, "rank", "source_size", "target", (F.col("before") + F.col("run")).alias("done")), "mix-queue")
+    queued = stage(queued.select("r.doc_id", "r.source", "size", "u", "text_hash", "rank", "source_size", "target", (F.col("before") + F.col("run")).alias("done")), "mix-queue")
 
     def finish(done):
         return done.cast("double") / F.col("target")
@@ -87,4 +92,15 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     last = inside.groupBy("rank").agg(*[F.max(F.when(F.col("x.e") == i, F.col("done"))).alias(f"last{i}") for i in range(REPEATS)])
     out = queued.join(last, "rank", "left")
     times = sum((F.when((step(e) < at) | ((step(e) == at) & (F.col("done") <= F.col(f"last{i}"))), 1).otherwise(0) for i, e in enumerate(epochs)), F.lit(0))
-    return out.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * times).otherwise(F.lit(0)).cast("long").alias("taken"), F.when(F.col("size") > 0, times).otherwise(0).cast("int").alias("times"), *carry)
+    return out.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * times).otherwise(F.lit(0)).cast("long").alias("taken"), F.when(F.col("size") > 0, times).otherwise(0).cast("int").alias("times"), "text_hash")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """docs, with its own columns, each row as often as the mix takes it. Only the
+    narrow decisions and docs itself, once by doc_id, are shuffled; rows with one doc_id
+    are told apart by their texts' hashes, wholly repeated ones by number."""
+    chosen = mix(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("text_hash", F.col("times")))).alias("__times")).withColumnRenamed("doc_id", "__id")
+    placed = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("__id"))).withColumn("__h", text_hash(F.col("text")))
+    n = F.row_number().over(Window.partitionBy("__id").orderBy("__h"))
+    repeated = placed.withColumn("__n", F.when(F.size("__times") > 1, n).otherwise(1)).withColumn("__k", F.element_at("__times", F.col("__n"))["times"])
+    return repeated.where("__k > 0").withColumn("__e", F.explode(F.sequence(F.lit(1), F.col("__k")))).select(*docs.columns)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_staged, rolling, stage, word_hashes
+from .common import components, rolling, stage, word_hashes
 
 WORDS, LINK, OF = 5, 80, 100
 #: Counters of the frequency sketch (2**SKETCH), keys of a map block and of a reduce range, rows of a tile block.
@@ -134,8 +134,8 @@ def _documents(docs: DataFrame, classes, ranges: int) -> DataFrame:
         import xxhash
         from pyspark import TaskContext
 
-        names = ["doc_id", "gid", "n", "sid", "r", "keys", "ords"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+        names = ["doc_id", "gid", "n", "sid", "r", "keys", "ords", "h"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
         base = TaskContext.get().partitionId() << 36
         shingles, keys, ords, held_keys, at = shingler(), [], [], 0, 0
         step = (1 << 64) // ranges + 1
@@ -149,7 +149,7 @@ def _documents(docs: DataFrame, classes, ranges: int) -> DataFrame:
             cuts = np.flatnonzero(np.diff(r)) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(r)]])
             n = len(starts)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, kinds[0]), pa.array([base] * n, kinds[1]), pa.nulls(n, kinds[2]), pa.nulls(n, kinds[3]), pa.array(r[starts], kinds[4]), pa.array([k[a:b].tobytes() for a, b in zip(starts, ends)], kinds[5]), pa.array([o[a:b].tobytes() for a, b in zip(starts, ends)], kinds[6])], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, kinds[0]), pa.array([base] * n, kinds[1]), pa.nulls(n, kinds[2]), pa.nulls(n, kinds[3]), pa.array(r[starts], kinds[4]), pa.array([k[a:b].tobytes() for a, b in zip(starts, ends)], kinds[5]), pa.array([o[a:b].tobytes() for a, b in zip(starts, ends)], kinds[6]), pa.nulls(n, kinds[7])], names=names)
 
         for batch in batches:
             ids, sizes, sids, got = [], [], [], []
@@ -166,14 +166,14 @@ def _documents(docs: DataFrame, classes, ranges: int) -> DataFrame:
             if got:
                 ords.append(tuple(np.array(x) for x in zip(*got)))
             n = len(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, kinds[1]), pa.array(sizes, kinds[2]), pa.array(sids, kinds[3]), pa.nulls(n, kinds[4]), pa.nulls(n, kinds[5]), pa.nulls(n, kinds[6])], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, kinds[1]), pa.array(sizes, kinds[2]), pa.array(sids, kinds[3]), pa.nulls(n, kinds[4]), pa.nulls(n, kinds[5]), pa.nulls(n, kinds[6]), batch.column("h")], names=names)
             if held_keys > BLOCK_KEYS:
                 yield packed()
                 keys, ords, held_keys = [], [], 0
         if keys:
             yield packed()
 
-    return stage(docs.mapInArrow(run, "doc_id long, gid long, n int, sid binary, r int, keys binary, ords binary"), "ngram-docs")
+    return stage(docs.mapInArrow(run, "doc_id long, gid long, n int, sid binary, r int, keys binary, ords binary, h long"), "ngram-docs")
 
 
 def _shared_keys(packed: DataFrame, partitions: int) -> DataFrame:
@@ -265,19 +265,19 @@ def _tile_pairs(members: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_shingles, component_id.
+    """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, text_hash.
 
     Words are separated by ASCII white space, A-Z lower-cased. A text with fewer than
     five words is one shingle; a null, empty or blank text has none, links with nothing
     and is its own component. component_id is the smallest non-null doc_id that links
     reach (null if there is none). Repeated rows and doc_ids are each returned.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("h"))
     counts = frequencies(texts.select("text"))
     ranges = int(max(8, counts.sum() // 5 // RANGE_KEYS))
     both = _documents(texts, ranks(counts), ranges)
-    rows = both.where("r is null").select("doc_id", "gid", "n", "sid")
+    rows = both.where("r is null").select("doc_id", "gid", "n", "sid", "h")
     sets = rows.where("sid is not null").groupBy("sid").agg(F.min("gid").alias("id"), F.min("doc_id").alias("low"), F.first("n").alias("n"))
     sets = stage(sets, "ngram-sets")  # one row a distinct set
     shared = _shared_keys(both.where("r is not null").select("r", "gid", "keys", "ords"), ranges)
@@ -289,9 +289,12 @@ def join(docs: DataFrame) -> DataFrame:
     several = members.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y")
     members = stage(members.join(several.select("key"), "key", "left_semi"), "ngram-members")
     active = members.select("id").distinct()
-    # Texts of sets that share a key; a row whose set is another (doc_ids may repeat) is left out.
-    wanted = sets.join(active, "id", "left_semi").join(rows.select(F.col("gid").alias("id"), "doc_id"), "id").select("id", "sid", "doc_id")
-    full = stage(_arrays(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("id", "sid", "text")), "ngram-sets-full")
+    # Texts of sets that share a key.
+    wanted = sets.join(active, "id", "left_semi").join(rows.select(F.col("gid").alias("id"), "doc_id", "h"), "id").select("id", "sid", F.col("doc_id").alias("d"), F.col("h").alias("x"))
+    full = _arrays(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"]) & (texts["h"] == wanted["x"])).select("id", "sid", "text"))
+    if not rows.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
+        full = full.dropDuplicates(["id"])  # repeated rows: one stands for its set
+    full = stage(full, "ngram-sets-full")
     signatures = full.select("id", "n", "bits")
     stars = members.withColumn("band", band).join(tiles.where("low <> high"), ["key", "band"])
     pairs = stars.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -306,8 +309,8 @@ def join(docs: DataFrame) -> DataFrame:
     placed = sets.join(roots, sets["id"] == roots["node"], "left").select("sid", "low", F.coalesce("root", "id").alias("root"))
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     known = placed.select("sid", "root").join(lows, "root").select("sid", "component_id")
-    del spark
-    return rows.join(known, "sid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.join(known, "sid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("h").alias("text_hash"))
 
 
 def _arrays(wanted: DataFrame) -> DataFrame:
@@ -331,13 +334,19 @@ def _arrays(wanted: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs, with its own columns, keeping of each component the row of the smallest
-    doc_id; of repeated rows with that doc_id, the one with the smallest text digest.
-    Rows without words stay."""
-    found = join(docs).where("n_shingles > 0").select("doc_id", "component_id").distinct()
-    losers = found.groupBy("doc_id").agg(F.max(F.expr("not (doc_id <=> component_id)")).alias("goes")).where("goes").select(F.col("doc_id").alias("__loser"))
-    kept = docs.join(losers, F.col("doc_id") == F.col("__loser"), "left_anti")
-    return kept
-
-
-__all__ = ["bitmap", "deduplicate", "drop_staged", "join", "prefix", "shingler"]
+    """docs, with its own columns, with one row of each component: that of its smallest
+    doc_id (null after all others; of equal ones the smallest text hash, and of wholly
+    repeated rows any one). Rows without words stay, all of them."""
+    found = stage(join(docs).where("n_shingles > 0").groupBy("doc_id", "component_id", "text_hash").agg(F.count("*").alias("copies")), "ngram-found")
+    # A component's rows carry its smallest doc_id; several may where doc_ids repeat.
+    heads = found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("d")).agg(F.min("text_hash").alias("first"))
+    marked = found.join(heads, found["doc_id"].eqNullSafe(heads["d"]), "left")
+    stays = F.expr("doc_id <=> component_id and text_hash = first")
+    losers = marked.where(~F.coalesce(stays, F.lit(False))).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"))
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    kept = docs.join(losers, docs["doc_id"].eqNullSafe(F.col("__d")) & (text == F.col("__h")), "left_anti")
+    again = marked.where(stays & (F.col("copies") > 1)).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"))
+    if again.isEmpty():
+        return kept
+    same = docs["doc_id"].eqNullSafe(F.col("__d")) & (text == F.col("__h"))
+    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -52,7 +52,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return ngram_join.join(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +62,41 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_media_columns, op2_weighted_fair_mix, op3_decontamination, op4_language_id, op5_secret_scan, op6_lm_scores, op7_virtual_slots, op8_token_files, op9_ngram_jaccard_join, op10_suffix_repeats)}
 
-ORACLE_SQL: dict[str, str] = {}
+# Sources by cap / weight: the level is the first that the next source's cap admits; finish times order the rest.
+OP2_SQL = r"""
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
+                  md5('mix:' || coalesce(cast(doc_id as varchar), '')) as u from documents),
+s as (select source, sum(size)::bigint as source_size from d group by source),
+r as (select *, row_number() over (order by source is null, source) - 1 as rank from s),
+w as (select *, [3, 1, 2][(rank % 3 + 1)::int] as w, source_size * 2 as cap from r),
+l as (select *, row_number() over o as place, lead(cap / w::double) over o as next,
+             (sum(source_size) over () * 1.5::double - sum(cap) over (o rows unbounded preceding)) / nullif(sum(w) over () - sum(w) over (o rows unbounded preceding), 0)::double as after,
+             sum(source_size) over () * 1.5::double / sum(w) over () as even, min(cap / w::double) over () as lowest
+      from w window o as (order by cap / w::double, rank)),
+g as (select source, rank, source_size, coalesce(least(cap::double, w * case when (select any_value(even <= lowest) from l) then even
+             else (select arg_min(after, place) from l where after <= next) end), cap::double) as target from l),
+q as (select doc_id, size, rank, source_size, target, sum(size) over (partition by d.source order by u, doc_id, size rows unbounded preceding) as done
+      from d join g on d.source is not distinct from g.source),
+e as (select *, e, (done + e * source_size)::double / target as f from q, (values (0), (1)) as t(e) where size > 0),
+t as (select *, sum(size) over (order by least(floor(f * 4096), 16384), f, rank, e, done rows unbounded preceding) as upto from e),
+k as (select doc_id, rank, done, count(*) as times from t where upto <= (select sum(size) * 1.5::double from d) group by all)
+select q.doc_id, q.size::bigint as size, q.source_size, q.target, (q.size * coalesce(k.times, 0))::bigint as taken
+from q left join k on q.doc_id = k.doc_id and q.rank = k.rank and q.done = k.done and q.size > 0
+"""
+
+OP3_SQL = r"""
+with dw as (select doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+bw as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null),
+bs as (select item_id, w, least(13, len(w)) as k from bw where len(w) > 0),
+grams as (select distinct k, array_to_string(w[i:i + k - 1], ' ') as g, item_id from (select *, unnest(range(1, len(w) - k + 2)) as i from bs)),
+sizes as (select distinct k from grams),
+dg as (select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') as g from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from dw, sizes where len(w) >= k)),
+hits as (select doc_id, k, i, item_id from dg join grams using (k, g)),
+n as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from hits) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as list from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
+select dw.doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(list, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) as contaminated
+from dw left join n using (doc_id) left join items using (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_weighted_fair_mix": OP2_SQL, "op3_decontamination": OP3_SQL}

@@ -42,6 +42,7 @@ def _positions(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        names = ["doc_id", "h", "gid", "n", "tid", "grams", "places"]
         hashes, gid = word_hashes(), TaskContext.get().partitionId() << 36
         for batch in batches:
             out = []
@@ -51,9 +52,9 @@ def _positions(docs: DataFrame) -> DataFrame:
                 out.append((gid, len(h), xxhash.xxh128_digest(h.tobytes()) if len(h) >= PASSAGE else None, grams.view(np.int64), at.astype(np.int32)))
                 gid += 1
             if out:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, zip(*out), kinds)], names=["doc_id", "gid", "n", "tid", "grams", "places"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *map(pa.array, zip(*out), kinds)], names=names)
 
-    return stage(docs.mapInArrow(run, "doc_id long, gid long, n long, tid binary, grams array<long>, places array<int>"), "suffix-docs")
+    return stage(docs.mapInArrow(run, "doc_id long, h long, gid long, n long, tid binary, grams array<long>, places array<int>"), "suffix-docs")
 
 
 def _contexts(wanted: DataFrame) -> DataFrame:
@@ -119,14 +120,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     each other whole. Null, empty and shorter texts have no spans; every row is returned.
     Repeats inside one document alone do not count.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("h"))
     rows = _positions(texts)
     unique = stage(rows.where("tid is not null").groupBy("tid").agg(F.min("gid").alias("id"), F.count("*").alias("copies")), "suffix-unique")
     found = rows.join(unique.select("id"), rows["gid"] == unique["id"], "left_semi").select(F.col("gid").alias("id"), F.explode(F.arrays_zip("grams", "places")).alias("x")).select("id", F.col("x.grams").alias("gram"), F.col("x.places").alias("place"))
     several = found.groupBy("gram").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("gram")
     places = found.join(several, "gram", "left_semi").groupBy("id").agg(F.collect_list("place").alias("at"))
-    wanted = stage(places.join(rows.select(F.col("gid").alias("id"), "doc_id", "tid"), "id"), "suffix-places")
-    near = stage(_contexts(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("id", "tid", "text", "at")).withColumn("digest", F.xxhash64("context")), "suffix-contexts")
+    wanted = stage(places.join(rows.select(F.col("gid").alias("id"), F.col("doc_id").alias("d"), F.col("h").alias("x"), "tid"), "id"), "suffix-places")
+    near = stage(_contexts(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"]) & (texts["h"] == wanted["x"])).select("id", "tid", "text", "at")).withColumn("digest", F.xxhash64("context")), "suffix-contexts")
     # A passage that very many documents share has few distinct contexts; they are one row here, combined map-side.
     distinct = near.groupBy("gram", "digest", "left", "right").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("context").alias("context"))
 
