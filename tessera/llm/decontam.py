@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -50,7 +51,7 @@ class GramSet:
     def scan(self, words: list[bytes]):
         """(hit words as a boolean array, items whose windows occur)."""
         hit, items, get = np.zeros(len(words), bool), set(), self.ids.get
-        numbers = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
+        numbers = np.fromiter(map(get, words, repeat(0)), np.int32, len(words))
         gaps = np.concatenate([[0], np.cumsum(numbers == 0)])
         for size, grams in self.grams.items():
             if len(numbers) < size or not (ok := np.flatnonzero(gaps[size:] == gaps[:-size])).size:

@@ -9,6 +9,8 @@ its own copy in one pass; copies are averaged by their tokens, so all data take
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,7 +95,7 @@ def _sequences(texts: list[bytes], classes: dict):
     get, lines = classes.get, []
     for t in texts:
         words = t.split()
-        lines.append(np.fromiter((get(w, OTHER) for w in words), np.int32, len(words)))
+        lines.append(np.fromiter(map(get, words, repeat(OTHER)), np.int32, len(words)))
     stop = np.full(1, STOP, np.int32)
     w = np.concatenate([x for line in lines for x in (line, stop)])
     ends = np.cumsum([len(line) + 1 for line in lines])

@@ -5,12 +5,11 @@ union. The join is exact (on 64-bit shingle hashes) and never meets all pairs:
 
 1. A fixed-size sketch of document frequencies orders shingles, frequent ones last. Two
    linked sets share one of the first n - ceil(0.8 n) + 1 shingles in that order.
-2. Rows that share such a shingle form a tile group, cut into bands of sizes. Each tile's
-   rows are first compared with one pivot; verified links give components.
-3. In groups that still hold several components, rows of one band meet rows of the same
-   and the next band, in blocks. Equal components are skipped, and bit counts of the two
-   bitmaps' difference bound the overlap from above.
-4. What remains is intersected exactly, sorted array against sorted array.
+2. Rows that share such a shingle and a band of sizes form a tile. Each tile's rows are
+   first compared with a few pivots; the links found give components.
+3. Rows that share a shingle but not a component meet, as far as their sizes can link.
+4. Bit counts of the two bitmaps' difference bound a pair's overlap from above; what
+   that admits is intersected exactly, sorted array against sorted array.
 """
 
 from __future__ import annotations
@@ -22,24 +21,33 @@ from pyspark.sql import functions as F
 from .common import components, rolling, stage, word_hashes
 
 WORDS, LINK, OF = 5, 80, 100
-#: Counters of the frequency sketch (2**SKETCH), keys of a map block and of a reduce range, rows of a tile block.
-SKETCH, BLOCK_KEYS, RANGE_KEYS, TILE = 20, 1_500_000, 400_000, 512
+#: Counters of the frequency sketch (2**SKETCH), keys of a map block and of a reduce range, rows of a tile's task, pivots of a large tile in each turn.
+SKETCH, BLOCK_KEYS, RANGE_KEYS, TILE_ROWS, PIVOTS = 20, 1_500_000, 400_000, 100_000, (8, 16)
 _CHUNK = 1 << 16
 
 
 def shingler():
-    """A function from UTF-8 text to its sorted distinct shingle hashes (uint64)."""
+    """A function from UTF-8 texts to their sorted distinct shingle hashes (uint64 arrays)."""
     hashes = word_hashes()
 
-    def shingles(text: bytes):
-        words = text.lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        return np.unique(rolling(hashes(words), min(WORDS, len(words))))
+    def shingles(texts: list[bytes]):
+        words, counts = hashes(texts)
+        grams = rolling(words, WORDS) if len(words) >= WORDS else words
+        out, at = [], 0
+        for n in counts:
+            own = grams[at : at + n - WORDS + 1] if n >= WORDS else rolling(words[at : at + n], n) if n else words[:0]
+            own = np.sort(own)
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
+            at += n
+        return out
 
     return shingles
 
 
+def parts(values: list, size: int = 64):
+    return (values[i : i + size] for i in range(0, len(values), size))
+
+
 def frequencies(docs: DataFrame):
     """Counts of documents by shingle bucket, over all documents; 2**SKETCH numbers."""
 
@@ -48,12 +56,13 @@ def frequencies(docs: DataFrame):
 
         shingles, counts, seen = shingler(), np.zeros(1 << SKETCH, np.uint32), False
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                np.add.at(counts, (shingles(text) >> np.uint64(64 - SKETCH)).astype(np.int64), 1)
+            for texts in parts(batch.column("text").to_pylist(), 2000):
+                got = np.concatenate([s for part in parts(texts) for s in shingles(part)])
+                counts += np.bincount((got >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH).astype(np.uint32)
                 seen = True
         if seen:
-            parts = np.minimum(counts, 65535).astype("<u2").reshape(-1, _CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "counts"])
+            chunks = np.minimum(counts, 65535).astype("<u2").reshape(-1, _CHUNK)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], names=["chunk", "counts"])
 
     def add(batches):
         import pyarrow as pa
@@ -65,11 +74,11 @@ def frequencies(docs: DataFrame):
         yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([s.astype("<u8").tobytes() for s in sums.values()], pa.binary())], names=["chunk", "counts"])
 
     schema = "chunk int, counts binary"
-    parts = docs.mapInArrow(count, schema).withColumn("salt", F.spark_partition_id() % 16)
+    sums = docs.mapInArrow(count, schema).withColumn("salt", F.spark_partition_id() % 16)
     for by in (("chunk", "salt"), ("chunk",)):
-        parts = parts.repartition(*by).select("chunk", "counts").mapInArrow(add, schema).withColumn("salt", F.lit(0))
+        sums = sums.repartition(*by).select("chunk", "counts").mapInArrow(add, schema).withColumn("salt", F.lit(0))
     total = np.zeros((1 << SKETCH) // _CHUNK * _CHUNK, np.uint64).reshape(-1, _CHUNK)
-    for r in parts.select("chunk", "counts").collect():  # 16 chunks
+    for r in sums.select("chunk", "counts").collect():  # 16 chunks
         total[r["chunk"]] += np.frombuffer(r["counts"], "<u8")
     return total.reshape(-1)
 
@@ -108,11 +117,6 @@ def fold(words, width: int):
     return words
 
 
-def size_band(n):
-    """Sizes of one band differ by a factor below 1.25; linked sizes are in the same or neighbouring bands."""
-    return np.floor(np.log(np.maximum(n, 1)) / np.log(1.25) + 1e-9).astype(np.int64)
-
-
 def enough(inter, a, b):
     return OF * inter >= LINK * (a + b - inter)
 
@@ -153,8 +157,7 @@ def _documents(docs: DataFrame, classes, ranges: int) -> DataFrame:
 
         for batch in batches:
             ids, sizes, sids, got = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingles(text)
+            for s in (s for part in parts(batch.column("text").to_pylist()) for s in shingles(part)):
                 ids.append(base + at)
                 sizes.append(len(s))
                 sids.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
@@ -229,39 +232,53 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(links("sa", "sb")).select("a", "b")
 
 
+def _pivot_pairs(members: DataFrame, turn: int, pivots: int) -> DataFrame:
+    """Pairs (a, b) of rows (key, id, n, label) with the pivots of their tile: all tiles
+    have the least and the greatest id, tiles of more than three rows further ids, the
+    same ones in every tile as far as possible. Equal labels make no pair."""
+    band = F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9)
+    banded = members.withColumn("band", band).withColumn("row", F.struct("id", "label"))
+    tiles = banded.groupBy("key", "band").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("rows")).where("rows > 1")
+    large = banded.join(tiles.where("rows > 3").select("key", "band"), ["key", "band"], "left_semi")
+    picks = large.groupBy("key", "band").agg(F.array(*[F.min_by("row", F.xxhash64("id", F.lit(turn), F.lit(i))) for i in range(pivots)]).alias("pivots"))
+    ends = tiles.select("key", "band", F.array("low", "high").alias("pivots"))
+    met = banded.join(ends, ["key", "band"]).unionByName(large.join(picks, ["key", "band"]))
+    met = met.select(F.col("id").alias("x"), F.explode(F.expr("filter(pivots, p -> p.label <> label)")).alias("p"))
+    return met.select(F.greatest("x", "p.id").alias("a"), F.least("x", "p.id").alias("b")).distinct()
+
+
 def _tile_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) from rows (key, id, label, n, bits): within a key, rows of a size band
-    against the same and the next band, in blocks, labels differing, bitmaps admitting."""
+    """Pairs (a, b) of rows (key, id, label, n) with one key and different labels, whose
+    sizes can link. Rows of a key stand in the order of sizes, so partners lie in the
+    same or the next band; they are met distance by distance, for all keys of a tile at
+    once, until none is near enough."""
 
     def run(pdf):
         import pandas as pd
 
-        out = set()
-        for _, group in pdf.groupby("key", sort=False):
-            if group["label"].nunique() < 2:
-                continue
-            group = group.drop_duplicates("id").sort_values(["n", "id"])
-            n, label, ids, bands = group["n"].to_numpy(np.int64), group["label"].to_numpy(), group["id"].to_numpy(), size_band(group["n"].to_numpy())
-            bits = group["bits"].to_numpy()
-            for band in np.unique(bands):
-                rows, near = np.flatnonzero(bands == band), np.flatnonzero((bands == band) | (bands == band + 1))
-                width = min(len(bits[i]) for i in near) // 8
-                table = np.concatenate([fold(np.frombuffer(bits[i], np.uint64)[None], width) for i in near])
-                for x in range(0, len(rows), TILE):
-                    own = rows[x : x + TILE]
-                    for y in range(x, len(near), TILE):
-                        other = near[y : y + TILE]
-                        differ = np.zeros((len(own), len(other)), np.int64)
-                        for w in range(width):
-                            differ += np.bitwise_count(table[own - near[0], w][:, None] ^ table[other - near[0], w])
-                        ok = may_link(n[own][:, None], n[other], differ) & (label[own][:, None] != label[other]) & (own[:, None] < other)
-                        for i, j in zip(*np.nonzero(ok)):
-                            p, q = int(ids[own[i]]), int(ids[other[j]])
-                            out.add((max(p, q), min(p, q)))
-        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
-
-    spread = members.withColumn("tile", F.pmod(F.xxhash64("key"), F.lit(8192)))
-    return spread.groupBy("tile").applyInPandas(run, "a long, b long").distinct()
+        pdf = pdf.sort_values(["key", "n", "id"])
+        key, n, label = (pdf[c].to_numpy() for c in ("key", "n", "label"))
+        n = n.astype(np.int64)
+        ids, own = np.unique(pdf["id"].to_numpy(), return_inverse=True)
+        found, held, total = [], 0, len(ids)
+        at = np.arange(len(key))
+        for distance in range(1, len(key)):
+            at = at[: np.searchsorted(at, len(key) - distance)]
+            at = at[(key[at] == key[at + distance]) & (OF * n[at] >= LINK * n[at + distance])]
+            if not len(at):
+                break
+            near = at[label[at] != label[at + distance]]
+            x, y = own[near], own[near + distance]
+            found.append(np.unique(np.maximum(x, y) * total + np.minimum(x, y)))
+            held += len(found[-1])
+            if held > 4_000_000:
+                found = [np.unique(np.concatenate(found))]
+                held = 0
+        codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return pd.DataFrame({"a": ids[codes // max(total, 1)], "b": ids[codes % max(total, 1)]})
+
+    tiles = max(8, members.count() // TILE_ROWS)
+    return members.withColumn("tile", F.pmod(F.xxhash64("key"), F.lit(tiles))).groupBy("tile").applyInPandas(run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -284,8 +301,6 @@ def join(docs: DataFrame) -> DataFrame:
     # Equal sets are one: a key counts as shared if distinct sets share it.
     keyed = rows.where("sid is not null").select("gid", "sid").join(sets, "sid").select("gid", "id", "n")
     members = stage(shared.join(keyed, "gid").groupBy("key", "id").agg(F.first("n").alias("n")), "ngram-keys")
-    band = F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9)
-    tiles = members.groupBy("key", band.alias("band")).agg(F.min("id").alias("low"), F.max("id").alias("high"))
     several = members.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y")
     members = stage(members.join(several.select("key"), "key", "left_semi"), "ngram-members")
     active = members.select("id").distinct()
@@ -296,15 +311,16 @@ def join(docs: DataFrame) -> DataFrame:
         full = full.dropDuplicates(["id"])  # repeated rows: one stands for its set
     full = stage(full, "ngram-sets-full")
     signatures = full.select("id", "n", "bits")
-    stars = members.withColumn("band", band).join(tiles.where("low <> high"), ["key", "band"])
-    pairs = stars.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = stage(_verified(_bounded(pairs, signatures), full), "ngram-links")
-    roots = components(links)
-    labelled = members.join(roots, members["id"] == roots["node"], "left").select("key", "id", "n", F.coalesce("root", "id").alias("label"))
-    labelled = stage(labelled, "ngram-labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rest = _tile_pairs(labelled.join(mixed, "key", "left_semi").join(signatures.drop("n"), "id"))
-    more = stage(_verified(rest, full), "ngram-links")
+    labelled, links, roots = members.withColumn("label", F.col("id")), None, None
+    for turn, pivots in enumerate(PIVOTS):
+        fresh = _verified(_bounded(_pivot_pairs(labelled, turn, pivots), signatures), full)
+        links = stage(fresh if links is None else links.union(fresh), "ngram-links")
+        roots = components(links)
+        label = members.join(roots, members["id"] == roots["node"], "left").select("key", "id", "n", F.coalesce("root", "id").alias("label"))
+        label = stage(label, "ngram-labelled")
+        mixed = label.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        labelled = stage(label.join(mixed, "key", "left_semi"), "ngram-mixed")
+    more = stage(_verified(_bounded(_tile_pairs(labelled), signatures), full), "ngram-links")
     roots = components(links.union(more))
     placed = sets.join(roots, sets["id"] == roots["node"], "left").select("sid", "low", F.coalesce("root", "id").alias("root"))
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -322,9 +338,8 @@ def _arrays(wanted: DataFrame) -> DataFrame:
 
         shingles = shingler()
         for batch in batches:
-            out = []
-            for id_, sid, text in zip(*(batch.column(c).to_pylist() for c in ("id", "sid", "text"))):
-                s = shingles(text)
+            out, sets = [], (s for part in parts(batch.column("text").to_pylist()) for s in shingles(part))
+            for id_, sid, s in zip(batch.column("id").to_pylist(), batch.column("sid").to_pylist(), sets):
                 if xxhash.xxh128_digest(s.tobytes()) == sid:
                     out.append((id_, len(s), bitmap(s), s.astype("<u8").tobytes()))
             if out:

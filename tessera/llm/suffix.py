@@ -1,7 +1,7 @@
 """Sparse suffix arrays: passages of over 50 words that several documents share.
 
 A suffix is retained only at content-selected positions: where a 12-word hash is the
-(leftmost) least of the 40 that a window of 51 words holds. Equal windows select the
+least of the 40 that a window of 51 words holds. Equal windows select the
 same position, so every shared passage is met. Retained suffixes that start with the
 same 12 words are sorted by what follows and neighbours are compared; the match is then
 extended to the left word by word, each extended suffix sorted and compared again. The
@@ -23,16 +23,33 @@ SPAN = PASSAGE - GRAM + 1
 TILES = 4096
 
 
+def _sliding(values, width: int, pick):
+    """pick (np.minimum or np.maximum) over every run of width values, by doubling."""
+    size = 1
+    while 2 * size <= width:
+        values, size = pick(values[: len(values) - size], values[size:]), 2 * size
+    rest = width - size
+    return pick(values[: len(values) - rest], values[rest:]) if rest else values
+
+
 def minimisers(hashes):
-    """Positions where a window's least 12-word hash stands, and those hashes."""
+    """Positions of 12-word hashes that are a window's least, and those hashes."""
     if len(hashes) < PASSAGE:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     grams = rolling(hashes, GRAM)
-    windows = np.lib.stride_tricks.sliding_window_view(grams, SPAN)
-    at = np.unique(np.concatenate([windows[i : i + 65536].argmin(axis=1) + np.arange(i, min(i + 65536, len(windows))) for i in range(0, len(windows), 65536)]))
+    least = np.pad(_sliding(grams, SPAN, np.minimum), SPAN - 1)
+    # The greatest of the minima of all windows around a position is its own hash or below it.
+    at = np.flatnonzero(_sliding(least, SPAN, np.maximum) == grams)
     return at, grams[at]
 
 
+def word_rows(hashes, texts: list, size: int = 64):
+    """Word hashes of each text in turn."""
+    for i in range(0, len(texts), size):
+        words, counts = hashes(texts[i : i + size])
+        yield from np.split(words, np.cumsum(counts)[:-1]) if len(counts) else ()
+
+
 def _positions(docs: DataFrame) -> DataFrame:
     """(doc_id, gid, n, tid, grams, places) a row; tid digests the words."""
 
@@ -46,8 +63,7 @@ def _positions(docs: DataFrame) -> DataFrame:
         hashes, gid = word_hashes(), TaskContext.get().partitionId() << 36
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
-                h = hashes(text.lower().split())
+            for h in word_rows(hashes, batch.column("text").to_pylist()):
                 at, grams = minimisers(h)
                 out.append((gid, len(h), xxhash.xxh128_digest(h.tobytes()) if len(h) >= PASSAGE else None, grams.view(np.int64), at.astype(np.int32)))
                 gid += 1
@@ -70,8 +86,7 @@ def _contexts(wanted: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
-                for id_, tid, text, places in zip(*(batch.column(c).to_pylist() for c in ("id", "tid", "text", "at"))):
-                    h = hashes(text.lower().split())
+                for id_, tid, h, places in zip(*(batch.column(c).to_pylist() for c in ("id", "tid")), word_rows(hashes, batch.column("text").to_pylist()), batch.column("at").to_pylist()):
                     if not len(h) or xxhash.xxh128_digest(h.tobytes()) != tid:
                         continue
                     at_, n = np.sort(np.array(places, np.int64)), len(h)
