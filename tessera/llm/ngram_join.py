@@ -247,20 +247,57 @@ def _pivot_pairs(members: DataFrame, turn: int, pivots: int) -> DataFrame:
     return met.select(F.greatest("x", "p.id").alias("a"), F.least("x", "p.id").alias("b")).distinct()
 
 
-def _tile_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows (key, id, label, n) with one key and different labels, whose
-    sizes can link. Rows of a key stand in the order of sizes, so partners lie in the
-    same or the next band; they are met distance by distance, for all keys of a tile at
-    once, until none is near enough."""
-
-    def run(pdf):
+class Signatures:
+    """Sizes and bitmaps of many sets, compared pairwise in bulk."""
+
+    def __init__(self, n, bits):
+        self.n = np.asarray(n, np.int64)
+        self.words = np.array([len(b) // 8 for b in bits], np.int64)
+        self.place, self.tables = np.zeros(len(bits), np.int64), {}
+        for width in np.unique(self.words):
+            rows = np.flatnonzero(self.words == width)
+            self.place[rows] = np.arange(len(rows))
+            self.tables[width, width] = np.frombuffer(b"".join(bits[i] for i in rows), np.uint64).reshape(-1, width)
+
+    def _folded(self, width: int, to: int):
+        if (width, to) not in self.tables:
+            self.tables[width, to] = fold(self.tables[width, width], to)
+        return self.tables[width, to]
+
+    def admit(self, x, y):
+        """Which of the pairs (x[i], y[i]) may link."""
+        differ = np.zeros(len(x), np.int64)
+        kind = self.words[x] << 32 | self.words[y]
+        for k in np.unique(kind):
+            a, b = int(k >> 32), int(k & 0xFFFFFFFF)
+            to = min(a, b)
+            left, right, at = self._folded(a, to), self._folded(b, to), np.flatnonzero(kind == k)
+            for part in parts(at, max(1, 262_144 // to)):
+                differ[part] = np.bitwise_count(left[self.place[x[part]]] ^ right[self.place[y[part]]]).sum(axis=1)
+        return may_link(self.n[x], self.n[y], differ)
+
+
+def _tile_pairs(members: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows (key, id, label, n) with one key and different labels that the
+    bitmaps admit. Rows of a key stand in the order of sizes, so partners lie in the same
+    or the next band; they are met distance by distance, for all keys of a tile at once,
+    until none is near enough. A set's bitmap goes once to each tile that it is in."""
+
+    def run(pdf, known):
         import pandas as pd
 
         pdf = pdf.sort_values(["key", "n", "id"])
+        known = known.drop_duplicates("id").sort_values("id")
+        ids, sets = known["id"].to_numpy(), Signatures(known["n"], known["bits"].to_numpy())
         key, n, label = (pdf[c].to_numpy() for c in ("key", "n", "label"))
-        n = n.astype(np.int64)
-        ids, own = np.unique(pdf["id"].to_numpy(), return_inverse=True)
-        found, held, total = [], 0, len(ids)
+        n, own = n.astype(np.int64), np.searchsorted(ids, pdf["id"].to_numpy())
+        found, waiting, held = [], [], 0
+
+        def admitted():
+            codes = np.unique(np.concatenate(waiting))
+            x, y = codes // len(ids), codes % len(ids)
+            return codes[sets.admit(x, y)]
+
         at = np.arange(len(key))
         for distance in range(1, len(key)):
             at = at[: np.searchsorted(at, len(key) - distance)]
@@ -269,16 +306,20 @@ def _tile_pairs(members: DataFrame) -> DataFrame:
                 break
             near = at[label[at] != label[at + distance]]
             x, y = own[near], own[near + distance]
-            found.append(np.unique(np.maximum(x, y) * total + np.minimum(x, y)))
-            held += len(found[-1])
-            if held > 4_000_000:
-                found = [np.unique(np.concatenate(found))]
-                held = 0
+            waiting.append(np.maximum(x, y) * len(ids) + np.minimum(x, y))
+            held += len(near)
+            if held > 2_000_000:
+                found.append(admitted())
+                waiting, held = [], 0
+        if waiting:
+            found.append(admitted())
         codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": ids[codes // max(total, 1)], "b": ids[codes % max(total, 1)]})
+        return pd.DataFrame({"a": ids[codes // max(len(ids), 1)], "b": ids[codes % max(len(ids), 1)]})
 
     tiles = max(8, members.count() // TILE_ROWS)
-    return members.withColumn("tile", F.pmod(F.xxhash64("key"), F.lit(tiles))).groupBy("tile").applyInPandas(run, "a long, b long").distinct()
+    placed = members.withColumn("tile", F.pmod(F.xxhash64("key"), F.lit(tiles)))
+    bits = placed.select("tile", "id").distinct().join(signatures, "id").select("tile", "id", "n", "bits")
+    return placed.groupBy("tile").cogroup(bits.groupBy("tile")).applyInPandas(run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -320,7 +361,7 @@ def join(docs: DataFrame) -> DataFrame:
         label = stage(label, "ngram-labelled")
         mixed = label.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
         labelled = stage(label.join(mixed, "key", "left_semi"), "ngram-mixed")
-    more = stage(_verified(_bounded(_tile_pairs(labelled), signatures), full), "ngram-links")
+    more = stage(_verified(_tile_pairs(labelled, signatures), full), "ngram-links")
     roots = components(links.union(more))
     placed = sets.join(roots, sets["id"] == roots["node"], "left").select("sid", "low", F.coalesce("root", "id").alias("root"))
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
