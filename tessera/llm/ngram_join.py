@@ -318,7 +318,7 @@ def _tile_pairs(members: DataFrame, signatures: DataFrame) -> DataFrame:
 
     tiles = max(8, members.count() // TILE_ROWS)
     placed = members.withColumn("tile", F.pmod(F.xxhash64("key"), F.lit(tiles)))
-    bits = placed.select("tile", "id").distinct().join(signatures, "id").select("tile", "id", "n", "bits")
+    bits = stage(placed.select("tile", "id").distinct().join(signatures, "id").select("tile", "id", "n", "bits"), "ngram-bits")
     return placed.groupBy("tile").cogroup(bits.groupBy("tile")).applyInPandas(run, "a long, b long").distinct()
 
 
