@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts travel to Python: a batch of them must stay small beside an executor's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > 500:
+        spark.conf.set(key, "500")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share; one of our own only where the session names none."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rolling
+from .common import rolling, small_batches
 
 WINDOW = 13
 #: Words of the benchmark that one pass's hash set may hold; a larger benchmark takes several passes.
@@ -112,6 +112,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_i
     are each returned; an empty benchmark hits nothing. A benchmark above PASS_WORDS
     words is scanned in passes whose results are merged per row.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     found = docs.select(*carry, text.alias("__text"))
     passes = [_scanner(docs.sparkSession, items) for items in _passes(benchmark) or [[]]]

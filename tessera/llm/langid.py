@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Bytes of a window, hidden units a direction, training windows a step and steps.
 WINDOW, HIDDEN, BATCH, STEPS, RATE = 64, 12, 192, 220, 0.012
 #: The fit's documented bound: labelled documents of each language, and slices of each document.
@@ -177,6 +179,7 @@ def identify(docs: DataFrame, model: BiGRU | None, carry: tuple[str, ...] = ("do
     score 0, as is everything if no labelled row was there to learn from. Repeated
     rows are each returned; equal texts get equal labels.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # a network of fixed size
 
     def run(batches):

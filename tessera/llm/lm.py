@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small_batches, stage
 from .langid import remainder
 
 #: Classes, dimensions, noise words a batch, tokens a batch, learning rate, and the most words that are looked up in memory.
@@ -215,6 +215,7 @@ def score(docs: DataFrame, mod: int = 10) -> DataFrame:
     broadcast; only their log sums meet again by row.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), (remainder(mod) == 0).alias("held_out"))
     train = rows.where(~F.col("held_out")).select("text")
     counts = stage(word_counts(train), "lm-counts")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Samples a frame, hop, frames a peak block, partners a peak, samples a transform call.
 WINDOW, HOP, BLOCK, FAN, CHUNK = 64, 32, 16, 3, 1 << 20
 
@@ -76,6 +78,8 @@ def media_features(docs: DataFrame) -> DataFrame:
     texts are transformed in chunks of whole blocks (a WAV file holds below 4 GiB).
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         import hashlib
         import zlib

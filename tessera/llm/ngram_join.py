@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, rolling, stage, word_hashes
+from .common import components, rolling, small_batches, stage, word_hashes
 
 WORDS, LINK, OF = 5, 80, 100
 #: Counters of the frequency sketch (2**SKETCH), keys of a map block and of a reduce range, rows of a tile's task, pivots of a large tile in each turn.
@@ -330,6 +330,7 @@ def join(docs: DataFrame) -> DataFrame:
     and is its own component. component_id is the smallest non-null doc_id that links
     reach (null if there is none). Repeated rows and doc_ids are each returned.
     """
+    small_batches(docs.sparkSession)
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("h"))
     counts = frequencies(texts.select("text"))

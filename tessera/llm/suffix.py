@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rolling, stage, word_hashes
+from .common import rolling, small_batches, stage, word_hashes
 
 #: Words of the shortest passage, of a minimiser, and the minimisers a window holds.
 PASSAGE, GRAM = 51, 12
@@ -135,6 +135,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     each other whole. Null, empty and shorter texts have no spans; every row is returned.
     Repeats inside one document alone do not count.
     """
+    small_batches(docs.sparkSession)
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("h"))
     rows = _positions(texts)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small_batches, stage
 
 #: Bits of a rank block, and the ids after which a file is closed (documents stay whole).
 RANK_BITS, FILE_IDS = 512, 2_000_000
@@ -128,6 +128,7 @@ def encoder(tokenizer_json: str, limit: int = 250_000):
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """(doc_id, n_tokens, width, ids, crc): ids little-endian in ``width`` bytes each."""
+    small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file of fixed size
 
