@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,6 +55,22 @@ def drop_staged(*frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any
+    more; otherwise they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Most rows of keys that a join sends to every executor; above, it shuffles.
+FEW = 400_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """Keys as the small side of a join: broadcast only if counted to be at most FEW."""
+    return F.broadcast(keys) if keys.count() <= FEW else keys
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, rolling, small_batches, stage, word_hashes
+from .common import components, drop_staged, few, release, rolling, small_batches, stage, word_hashes
 
 WORDS, LINK, OF = 5, 80, 100
 #: Counters of the frequency sketch (2**SKETCH), keys of a map block and of a reduce range, rows of a tile's task, pivots of a large tile in each turn.
@@ -228,7 +228,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
         return pd.Series([one(x, y) for x, y in zip(p, q)])
 
-    left, right = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    pairs = stage(pairs, "ngram-pairs")
+    left, right = (sets.join(few(pairs.select(F.col(c).alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     return pairs.join(left, "a").join(right, "b").where(links("sa", "sb")).select("a", "b")
 
 
@@ -322,6 +323,28 @@ def _tile_pairs(members: DataFrame, signatures: DataFrame) -> DataFrame:
     return placed.groupBy("tile").cogroup(bits.groupBy("tile")).applyInPandas(run, "a long, b long").distinct()
 
 
+def _members(both: DataFrame, rows: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct sets (sid, id, low, n), and (key, id, n) of keys that distinct sets share."""
+    sets = rows.where("sid is not null").groupBy("sid").agg(F.min("gid").alias("id"), F.min("doc_id").alias("low"), F.first("n").alias("n"))
+    sets = stage(sets, "ngram-sets")
+    shared = _shared_keys(both.where("r is not null").select("r", "gid", "keys", "ords"), ranges)
+    keyed = rows.where("sid is not null").select("gid", "sid").join(sets, "sid").select("gid", "id", "n")
+    members = stage(shared.join(keyed, "gid").groupBy("key", "id").agg(F.first("n").alias("n")), "ngram-keys")
+    several = members.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y")
+    return sets, stage(members.join(several.select("key"), "key", "left_semi"), "ngram-members")
+
+
+def _active_sets(texts: DataFrame, rows: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, n, bits, shingles) of the sets that share a key, from their texts."""
+    active = members.select("id").distinct()
+    wanted = sets.join(active, "id", "left_semi").join(rows.select(F.col("gid").alias("id"), "doc_id", "h"), "id").select("id", "sid", F.col("doc_id").alias("d"), F.col("h").alias("x"))
+    wanted = few(stage(wanted, "ngram-wanted"))
+    full = _arrays(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"]) & (texts["h"] == wanted["x"])).select("id", "sid", "text"))
+    if not rows.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
+        full = full.dropDuplicates(["id"])  # repeated rows: one stands for its set
+    return stage(full, "ngram-sets-full")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, text_hash.
 
@@ -336,22 +359,11 @@ def join(docs: DataFrame) -> DataFrame:
     counts = frequencies(texts.select("text"))
     ranges = int(max(8, counts.sum() // 5 // RANGE_KEYS))
     both = _documents(texts, ranks(counts), ranges)
-    rows = both.where("r is null").select("doc_id", "gid", "n", "sid", "h")
-    sets = rows.where("sid is not null").groupBy("sid").agg(F.min("gid").alias("id"), F.min("doc_id").alias("low"), F.first("n").alias("n"))
-    sets = stage(sets, "ngram-sets")  # one row a distinct set
-    shared = _shared_keys(both.where("r is not null").select("r", "gid", "keys", "ords"), ranges)
-    # Equal sets are one: a key counts as shared if distinct sets share it.
-    keyed = rows.where("sid is not null").select("gid", "sid").join(sets, "sid").select("gid", "id", "n")
-    members = stage(shared.join(keyed, "gid").groupBy("key", "id").agg(F.first("n").alias("n")), "ngram-keys")
-    several = members.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y")
-    members = stage(members.join(several.select("key"), "key", "left_semi"), "ngram-members")
-    active = members.select("id").distinct()
-    # Texts of sets that share a key.
-    wanted = sets.join(active, "id", "left_semi").join(rows.select(F.col("gid").alias("id"), "doc_id", "h"), "id").select("id", "sid", F.col("doc_id").alias("d"), F.col("h").alias("x"))
-    full = _arrays(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"]) & (texts["h"] == wanted["x"])).select("id", "sid", "text"))
-    if not rows.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
-        full = full.dropDuplicates(["id"])  # repeated rows: one stands for its set
-    full = stage(full, "ngram-sets-full")
+    rows = stage(both.where("r is null").select("doc_id", "gid", "n", "sid", "h"), "ngram-rows")
+    sets, members = _members(both, rows, ranges)
+    drop_staged(both)
+    release(docs.sparkSession)
+    full = _active_sets(texts, rows, sets, members)
     signatures = full.select("id", "n", "bits")
     labelled, links, roots = members.withColumn("label", F.col("id")), None, None
     for turn, pivots in enumerate(PIVOTS):
@@ -362,7 +374,9 @@ def join(docs: DataFrame) -> DataFrame:
         label = stage(label, "ngram-labelled")
         mixed = label.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
         labelled = stage(label.join(mixed, "key", "left_semi"), "ngram-mixed")
+        release(docs.sparkSession)
     more = stage(_verified(_tile_pairs(labelled, signatures), full), "ngram-links")
+    drop_staged(full, labelled)
     roots = components(links.union(more))
     placed = sets.join(roots, sets["id"] == roots["node"], "left").select("sid", "low", F.coalesce("root", "id").alias("root"))
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
