@@ -22,7 +22,7 @@ from .common import components, drop_staged, few, release, rolling, small_batche
 
 WORDS, LINK, OF = 5, 80, 100
 #: Counters of the frequency sketch (2**SKETCH), keys of a map block and of a reduce range, rows of a tile's task, pivots of a large tile in each turn.
-SKETCH, BLOCK_KEYS, RANGE_KEYS, TILE_ROWS, PIVOTS = 20, 1_500_000, 400_000, 100_000, (8, 16)
+SKETCH, BLOCK_KEYS, RANGE_KEYS, TILE_ROWS, PIVOTS = 20, 400_000, 400_000, 100_000, (8, 16)
 _CHUNK = 1 << 16
 
 
@@ -44,7 +44,7 @@ def shingler():
     return shingles
 
 
-def parts(values: list, size: int = 64):
+def parts(values: list, size: int = 32):
     return (values[i : i + size] for i in range(0, len(values), size))
 
 
@@ -229,23 +229,37 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return pd.Series([one(x, y) for x, y in zip(p, q)])
 
     pairs = stage(pairs, "ngram-pairs")
-    left, right = (sets.join(few(pairs.select(F.col(c).alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").where(links("sa", "sb")).select("a", "b")
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")).join(few(pairs), "a")
+    right = sets.join(few(pairs.select(F.col("b").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    return left.join(right, "b").where(links("sa", "sb")).select("a", "b")
 
 
-def _pivot_pairs(members: DataFrame, turn: int, pivots: int) -> DataFrame:
-    """Pairs (a, b) of rows (key, id, n, label) with the pivots of their tile: all tiles
-    have the least and the greatest id, tiles of more than three rows further ids, the
-    same ones in every tile as far as possible. Equal labels make no pair."""
-    band = F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9)
-    banded = members.withColumn("band", band).withColumn("row", F.struct("id", "label"))
-    tiles = banded.groupBy("key", "band").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("rows")).where("rows > 1")
-    large = banded.join(tiles.where("rows > 3").select("key", "band"), ["key", "band"], "left_semi")
-    picks = large.groupBy("key", "band").agg(F.array(*[F.min_by("row", F.xxhash64("id", F.lit(turn), F.lit(i))) for i in range(pivots)]).alias("pivots"))
-    ends = tiles.select("key", "band", F.array("low", "high").alias("pivots"))
-    met = banded.join(ends, ["key", "band"]).unionByName(large.join(picks, ["key", "band"]))
-    met = met.select(F.col("id").alias("x"), F.explode(F.expr("filter(pivots, p -> p.label <> label)")).alias("p"))
-    return met.select(F.greatest("x", "p.id").alias("a"), F.least("x", "p.id").alias("b")).distinct()
+#: Fixed seeds of the pivots: the pivot of a tile is its id that is least after an exclusive or.
+SEEDS = [(0x9E3779B97F4A7C15 * i) % (1 << 52) for i in range(1, 25)]
+
+
+def _pivot_pairs(members: DataFrame, seeds: list[int]) -> DataFrame:
+    """Pairs (a, b) of rows (key, id, n) with the pivots of their tile: all tiles have the
+    least and the greatest id, tiles of more than three rows further ids, the same ones in
+    every tile as far as possible. Pivots are minima, which combine before the shuffle."""
+    band = F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9).cast("int")
+    banded = members.select("key", band.alias("band"), "id")
+    tiles = banded.groupBy("key", "band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("rows")).where("rows > 1")
+    met = stage(banded.join(tiles, ["key", "band"]), "ngram-tiles")
+    large = met.where("rows > 3").select("key", "band", "id")
+    picks = large.groupBy("key", "band").agg(F.array(*[F.min(F.col("id").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)) for x in seeds]).alias("pivots"))
+    ends = met.select("id", F.explode(F.array("low", "high")).alias("p"))
+    more = large.join(picks, ["key", "band"]).select("id", F.explode("pivots").alias("p"))
+    return ends.union(more).where("id <> p").select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Pairs whose members are in different components."""
+    if roots is None:
+        return pairs
+    left, right = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    joined = pairs.join(left, "a", "left").join(right, "b", "left")
+    return joined.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
 class Signatures:
@@ -309,7 +323,7 @@ def _tile_pairs(members: DataFrame, signatures: DataFrame) -> DataFrame:
             x, y = own[near], own[near + distance]
             waiting.append(np.maximum(x, y) * len(ids) + np.minimum(x, y))
             held += len(near)
-            if held > 2_000_000:
+            if held > 300_000:
                 found.append(admitted())
                 waiting, held = [], 0
         if waiting:
@@ -365,15 +379,17 @@ def join(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     full = _active_sets(texts, rows, sets, members)
     signatures = full.select("id", "n", "bits")
-    labelled, links, roots = members.withColumn("label", F.col("id")), None, None
-    for turn, pivots in enumerate(PIVOTS):
-        fresh = _verified(_bounded(_pivot_pairs(labelled, turn, pivots), signatures), full)
+    labelled, links, roots, used = members, None, None, 0
+    for pivots in PIVOTS:
+        pairs = _apart(_pivot_pairs(labelled, SEEDS[used : used + pivots]), roots)
+        fresh, used = _verified(_bounded(pairs, signatures), full), used + pivots
         links = stage(fresh if links is None else links.union(fresh), "ngram-links")
         roots = components(links)
         label = members.join(roots, members["id"] == roots["node"], "left").select("key", "id", "n", F.coalesce("root", "id").alias("label"))
         label = stage(label, "ngram-labelled")
         mixed = label.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
         labelled = stage(label.join(mixed, "key", "left_semi"), "ngram-mixed")
+        drop_staged(label)
         release(docs.sparkSession)
     more = stage(_verified(_tile_pairs(labelled, signatures), full), "ngram-links")
     drop_staged(full, labelled)

@@ -43,7 +43,7 @@ def minimisers(hashes):
     return at, grams[at]
 
 
-def word_rows(hashes, texts: list, size: int = 64):
+def word_rows(hashes, texts: list, size: int = 32):
     """Word hashes of each text in turn."""
     for i in range(0, len(texts), size):
         words, counts = hashes(texts[i : i + size])
