@@ -33,8 +33,10 @@ def _events(spark, sf_dir):
 
 
 def _long(spark, sf_dir):
-    rows = _read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("grp"), F.col("l_partkey").alias("pair_id"), F.col("l_quantity").alias("num"), "l_orderkey", "l_linenumber", "l_extendedprice")
-    n = F.row_number().over(Window.partitionBy("grp", "pair_id").orderBy("l_orderkey", "l_linenumber", "num", "l_extendedprice"))
+    """Lines of the orders that have two, a group a thousand order keys."""
+    rows = _read(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 1000).alias("grp"), F.col("l_orderkey").alias("pair_id"), F.col("l_quantity").alias("num"), "l_linenumber", "l_extendedprice")
+    rows = rows.join(rows.groupBy("pair_id").count().where("count = 2").select("pair_id"), "pair_id", "left_semi")
+    n = F.row_number().over(Window.partitionBy("grp", "pair_id").orderBy("l_linenumber", "num", "l_extendedprice"))
     return pairs.long_pairs(rows.withColumn("row", n), ["grp"], LONG)
 
 
@@ -53,7 +55,7 @@ c as (select 'events' as workbook, sheet, row, 1 as col, d::varchar as raw, d::d
 LINES = r"with ln as (select doc_id, unnest(range(1, len(p) + 1))::int as line, unnest(p) as text from (select doc_id, string_split_regex(text, '\r?\n') as p from documents where text is not null))"
 NUMS = LINES + r""", nums as (select doc_id, line, unnest(range(0, len(p)))::int as pos, unnest(p) as raw from
  (select doc_id, line, regexp_extract_all(replace(text, '%', '% '), '(?:^|[^A-Za-z0-9_.\-])([-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[eE][-+]?\d+)?%?)', 1) as p from ln) where len(p) > 0)"""
-LONGSQL = """with li as (select l_suppkey as grp, l_partkey as pair_id, l_quantity as num, row_number() over (partition by l_suppkey, l_partkey order by l_orderkey, l_linenumber, l_quantity, l_extendedprice) as row from lineitem),
+LONGSQL = """with li as (select l_orderkey // 1000 as grp, l_orderkey as pair_id, l_quantity as num, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity, l_extendedprice) as row from lineitem qualify count(*) over (partition by l_orderkey) = 2),
 bi as (select grp, pair_id, count(*) as n, arg_min(num, row) as first, arg_max(num, row) as second from li where num is not null group by all),
 ga as (select *, count(*) over (partition by grp) as ids, count_if(n = 2) over (partition by grp) as twos from bi),
 lp as (select grp, pair_id, first, second, round_even(first * 0 + second / nullif(first, 0) * 10, 0)::bigint as ratio from ga where n = 2 and ids >= 2 and twos >= 2 and twos * 4 >= ids * 3)"""
@@ -73,9 +75,9 @@ def query(sql: str | None):
 
 
 @query(BASE_CELLS + """, s as (select workbook, sheet, count(*) as n_cells, count(num) as n_numeric, count(distinct row) as n_rows from c group by all)
-select workbook, sheet, sum(n_cells)::bigint as n_cells, sum(n_numeric)::bigint as n_numeric, sum(n_rows)::bigint as n_rows, grouping_id(workbook, sheet)::int as level from s group by rollup (workbook, sheet)""")
+select workbook::varchar as workbook, sheet, sum(n_cells)::bigint as n_cells, sum(n_numeric)::bigint as n_numeric, sum(n_rows)::bigint as n_rows, grouping_id(workbook, sheet)::int as level from s group by rollup (workbook, sheet)""")
 def sheet_profile_counts(spark, sf_dir):
-    return profile.counts(line_cells(spark, sf_dir))
+    return profile.counts(line_cells(spark, sf_dir)).withColumn("workbook", F.col("workbook").cast("string"))
 
 
 @query(BASE_CELLS + r""", t as (select sheet, col, nullif(regexp_extract(trim(raw), '(\d)(?:\.0+)?$', 1), '') as digit from c),
