@@ -88,7 +88,7 @@ def scan(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     body = docs.select(*carry, F.monotonically_increasing_id().alias("__row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__t"))
     assigned = F.expr(f"filter({found('__t', ASSIGN)}, x -> length(regexp_extract(x.value, '{_sql(ASSIGN)}', 2)) >= 6)")
     kinds = [assigned, F.expr(found("__t", ACCESS)), F.expr(found("__t", HEX))]
-    spans = [F.transform(k, lambda x, i=i: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), x["stop"].alias("stop"))) for i, k in enumerate(kinds)]
+    spans = [F.transform(k, _of_kind(i)) for i, k in enumerate(kinds)]
     tokens = F.expr(f"filter({found('__t', TOKEN)}, x -> x.value rlike '[0-9]' and x.value rlike '[A-Za-z]')")
     rows = stage(body.select("__row", *carry, F.array_sort(F.concat(*spans)).alias("base"), tokens.alias("tokens")), "secrets")
     open_tokens = rows.where("size(tokens) > 0").select("__row", F.expr("explode(filter(tokens, t -> not exists(base, b -> b.start < t.stop and t.start < b.stop)))").alias("t"))
@@ -119,6 +119,10 @@ def thresholds(tested: DataFrame) -> dict[int, int]:
     return limits
 
 
+def _of_kind(kind: int):
+    return lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["stop"].alias("stop"))
+
+
 def _sql(pattern: str) -> str:
     return pattern.replace("\\", "\\\\").replace("'", "\\'")
 
