@@ -40,7 +40,7 @@ def benford(values: DataFrame, v: str) -> DataFrame:
     """n, orders of magnitude, applicability (100 values over two orders) and the mean
     absolute deviation from log10(1 + 1/d) over the nine digits."""
     usable = values.select(F.col(v).alias("v")).where((F.abs("v") > 0) & (F.abs("v") < 1e12)).withColumn("d", first_digit(F.col("v")))
-    share = [F.count_if(F.col("d") == d) / F.count("*") for d in range(1, 10)]
+    share = [F.count_if(F.col("d") == d) / F.nullif(F.count("*"), F.lit(0)) for d in range(1, 10)]
     expected = [F.log10(F.lit(1 + 1 / d)) for d in range(1, 10)]
     gap = sum((F.abs(s - e) for s, e in zip(share, expected)), F.lit(0.0)) / 9
     orders = F.log10(F.max(F.abs("v")).cast("double") / F.min(F.abs("v")).cast("double"))
