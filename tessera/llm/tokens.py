@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import drop_staged, small_batches, stage
 
 #: Bits of a rank block, and the ids after which a file is closed (documents stay whole).
 RANK_BITS, FILE_IDS = 512, 2_000_000
@@ -82,46 +82,99 @@ class Codes:
         return out
 
 
-def encoder(tokenizer_json: str, limit: int = 250_000):
-    """A function from UTF-8 text to its ids. White space splits every pre-token of this
-    tokenizer and composes with nothing, so pieces between ASCII white space are encoded
-    once by the library and looked up afterwards; the cache is bounded."""
+#: Fixed value: the pattern of a pre-tokenizer that drops white space, so that words can be encoded alone.
+WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def encoder(tokenizer_json: str, limit: int = 600_000):
+    """A function from UTF-8 texts to their ids, as one array and counts by text.
+
+    Where the tokenizer drops white space between pre-tokens, the library encodes each
+    piece between ASCII white space once (plain ASCII pieces by their letter runs,
+    digits and other runs, which is how its pattern cuts them) and the ids are looked up
+    afterwards; the caches are bounded. Other tokenizers encode whole texts.
+    """
+    import json
     import os
+    import re
+    from array import array
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import numpy as np
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(tokenizer_json)
+    tokenizer, shape = Tokenizer.from_str(tokenizer_json), json.loads(tokenizer_json)
+    cuts = [p.get("pattern", {}).get("Regex") for p in (shape.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    special = [t for t in shape.get("added_tokens", []) if t["special"] and not t["normalized"]]
+    lowers = "Lowercase" in [n["type"] for n in (shape.get("normalizer") or {}).get("normalizers", [])]
 
-    class Known(dict):
-        def __missing__(self, piece):
-            new.append(piece)
-            self[piece] = len(self)
-            return len(self) - 1
+    def whole(texts: list[bytes]):
+        got = [e.ids for e in tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        return np.array([x for g in got for x in g], np.uint32), np.array([len(g) for g in got], np.int64)
 
-    known, new = Known(), []
-    flat, length, start = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if WORDWISE not in cuts or not special or not lowers:
+        return whole
+
+    mark, mark_id = special[0]["content"], special[0]["id"]
+    alone = tuple(t["content"].encode() for t in special)
+    pieces_of = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+").findall
+
+    class Known(dict):
+        def __missing__(self, word):
+            new.append(word)
+            self[word] = n = len(self)
+            return n
+
+    known, new, ids_of = Known(), [], {}
+    flat, lengths = array("I"), array("q")
+
+    def learn():
+        cut = []
+        for word in new:
+            if word.isalpha():
+                cut.append((word.lower(),))
+            elif word.isascii() and b"'" not in word and b"<" not in word:
+                cut.append(pieces_of(word.lower()))
+            else:
+                cut.append((word,))
+        missing = list({p: None for parts in cut for p in parts if p not in ids_of})
+        plain = [p for p in missing if not any(a in p for a in alone)]
+        for at in range(0, len(plain), 1000):
+            part = plain[at : at + 1000]
+            ids = tokenizer.encode(mark.join(p.decode("utf-8", "replace") for p in part), add_special_tokens=False).ids
+            stops = np.flatnonzero(np.array(ids) == mark_id).tolist() + [len(ids)]
+            start = 0
+            for p, stop in zip(part, stops):
+                ids_of[p] = ids[start:stop]
+                start = stop + 1
+        for p in missing:
+            if p not in ids_of:
+                ids_of[p] = tokenizer.encode(p.decode("utf-8", "replace"), add_special_tokens=False).ids
+        for parts in cut:
+            before = len(flat)
+            for p in parts:
+                flat.extend(ids_of[p])
+            lengths.append(len(flat) - before)
+        new.clear()
 
     def ids(texts: list[bytes]):
-        nonlocal flat, length, start
         if len(known) > limit:
             known.clear()
-            flat, length = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        pieces = [t.split() for t in texts]
-        rows = [np.fromiter(map(known.__getitem__, p), np.int64, len(p)) for p in pieces]
+            ids_of.clear()
+            del flat[:], lengths[:]
+        words = [t.split() for t in texts]
+        counts = np.array([len(w) for w in words], np.int64)
+        rows = np.fromiter((i for w in words for i in map(known.__getitem__, w)), np.int64, counts.sum())
         if new:
-            got = [e.ids for e in tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)]
-            length = np.concatenate([length, np.fromiter(map(len, got), np.int64, len(got))])
-            flat = np.concatenate([flat, np.fromiter((x for g in got for x in g), np.uint32)])
-            start = np.cumsum(length) - length
-            new.clear()
-        out = []
-        for row in rows:
-            n = length[row]
-            ends = np.cumsum(n)
-            out.append(flat[np.repeat(start[row] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)])
-        return out
+            learn()
+        size = np.array(lengths, np.int64)
+        start = np.cumsum(size) - size
+        n = size[rows]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        sums = np.concatenate([[0], ends])
+        edges = np.cumsum(counts)
+        return np.array(flat, np.uint32)[np.repeat(start[rows] - ends + n, n) + np.arange(total)], sums[edges] - sums[edges - counts]
 
     return ids
 
@@ -142,8 +195,11 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch, rows = whole.slice(at, 256), []
-                for ids in encode(batch.column("text").to_pylist()):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                every, counts = encode(batch.column("text").to_pylist())
+                stops = np.cumsum(counts)
+                every = np.insert(every, stops, np.uint32(end_id)).astype("<u4")
+                for stop, count, i in zip(stops, counts, range(len(counts))):
+                    ids = every[stop - count + i : stop + i + 1]
                     small = ids.max() < 65536
                     rows.append((len(ids), 2 if small else 4, (ids.astype("<u2") if small else ids).tobytes(), zlib.crc32(ids.tobytes())))
                 n, width, data, crc = zip(*rows)
@@ -184,7 +240,7 @@ def write_files(tokens: DataFrame, path: str | None = None) -> DataFrame:
     ids = tokens.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
     ranged = tokens.repartitionByRange(max(1, -(-ids // FILE_IDS)), "doc_id").withColumn("part", F.spark_partition_id()).sortWithinPartitions("doc_id", "n_tokens", "crc")
     files = ranged.select("doc_id", "width", "ids", "part").mapInArrow(run, "part int, seq int, n_ids long, doc_ids array<long>, counts array<long>, blob binary")
-    return stage(files, "token-files", path)
+    return stage(files, "token-files", path, "zstd")
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -217,8 +273,10 @@ def encode_corpus(docs: DataFrame, tokenizer_path: str, path: str | None = None)
     A null or empty text has the end id alone; equal doc_ids lie side by side, ordered
     by content, repeated rows each with their own place; an empty table writes no file.
     """
-    tokens = stage(tokenize(docs, tokenizer_path), "token-ids")
-    return read_files(write_files(tokens, path))
+    tokens = stage(tokenize(docs, tokenizer_path), "token-ids", codec="zstd")
+    files = write_files(tokens, path)
+    drop_staged(tokens)
+    return read_files(files)
 
 
 def token_at(spark: SparkSession, path: str, part: int, seq: int, i: int) -> int:
