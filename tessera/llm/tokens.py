@@ -86,7 +86,7 @@ class Codes:
 WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def encoder(tokenizer_json: str, limit: int = 600_000):
+def encoder(tokenizer_json: str, limit: int = 1_200_000):
     """A function from UTF-8 texts to their ids, as one array and counts by text.
 
     Where the tokenizer drops white space between pre-tokens, the library encodes each
@@ -97,7 +97,8 @@ def encoder(tokenizer_json: str, limit: int = 600_000):
     import json
     import os
     import re
-    from array import array
+    from itertools import chain
+    from unicodedata import is_normalized
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import numpy as np
@@ -117,7 +118,26 @@ def encoder(tokenizer_json: str, limit: int = 600_000):
 
     mark, mark_id = special[0]["content"], special[0]["id"]
     alone = tuple(t["content"].encode() for t in special)
-    pieces_of = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+").findall
+    suffix = shape["model"].get("end_of_word_suffix") or ""
+    ends_word = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+    for token, i in tokenizer.get_vocab().items():
+        ends_word[i] = bool(suffix) and token.endswith(suffix)
+    runs = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+").findall
+    # Texts of ASCII and Latin letters, which normalisation leaves alone, are cut into pre-tokens at once.
+    latin = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+    plainly = re.compile(f"[\t-\r -~{latin}]*").fullmatch
+    control = re.compile(rb"[\x1c-\x1f]").search
+    pretokens = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{latin}]+|[0-9]|[^\\sa-z0-9{latin}]+").findall
+
+    def cut_text(text: bytes):
+        if not any(a in text for a in alone):
+            if text.isascii():
+                if not control(text):
+                    return pretokens(text.decode().lower())
+            elif plainly(whole_text := text.decode("utf-8", "replace")):
+                return pretokens(whole_text.lower())
+        return text.split()
+    ended = re.compile(r"([^\W\d_]+)([,.;:!?()]+)").fullmatch
 
     class Known(dict):
         def __missing__(self, word):
@@ -125,60 +145,113 @@ def encoder(tokenizer_json: str, limit: int = 600_000):
             self[word] = n = len(self)
             return n
 
-    known, new, ids_of = Known(), [], {}
-    flat, lengths = array("I"), array("q")
+    known, new, ids_of, odd = Known(), [], {}, set()
+    flat, size, start = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def cut(word: bytes):
+        """Single pre-tokens of a word, or the word itself where that is not plain to see."""
+        if word.isascii():
+            if b"'" not in word and b"<" not in word:
+                return runs(word.lower())
+        else:
+            text = word.decode("utf-8", "replace")
+            m = ended(text) or ended(text + ".")
+            if m and m[1].isalpha() and m[1].lower().isalpha() and is_normalized("NFC", m[1]):
+                return (word,) if m[1] == text else (m[1].encode(), m[2].encode())
+        odd.add(word)
+        return (word,)
+
+    def as_text(piece) -> str:
+        return piece if type(piece) is str else piece.decode("utf-8", "replace")
+
+    def marked(part: list[bytes]):
+        ids = tokenizer.encode(mark.join(map(as_text, part)), add_special_tokens=False).ids
+        start = 0
+        for p, stop in zip(part, [*np.flatnonzero(np.array(ids) == mark_id).tolist(), len(ids)]):
+            ids_of[p] = ids[start:stop]
+            start = stop + 1
+
+    def joined(pieces: list):
+        """(ids, stops) of single pre-tokens in one call of the library; stops is None if
+        they can't be told apart. A pre-token's last token alone ends with the word suffix."""
+        for e, part in zip(tokenizer.encode_batch_fast([" ".join(map(as_text, p)) for p in pieces], add_special_tokens=False), pieces):
+            ids = np.array(e.ids, np.uint32)
+            stops = np.flatnonzero(ends_word[ids]) + 1
+            yield part, ids, stops if len(stops) == len(part) else None
 
     def learn():
-        cut = []
-        for word in new:
-            if word.isalpha():
-                cut.append((word.lower(),))
-            elif word.isascii() and b"'" not in word and b"<" not in word:
-                cut.append(pieces_of(word.lower()))
+        nonlocal flat, size, start
+        grown, lengths, places, held = [flat], np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), len(flat)
+        texts = [i for i, w in enumerate(new) if type(w) is str]
+        at = 0
+        for part, ids, stops in joined([[new[i] for i in texts[k : k + 500]] for k in range(0, len(texts), 500)]):
+            own = np.array(texts[at : at + len(part)])
+            at += len(part)
+            if stops is None:
+                marked(part)
+                found = [ids_of[p] for p in part]
+                stops = np.cumsum([len(f) for f in found])
+                ids = np.array([x for f in found for x in f], np.uint32)
+            lengths[own] = np.diff(stops, prepend=0)
+            places[own] = held + stops - lengths[own]
+            grown.append(ids)
+            held += len(ids)
+        words = [i for i, w in enumerate(new) if type(w) is not str]
+        cuts = [cut(new[i]) for i in words]
+        missing = list({p: None for p in chain.from_iterable(cuts) if p not in ids_of})
+        single = [p for p in missing if p not in odd]
+        for part, ids, stops in joined([single[k : k + 500] for k in range(0, len(single), 500)]):
+            if stops is None:
+                marked(part)
             else:
-                cut.append((word,))
-        missing = list({p: None for parts in cut for p in parts if p not in ids_of})
-        plain = [p for p in missing if not any(a in p for a in alone)]
-        for at in range(0, len(plain), 1000):
-            part = plain[at : at + 1000]
-            ids = tokenizer.encode(mark.join(p.decode("utf-8", "replace") for p in part), add_special_tokens=False).ids
-            stops = np.flatnonzero(np.array(ids) == mark_id).tolist() + [len(ids)]
-            start = 0
-            for p, stop in zip(part, stops):
-                ids_of[p] = ids[start:stop]
-                start = stop + 1
-        for p in missing:
+                ids_of.update(zip(part, (x.tolist() for x in np.split(ids, stops[:-1]))))
+        rest = [p for p in missing if p in odd]
+        plain = [p for p in rest if not any(a in p for a in alone)]
+        for k in range(0, len(plain), 500):
+            marked(plain[k : k + 500])
+        for p in rest:
             if p not in ids_of:
-                ids_of[p] = tokenizer.encode(p.decode("utf-8", "replace"), add_special_tokens=False).ids
-        for parts in cut:
-            before = len(flat)
-            for p in parts:
-                flat.extend(ids_of[p])
-            lengths.append(len(flat) - before)
+                ids_of[p] = tokenizer.encode(as_text(p), add_special_tokens=False).ids
+        for i, parts in zip(words, cuts):
+            ids = [x for p in parts for x in ids_of[p]]
+            lengths[i], places[i] = len(ids), held
+            grown.append(np.array(ids, np.uint32))
+            held += len(ids)
+        flat, size, start = np.concatenate(grown), np.concatenate([size, lengths]), np.concatenate([start, places])
         new.clear()
+        odd.clear()
+        ids_of.clear()
 
     def ids(texts: list[bytes]):
+        nonlocal flat, size, start
         if len(known) > limit:
             known.clear()
-            ids_of.clear()
-            del flat[:], lengths[:]
-        words = [t.split() for t in texts]
+            flat, size, start = flat[:0], size[:0], start[:0]
+        words = [cut_text(t) for t in texts]
         counts = np.array([len(w) for w in words], np.int64)
-        rows = np.fromiter((i for w in words for i in map(known.__getitem__, w)), np.int64, counts.sum())
+        rows = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, counts.sum())
         if new:
             learn()
-        size = np.array(lengths, np.int64)
-        start = np.cumsum(size) - size
         n = size[rows]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        sums = np.concatenate([[0], ends])
-        edges = np.cumsum(counts)
-        return np.array(flat, np.uint32)[np.repeat(start[rows] - ends + n, n) + np.arange(total)], sums[edges] - sums[edges - counts]
+        sums, edges = np.concatenate([[0], ends]), np.cumsum(counts)
+        return flat[np.repeat(start[rows] - ends + n, n) + np.arange(total)], sums[edges] - sums[edges - counts]
 
     return ids
 
 
+def worker_encoder(tokenizer_json: str):
+    """The worker process's encoder, kept from task to task with its bounded cache."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker"))
+    if getattr(held, "source", None) != tokenizer_json:
+        held.source, held.encode = tokenizer_json, encoder(tokenizer_json)
+    return held.encode
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """(doc_id, n_tokens, width, ids, crc): ids little-endian in ``width`` bytes each."""
     small_batches(docs.sparkSession)
@@ -191,10 +264,10 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame
         import numpy as np
         import pyarrow as pa
 
-        encode = encoder(model.value)
+        encode = worker_encoder(model.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch, rows = whole.slice(at, 256), []
+            for at in range(0, whole.num_rows, 512):
+                batch, rows = whole.slice(at, 512), []
                 every, counts = encode(batch.column("text").to_pylist())
                 stops = np.cumsum(counts)
                 every = np.insert(every, stops, np.uint32(end_id)).astype("<u4")
