@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, trim
 
 #: Bytes of a window, hidden units a direction, training windows a step and steps.
 WINDOW, HIDDEN, BATCH, STEPS, RATE = 64, 12, 192, 220, 0.012
@@ -180,7 +180,8 @@ def identify(docs: DataFrame, model: BiGRU | None, carry: tuple[str, ...] = ("do
     rows are each returned; equal texts get equal labels.
     """
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # a network of fixed size
+    # A network of fixed size, as plain values: workers need not have this package.
+    held = docs.sparkSession.sparkContext.broadcast(model and (model.labels, model.hidden, model.p))
 
     def run(batches):
         import os
@@ -188,7 +189,10 @@ def identify(docs: DataFrame, model: BiGRU | None, carry: tuple[str, ...] = ("do
         import pandas as pd
 
         os.environ.setdefault("OMP_NUM_THREADS", "1")
-        net = held.value
+        net = None
+        if held.value:
+            net = BiGRU(*held.value[:2])
+            net.p = held.value[2]
         for texts in batches:
             out = []
             for at in range(0, len(texts), 128):
@@ -202,6 +206,7 @@ def identify(docs: DataFrame, model: BiGRU | None, carry: tuple[str, ...] = ("do
                     p, marks = next(read)
                     out.append((net.labels[int(p.argmax())], round(float(min(1.0, p.max())), 6), marks.tolist()))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "positions"])
+        trim()
 
     udf = _iterator_udf(run, "lang_pred string, score double, positions array<long>")
     found = docs.select(*carry, F.col("text").cast("string").cast("binary").alias("__text")).withColumn("__r", udf("__text"))

@@ -221,28 +221,29 @@ def score(docs: DataFrame, mod: int = 10) -> DataFrame:
     counts = stage(word_counts(train), "lm-counts")
     vocabulary = Vocabulary(counts)
     model = fit(train, vocabulary)
-    held = spark.sparkContext.broadcast((vocabulary, model.pack()))  # bounded by HEAD and K
+    # Bounded by HEAD and K, and plain values: workers need not have this package.
+    held = spark.sparkContext.broadcast((vocabulary.head, vocabulary.classes, vocabulary.unigram, model.pack()))
 
     def run(batches):
         from collections import Counter
 
         import pyarrow as pa
 
-        v, flat = held.value
-        m = LogBilinear(v.unigram).unpack(flat)
-        logs = {w: (float(np.log10(c + 0.1)), w not in v.classes and w != END) for w, c in v.head.items()}
-        stop_log = float(np.log10(v.head.get(END, 0) + 0.1))
+        head, classes, unigram, flat = held.value
+        m = LogBilinear(unigram).unpack(flat)
+        logs = {w: (float(np.log10(c + 0.1)), w not in classes and w != END) for w, c in head.items()}
+        stop_log = float(np.log10(head.get(END, 0) + 0.1))
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch, out = whole.slice(at, 128), []
                 texts = [t.lower() for t in batch.column("text").to_pylist()]
                 if not texts:
                     continue
-                a, b, w, ends = _sequences(texts, v.classes)
+                a, b, w, ends = _sequences(texts, classes)
                 tokens = m.log10(a, b, w)
                 sums = np.add.reduceat(tokens, np.concatenate([[0], ends[:-1]]))
                 for i, text in enumerate(texts):
-                    base, other, n_other, known, n = stop_log, 0.0, 0, int(END in v.head), 1
+                    base, other, n_other, known, n = stop_log, 0.0, 0, int(END in head), 1
                     tail = {}
                     for word, times in Counter(text.split()).items():
                         n += times

@@ -18,11 +18,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_staged, few, release, rolling, small_batches, stage, word_hashes
+from .common import components, drop_staged, few, release, rolling, small_batches, stage, trim, word_hashes
 
 WORDS, LINK, OF = 5, 80, 100
 #: Counters of the frequency sketch (2**SKETCH), keys of a map block and of a reduce range, rows of a tile's task, pivots of a large tile in each turn.
-SKETCH, BLOCK_KEYS, RANGE_KEYS, TILE_ROWS, PIVOTS = 20, 400_000, 400_000, 100_000, (8, 16)
+SKETCH, BLOCK_KEYS, RANGE_KEYS, TILE_ROWS, PIVOTS = 20, 250_000, 250_000, 60_000, (8, 16)
 _CHUNK = 1 << 16
 
 
@@ -63,6 +63,7 @@ def frequencies(docs: DataFrame):
         if seen:
             chunks = np.minimum(counts, 65535).astype("<u2").reshape(-1, _CHUNK)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], names=["chunk", "counts"])
+        trim()
 
     def add(batches):
         import pyarrow as pa
@@ -97,7 +98,7 @@ def prefix(shingles, classes):
         return shingles
     order = classes[(shingles >> np.uint64(64 - SKETCH)).astype(np.int64)].astype(np.uint64) << np.uint64(58) | shingles >> np.uint64(6)
     length = n - -(-LINK * n // OF) + 1
-    return np.partition(order, length - 1)[:length]
+    return np.partition(order, length - 1)[:length].copy()
 
 
 def bitmap(shingles) -> bytes:
@@ -175,6 +176,7 @@ def _documents(docs: DataFrame, classes, ranges: int) -> DataFrame:
                 keys, ords, held_keys = [], [], 0
         if keys:
             yield packed()
+        trim()
 
     return stage(docs.mapInArrow(run, "doc_id long, gid long, n int, sid binary, r int, keys binary, ords binary, h long"), "ngram-docs")
 
@@ -191,7 +193,9 @@ def _shared_keys(packed: DataFrame, partitions: int) -> DataFrame:
         keys, ids = keys[order], ids[order]
         same = np.concatenate([[False], keys[1:] == keys[:-1], [False]])
         several = same[1:] | same[:-1]
-        return pd.DataFrame({"key": keys[several].view(np.int64), "gid": ids[several]})
+        found = pd.DataFrame({"key": keys[several].view(np.int64), "gid": ids[several]})
+        trim()
+        return found
 
     return packed.repartition(partitions, "r").groupBy("r").applyInPandas(find, "key long, gid long")
 
@@ -416,6 +420,7 @@ def _arrays(wanted: DataFrame) -> DataFrame:
                     out.append((id_, len(s), bitmap(s), s.astype("<u8").tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))), names=["id", "n", "bits", "shingles"])
+        trim()
 
     return wanted.mapInArrow(run, "id long, n int, bits binary, shingles binary")
 
