@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tessera.llm import decontam, langid, mixing, ngram_join, queries, tokens
 from tessera.llm.common import stage, table
 
-#: Documents without a letter, or whose language the network finds no likelier than this, are rejected.
-MIN_SCORE = 0.5
+#: Documents without a letter, or whose language the network finds less likely than this, are rejected;
+#: texts in two languages come near a half and stay.
+MIN_SCORE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
