@@ -72,11 +72,15 @@ def few(keys: DataFrame) -> DataFrame:
 
 
 def trim() -> None:
-    """Give a worker's freed memory back to the system; workers outlive their tasks."""
+    """Give a worker's memory back to the system, a tokenizer's cache that an earlier
+    stage left there included; workers outlive their tasks."""
     import ctypes
+    import sys
 
     import pyarrow as pa
 
+    if sys.modules.pop("_tessera_worker", None):
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
