@@ -22,7 +22,7 @@ from .common import components, drop_staged, few, release, rolling, small_batche
 
 WORDS, LINK, OF = 5, 80, 100
 #: Counters of the frequency sketch (2**SKETCH), keys of a map block and of a reduce range, rows of a tile's task, pivots of a large tile in each turn.
-SKETCH, BLOCK_KEYS, RANGE_KEYS, TILE_ROWS, PIVOTS = 20, 250_000, 250_000, 60_000, (8, 16)
+SKETCH, BLOCK_KEYS, RANGE_KEYS, TILE_ROWS, PIVOTS = 20, 250_000, 250_000, 60_000, (8, 16, 24)
 _CHUNK = 1 << 16
 
 
@@ -239,7 +239,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 #: Fixed seeds of the pivots: the pivot of a tile is its id that is least after an exclusive or.
-SEEDS = [(0x9E3779B97F4A7C15 * i) % (1 << 52) for i in range(1, 25)]
+SEEDS = [(0x9E3779B97F4A7C15 * i) % (1 << 52) for i in range(1, 49)]
 
 
 def _pivot_pairs(members: DataFrame, seeds: list[int]) -> DataFrame:
