@@ -1,15 +1,20 @@
 """Scoring by a log-bilinear language model trained with noise-contrastive estimation.
 
-The model predicts a token's class from the two tokens before it: the K - 2 most
-frequent words, the end of a text, and one class for all other words. Inside that
-class a word has its smoothed share of the corpus counts, so token probabilities are
-normalised over the whole vocabulary. Every partition of the training documents trains
-its own copy in one pass; copies are averaged by their tokens, so all data take part.
+The model predicts a token's entry from the two before it. Entries are the end of a text,
+the most frequent words, each its own, and hashed slots for all other words; both grow
+with the square root of the corpus's tokens. The first K - 1 entries are classes of their
+own, the rest form groups: a class is predicted first, then the entry inside its group.
+As contexts, too, entries of groups have their own vectors beside their group's. Inside
+a slot a word has its smoothed share of the slot's counts, so token probabilities are
+normalised over the whole vocabulary. Parts of the training documents train copies of
+their own in one pass; copies are averaged by their tokens (a grouped entry's vectors by
+how often the copy met it), so all data take part.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
+import math
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,82 +25,179 @@ from .langid import remainder
 
 #: Classes, dimensions, noise words a batch, tokens a batch, learning rate, and the most words that are looked up in memory.
 K, DIM, NOISE, BATCH, RATE, HEAD = 512, 16, 64, 1024, 0.2, 150_000
-#: The end of a text as a word: white space, so that no word equals it. Class numbers of it and of other words.
-END, OTHER, STOP = b"\n", 0, 1
+#: Noise entries a token inside its group, entries a packed row of a copy, and what a grouped entry's sums of squares start with.
+INNER_NOISE, CHUNK, START = 4, 1024, 1e-7
+#: The end of a text as a word: white space, so that no word equals it; its entry.
+END, STOP = b"\n", 0
+
+
+class Entries(dict):
+    """Entry of a word: its own, or the slot that its CRC-32 gives. ``slots`` is a power of two."""
+
+    def __init__(self, named: dict, slots: int):
+        super().__init__(named)
+        self.first, self.mask = len(named) + 1, slots - 1
+
+    def __missing__(self, word):
+        return self.first + (zlib.crc32(word) & self.mask)
 
 
 class LogBilinear:
-    """Score of word w after (a, b): (first[a] + second[b]) . out[w] + bias[w]."""
+    """Score of class w after (a, b): (first[a] + second[b]) . out[w] + bias[w], the sum in
+    brackets being that of the classes and of the grouped entries' own vectors; score of an
+    entry inside its group: the same sum . inner[w] + inner_bias[w]. The first ``alone``
+    entries are classes, the rest lie in groups of equal size (without it, all are classes)."""
 
     NAMES = ("first", "second", "out", "bias")
+    OWN = ("own_first", "own_second", "inner", "inner_bias")
 
-    def __init__(self, unigram, seed: int = 5):
+    def __init__(self, unigram, alone: int | None = None, seed: int = 5):
         rng = np.random.default_rng(seed)
-        k = len(unigram)
-        self.unigram = np.asarray(unigram, np.float64)
+        unigram = np.asarray(unigram, np.float64)
+        self.alone = len(unigram) if alone is None else min(alone, len(unigram))
+        rest = unigram[self.alone :]
+        self.size = max(1, math.isqrt(max(len(rest) - 1, 0)) + 1)
+        starts = np.arange(0, len(rest), self.size)
+        self.unigram = np.concatenate([unigram[: self.alone], np.add.reduceat(rest, starts)]) if len(rest) else unigram
+        k = len(self.unigram)
         for name in self.NAMES[:3]:
             setattr(self, name, rng.normal(0, 0.1, (k, DIM)).astype(np.float32))
         self.bias = np.log(self.unigram).astype(np.float32)
+        for name in self.OWN[:3]:
+            setattr(self, name, np.zeros((len(rest), DIM), np.float32))
+        self.share = (rest / self.unigram[self.alone + np.arange(len(rest)) // self.size]).astype(np.float32) if len(rest) else np.zeros(0, np.float32)
+        self.inner_bias = np.log(self.share)
 
-    def pack(self):
-        return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
+    def pack(self, names=NAMES, rows=slice(None)):
+        return np.concatenate([getattr(self, n)[rows].ravel() for n in names])
 
-    def unpack(self, flat):
+    def unpack(self, flat, names=NAMES, rows=slice(None)):
         at = 0
-        for n in self.NAMES:
-            old = getattr(self, n)
-            setattr(self, n, np.asarray(flat[at : at + old.size], np.float32).reshape(old.shape))
+        for n in names:
+            old = getattr(self, n)[rows]
+            getattr(self, n)[rows] = np.asarray(flat[at : at + old.size], np.float32).reshape(old.shape)
             at += old.size
         return self
 
+    def classes(self, w):
+        """Class of each entry."""
+        return np.where(w < self.alone, w, self.alone + (w - self.alone) // self.size)
+
+    def context(self, a, b):
+        """Vectors of the entries before a token."""
+        r = self.first[self.classes(a)] + self.second[self.classes(b)]
+        for table, x in ((self.own_first, a), (self.own_second, b)):
+            grouped = np.flatnonzero(x >= self.alone)
+            r[grouped] += table[x[grouped] - self.alone]
+        return r
+
     def train(self, a, b, w, rng):
-        """One step of noise-contrastive estimation on a batch: tell each word from
-        NOISE words drawn from the unigram distribution; Adagrad."""
+        """One step of noise-contrastive estimation on a batch: tell each class from NOISE
+        classes drawn from the unigram distribution, and each grouped entry from INNER_NOISE
+        entries of its group; Adagrad."""
         k = len(self.unigram)
         if not hasattr(self, "sums"):
             self.sums = {n: np.full(getattr(self, n).shape, 1e-3, np.float32) for n in self.NAMES}
+            self.sums |= {n: np.full(getattr(self, n).shape, START, np.float32) for n in self.OWN}
             self.shift = (np.log(self.unigram) + np.log(NOISE)).astype(np.float32)
+            self.inner_shift = self.inner_bias + np.float32(np.log(INNER_NOISE))
             self.cumulative = np.cumsum(self.unigram)
+            self.inner_cumulative = np.concatenate([[0], np.cumsum(self.share, dtype=np.float64)])
+            self.met = np.zeros(len(self.share), np.float32)
         noise = np.minimum(np.searchsorted(self.cumulative, rng.random(NOISE) * self.cumulative[-1]), k - 1)
-        r = self.first[a] + self.second[b]
-        real = np.einsum("ij,ij->i", r, self.out[w]) + self.bias[w] - self.shift[w]
+        r, c = self.context(a, b), self.classes(w)
+        real = np.einsum("ij,ij->i", r, self.out[c]) + self.bias[c] - self.shift[c]
         fake = r @ self.out[noise].T + self.bias[noise] - self.shift[noise]
         g = 0.5 * np.tanh(0.5 * real) - 0.5  # sigmoid - 1
         h = 0.5 * np.tanh(0.5 * fake) + 0.5
-        dr = g[:, None] * self.out[w] + h @ self.out[noise]
-        grads = {"first": _rows(a, dr, k), "second": _rows(b, dr, k), "out": _rows(w, g[:, None] * r, k), "bias": np.bincount(w, g, k)}
+        dr = g[:, None] * self.out[c] + h @ self.out[noise]
+        grouped = np.flatnonzero(w >= self.alone)
+        if len(grouped):
+            dr[grouped] += self._train_inner(r[grouped], w[grouped] - self.alone, len(w), rng)
+        grads = {"first": _rows(self.classes(a), dr, k), "second": _rows(self.classes(b), dr, k), "out": _rows(c, g[:, None] * r, k), "bias": np.bincount(c, g, k)}
         np.add.at(grads["out"], noise, h.T @ r)
         np.add.at(grads["bias"], noise, h.sum(axis=0))
         for n, grad in grads.items():
             grad = (grad / len(w)).astype(np.float32)
             self.sums[n] += grad * grad
             setattr(self, n, getattr(self, n) - RATE * grad / np.sqrt(self.sums[n]))
-
-    def log10(self, a, b, w, block: int = 4096):
-        """log10 of the classes' probabilities; a context's normaliser is computed once a call."""
-        k = len(self.unigram)
-        pairs, at = np.unique(a.astype(np.int64) * k + b, return_inverse=True)
-        r = self.first[pairs // k] + self.second[pairs % k]
+        for n, x in (("own_first", a), ("own_second", b)):
+            own = np.flatnonzero(x >= self.alone)
+            self._step(x[own] - self.alone, {n: dr[own] / len(w)})
+
+    def _train_inner(self, r, w, n: int, rng):
+        """The step inside the groups for entries w after r; the gradient of r."""
+        low = w // self.size * self.size
+        edges = self.inner_cumulative[low], self.inner_cumulative[np.minimum(low + self.size, len(self.share))]
+        draws = edges[0][:, None] + rng.random((len(w), INNER_NOISE)) * (edges[1] - edges[0])[:, None]
+        last = np.minimum(low + self.size, len(self.share)) - 1
+        noise = np.clip(np.searchsorted(self.inner_cumulative, draws, "right") - 1, low[:, None], last[:, None])
+        x = np.concatenate([w[:, None], noise], axis=1)
+        v = self.inner[x]
+        s = 0.5 * np.tanh(0.5 * (np.einsum("ij,ikj->ik", r, v) + self.inner_bias[x] - self.inner_shift[x])) + 0.5
+        s[:, 0] -= 1
+        self.met += np.bincount(w, minlength=len(self.met)).astype(np.float32)
+        dr = np.einsum("ik,ikj->ij", s, v)
+        s /= n
+        self._step(x.ravel(), {"inner": (s[:, :, None] * r[:, None, :]).reshape(-1, DIM), "inner_bias": s.reshape(-1, 1)})
+        return dr
+
+    def _step(self, index, values: dict):
+        """Adagrad on the tables' rows that occur."""
+        if not len(index):
+            return
+        order = np.argsort(index, kind="stable")
+        index = index[order]
+        starts = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
+        rows = index[starts]
+        for name, own in values.items():
+            grad = np.add.reduceat(own[order], starts, axis=0).astype(np.float32)
+            table, sums = (t.reshape(len(t), -1) for t in (getattr(self, name), self.sums[name]))
+            now = sums[rows] + grad * grad
+            sums[rows] = now
+            table[rows] -= RATE * grad / np.sqrt(now)
+
+    def log10(self, a, b, w, block: int = 256):
+        """log10 of the entries' probabilities; a context's normaliser is computed once a call."""
+        e = self.alone + len(self.share)
+        pairs, at = np.unique(a.astype(np.int64) * e + b, return_inverse=True)
+        r, c = self.context(pairs // e, pairs % e), self.classes(w)
         z = np.empty(len(pairs), np.float32)
         for i in range(0, len(pairs), block):
-            s = r[i : i + block] @ self.out.T + self.bias
-            top = s.max(axis=1)
-            z[i : i + block] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-        s = np.einsum("ij,ij->i", r[at], self.out[w]) + self.bias[w] - z[at]
+            s = r[i : i + block] @ self.out.T
+            s += self.bias
+            z[i : i + block] = _normaliser(s)
+        s = np.einsum("ij,ij->i", r[at], self.out[c]) + self.bias[c] - z[at]
+        grouped = np.flatnonzero(c >= self.alone)
+        grouped = grouped[np.argsort(c[grouped], kind="stable")]
+        for part in np.split(grouped, np.flatnonzero(np.diff(c[grouped])) + 1) if len(grouped) else ():
+            low = (c[part[0]] - self.alone) * self.size
+            for i in range(0, len(part), block):
+                own = part[i : i + block]
+                t = r[at[own]] @ self.inner[low : low + self.size].T + self.inner_bias[low : low + self.size]
+                s[own] += t[np.arange(len(own)), w[own] - self.alone - low]
+                s[own] -= _normaliser(t)
         return s.astype(np.float64) / np.log(10)
 
 
+def _normaliser(s):
+    """Logarithms of the sums of the rows' exponentials; overwrites its argument."""
+    top = s.max(axis=1)
+    s -= top[:, None]
+    return top + np.log(np.exp(s, out=s).sum(axis=1))
+
+
 def _rows(index, values, k: int):
     """Sums of the values' rows by index."""
     return np.stack([np.bincount(index, v, k) for v in values.T], axis=1)
 
 
-def _sequences(texts: list[bytes], classes: dict):
-    """Classes (a, b, w) of all tokens of lower-cased texts, and where each text ends."""
-    get, lines = classes.get, []
+def _sequences(texts: list[bytes], entries: Entries):
+    """Entries (a, b, w) of all tokens of lower-cased texts, and where each text ends."""
+    get, lines = entries.__getitem__, []
     for t in texts:
         words = t.split()
-        lines.append(np.fromiter(map(get, words, repeat(OTHER)), np.int32, len(words)))
+        lines.append(np.fromiter(map(get, words), np.int32, len(words)))
     stop = np.full(1, STOP, np.int32)
     w = np.concatenate([x for line in lines for x in (line, stop)])
     ends = np.cumsum([len(line) + 1 for line in lines])
@@ -135,63 +237,91 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """What scoring keeps in memory: sizes, the most frequent words, and the classes; bounded by HEAD."""
+    """What scoring keeps in memory: sizes, the most frequent words, and the entries;
+    bounded by HEAD and the square root of the tokens."""
 
     def __init__(self, counts: DataFrame):
         band = F.floor(F.log2("c") * 8).cast("int")
         rows = counts.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).orderBy(F.desc("band")).collect()  # a few hundred
         self.n, self.v = sum(r["c"] for r in rows), sum(r["n"] for r in rows)
+        entries = max(K - 2, 2 * math.isqrt(self.n))
+        self.slots = 1 << (entries - 1).bit_length()
+        low, own = self._lowest(rows, max(HEAD, entries)), self._lowest(rows, entries)
+        head = counts.where(band >= low).toPandas() if rows else None
+        self.head = dict(zip(map(bytes, head["word"]), head["c"].tolist())) if rows else {}
+        bands = counts.where((band >= own) & (F.col("word") != F.lit(END))).toPandas() if rows else None
+        named = sorted(zip(bands["c"].tolist(), map(bytes, bands["word"])), key=lambda x: (-x[0], x[1])) if rows else []
+        self.named = {w: i + 1 for i, (_, w) in enumerate(named)}
+        # All words without an entry of their own, counted by slot.
+        c, v = np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int64)
+        slot = F.crc32("word").bitwiseAND(F.lit(self.slots - 1))
+        for r in counts.where((band < own) & (F.col("word") != F.lit(END))).groupBy(slot.alias("slot")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+            c[r["slot"]], v[r["slot"]] = r["c"], r["v"]
+        mass = np.concatenate([[self.head.get(END, 0)], [c for c, _ in named], c]) + 0.5
+        self.unigram = mass / mass.sum()
+        #: log10 of what a slot's words share, one word that no training row has included; 0 for words of their own entry.
+        self.shared = np.concatenate([np.zeros(len(named) + 1), np.log10(c + 0.1 * (v + 1))])
+
+    @staticmethod
+    def _lowest(rows, most: int) -> int:
+        """The lowest band such that it and all above have ``most`` words at most."""
         low, held = 1 << 30, 0
         for r in rows:
             held += r["n"]
-            if held > HEAD:
+            if held > most:
                 break
             low = r["band"]
-        head = counts.where(band >= low).toPandas() if rows else None
-        self.head = dict(zip(map(bytes, head["word"]), head["c"].tolist())) if rows else {}
-        named = sorted(((c, w) for w, c in self.head.items() if w != END), key=lambda x: (-x[0], x[1]))[: K - 2]
-        self.classes = {w: i + 2 for i, (_, w) in enumerate(named)}
-        known = [self.head.get(END, 0), *(c for c, _ in named)]
-        self.n_other, self.v_other = self.n - sum(known), self.v - sum(c > 0 for c in known)
-        self.unigram = [(c + 0.5) / (self.n + 0.5 * (len(known) + 1)) for c in [self.n_other, *known]]
+        return low
 
 
 def fit(docs: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
-    """Average, weighted by tokens, of the copies that the partitions of docs(text) train."""
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary.classes, vocabulary.unigram))  # bounded by K
+    """Average of the copies that parts of docs(text) train. Copies are at most as many as
+    the square root of the tokens allows, so that their size stays in proportion to the corpus."""
+    held = docs.sparkSession.sparkContext.broadcast((vocabulary.named, vocabulary.slots, vocabulary.unigram))  # bounded by the square root of the tokens
+    kinds = "chunk int, copy int, weights binary, model binary"
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
+        from pyspark import TaskContext
 
-        classes, unigram = held.value
-        model, rng, kept, n = LogBilinear(unigram), np.random.default_rng(3), [], 0
+        named, slots, unigram = held.value
+        entries, model, rng, kept, n = Entries(named, slots), LogBilinear(unigram, K - 1), np.random.default_rng(3), [], 0
         for batch in batches:
             texts = [t.lower() for t in batch.column("text").to_pylist()]
             for at in range(0, len(texts), 64):
-                kept.append(_sequences(texts[at : at + 64], classes)[:3])
+                kept.append(_sequences(texts[at : at + 64], entries)[:3])
                 if sum(len(k[2]) for k in kept) >= 16 * BATCH:
                     n += _train(model, kept, rng)
                     kept = []
         if kept:
             n += _train(model, kept, rng)
-        if n:
-            import pyarrow as pa
 
-            yield pa.RecordBatch.from_pandas(pd.DataFrame({"n": [n], "model": [model.pack().astype("<f4").tobytes()]}))
+        def row(chunk, weights, flat):
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([flat.astype("<f4").tobytes()], pa.binary())], names=["chunk", "copy", "weights", "model"])
+
+        if n:
+            yield row(-1, np.array([n]), model.pack())
+            for chunk, at in enumerate(range(0, len(model.share), CHUNK)):
+                rows = slice(at, at + CHUNK)
+                yield row(chunk, model.met[rows] + 1e-3, model.pack(model.OWN, rows))
 
     def average(key, pdf):
         import pandas as pd
 
-        n = pdf["n"].to_numpy(np.float64)
-        flat = sum(w * np.frombuffer(m, "<f4") for w, m in zip(n, pdf["model"])) / n.sum()
-        return pd.DataFrame({"n": [int(n.sum())], "model": [flat.astype("<f4").tobytes()]})
-
-    copies = stage(docs.select("text").mapInArrow(run, "n long, model binary").withColumn("group", F.spark_partition_id() % 64), "lm-copies")
-    means = copies.groupBy("group").applyInPandas(average, "n long, model binary").orderBy("n", "model").collect()  # 64 at most
-    model = LogBilinear(vocabulary.unigram)
-    if means:
-        total = sum(r["n"] for r in means)
-        model.unpack(sum(r["n"] / total * np.frombuffer(r["model"], "<f4").astype(np.float64) for r in means))
+        total, mean = 0, 0
+        for _, weights, flat in sorted(zip(pdf["copy"], pdf["weights"], pdf["model"])):
+            weights, flat = np.frombuffer(weights, "<f4").astype(np.float64), np.frombuffer(flat, "<f4")
+            # Tables of rows of DIM numbers, the biases last.
+            spread = np.concatenate([np.tile(np.repeat(weights, DIM), 3), weights]) if key[0] >= 0 else weights
+            total, mean = total + spread, mean + spread * flat
+        return pd.DataFrame({"chunk": [key[0]], "model": [(mean / total).astype("<f4").tobytes()]})
+
+    parts = max(32, math.isqrt(vocabulary.n) // 140)
+    copies = docs.select("text").coalesce(parts).mapInArrow(run, kinds)
+    model = LogBilinear(vocabulary.unigram, K - 1)
+    for r in copies.groupBy("chunk").applyInPandas(average, "chunk int, model binary").collect():  # one model
+        flat, at = np.frombuffer(r["model"], "<f4"), r["chunk"] * CHUNK
+        model.unpack(flat) if r["chunk"] < 0 else model.unpack(flat, model.OWN, slice(at, at + CHUNK))
     return model
 
 
@@ -221,17 +351,18 @@ def score(docs: DataFrame, mod: int = 10) -> DataFrame:
     counts = stage(word_counts(train), "lm-counts")
     vocabulary = Vocabulary(counts)
     model = fit(train, vocabulary)
-    # Bounded by HEAD and K, and plain values: workers need not have this package.
-    held = spark.sparkContext.broadcast((vocabulary.head, vocabulary.classes, vocabulary.unigram, model.pack()))
+    # Bounded by HEAD and the square root of the tokens, and plain values: workers need not have this package.
+    held = spark.sparkContext.broadcast((vocabulary.head, vocabulary.named, vocabulary.slots, vocabulary.unigram, vocabulary.shared, model.pack(), model.pack(model.OWN)))
 
     def run(batches):
         from collections import Counter
 
         import pyarrow as pa
 
-        head, classes, unigram, flat = held.value
-        m = LogBilinear(unigram).unpack(flat)
-        logs = {w: (float(np.log10(c + 0.1)), w not in classes and w != END) for w, c in head.items()}
+        head, named, slots, unigram, shared, flat, own = held.value
+        entries, m = Entries(named, slots), LogBilinear(unigram, K - 1).unpack(flat)
+        m.unpack(own, m.OWN)
+        logs = {w: (float(np.log10(c + 0.1)), w not in named and w != END) for w, c in head.items()}
         stop_log = float(np.log10(head.get(END, 0) + 0.1))
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
@@ -239,38 +370,35 @@ def score(docs: DataFrame, mod: int = 10) -> DataFrame:
                 texts = [t.lower() for t in batch.column("text").to_pylist()]
                 if not texts:
                     continue
-                a, b, w, ends = _sequences(texts, classes)
-                tokens = m.log10(a, b, w)
+                a, b, w, ends = _sequences(texts, entries)
+                tokens = m.log10(a, b, w) - shared[w]
                 sums = np.add.reduceat(tokens, np.concatenate([[0], ends[:-1]]))
                 for i, text in enumerate(texts):
-                    base, other, n_other, known, n = stop_log, 0.0, 0, int(END in head), 1
+                    base, other, known, n = stop_log, 0.0, int(END in head), 1
                     tail = {}
                     for word, times in Counter(text.split()).items():
                         n += times
                         found = logs.get(word)
                         if found is None:
                             tail[word] = times
-                            n_other += times
                             continue
                         known += times
                         base += times * found[0]
                         if found[1]:
-                            n_other += times
                             other += times * found[0]
-                    out.append((n, known, base, float(sums[i]), n_other, other, list(tail), list(tail.values())))
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *map(pa.array, zip(*out), kinds)], names=["doc_id", "held_out", "n_tokens", "known", "base", "model", "n_other", "other", "tail", "times"])
+                    out.append((n, known, base, float(sums[i]), other, list(tail), list(tail.values())))
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *map(pa.array, zip(*out), kinds)], names=["doc_id", "held_out", "n_tokens", "known", "base", "model", "other", "tail", "times"])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    found = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, n_other long, other double, tail array<binary>, times array<int>")
+    found = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, other double, tail array<binary>, times array<int>")
     found = stage(found.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
     rare = found.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.times").alias("times"))
     # Words of the training rows all have a count; those of held-out rows alone have none.
     sums = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"))
     logs, more = F.coalesce("logs", F.lit(0.0)), F.coalesce("more", F.lit(0))
     all_mass = float(np.log10(vocabulary.n + 0.1 * (vocabulary.v + 1)))
-    other_mass = float(np.log10(vocabulary.n_other + 0.1 * (vocabulary.v_other + 1)))
     return found.join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(vocabulary.n).cast("long").alias("train_tokens"),
-        (F.col("base") + logs - F.col("n_tokens") * all_mass).alias("base_score"), (F.col("model") + F.col("other") + logs - F.col("n_other") * other_mass).alias("score"),
+        (F.col("base") + logs - F.col("n_tokens") * all_mass).alias("base_score"), (F.col("model") + F.col("other") + logs).alias("score"),
     )

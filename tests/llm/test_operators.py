@@ -222,6 +222,23 @@ def test_lm_beats_the_base_on_held_out_texts(spark):
     assert score > base
 
 
+def test_lm_scores_rare_words_in_their_context(spark):
+    import random
+
+    rng, pairs = random.Random(4), 1500  # beyond the most frequent words that are classes of their own
+    order = [i for _ in range(40) for i in rng.sample(range(pairs), pairs)]
+    rows = [(i, " ".join(f"left{j} right{j}" for j in order[i * 50 : i * 50 + 50])) for i in range(len(order) // 50)]
+    some = rng.sample(range(pairs), 200)
+    rows += [(-1, " ".join(f"left{j} right{j}" for j in some)), (-2, " ".join(f"left{j} right{k}" for j, k in zip(some, some[1:] + some[:1])))]
+    got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()}
+    assert math.isclose(got[-1]["base_score"], got[-2]["base_score"], rel_tol=1e-9)
+    assert got[-1]["score"] > got[-2]["score"] + 20
+    model = lm.LogBilinear(np.arange(1, 41) / 820, alone=8)
+    model.inner += np.random.default_rng(1).normal(0, 1, model.inner.shape).astype(np.float32)
+    a = np.full(40, 30, np.int32)
+    assert math.isclose(sum(10 ** model.log10(a, a, np.arange(40))), 1, rel_tol=1e-5)
+
+
 def test_words_beyond_memory_join_their_counts(corpus, monkeypatch):
     docs = corpus.select("doc_id", "text")
     whole = {r["doc_id"]: (r["base_score"], r["n_known"], r["score"]) for r in lm.score(docs).collect()}
