@@ -1,7 +1,7 @@
 """Media columns: texts stored losslessly as WAV, read back, and fingerprinted.
 
-The samples pass a short-time Fourier transform; the strongest spectral peak of each
-block of frames is paired with the next peaks, and the pairs are kept as time-coded
+The samples pass a short-time Fourier transform; every local peak of the spectrogram is
+paired with the next peaks, of its own frame too, and the pairs are kept as time-coded
 integers: frame * 2**20 + f1 * 2**14 + f2 * 2**8 + dt.
 """
 
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Samples a frame, hop, frames a peak block, partners a peak, samples a transform call.
-WINDOW, HOP, BLOCK, FAN, CHUNK = 64, 32, 16, 3, 1 << 20
+#: Samples a frame, hop, partners a peak, samples a transform call, and how far below its frame's strongest bin a peak may lie (1/16 of a doubling).
+WINDOW, HOP, FAN, CHUNK, BELOW = 64, 32, 3, 1 << 20, 96
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_peaks long, fingerprints array<long>"
 
@@ -41,24 +41,30 @@ def from_wav(media: bytes) -> bytes:
 
 
 def peaks(samples: bytes):
-    """(frame, bin) of each block's strongest bin, by frame; levels are rounded to
-    1/16 of a doubling so that ties fall to the first frame and the lowest bin."""
+    """(frame, bin) of the spectrogram's local peaks, by frame and bin: bins above those
+    beside them in frequency and not below those of the next frames, at most BELOW under
+    their frame's strongest bin, which is always one. Levels are rounded to 1/16 of a
+    doubling; of equal ones the lower bin is the peak."""
     import numpy as np
 
     x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
     hann = np.hanning(WINDOW + 1)[:-1].astype(np.float32)
     n = (len(x) - WINDOW) // HOP + 1
     found = []
-    for start in range(0, n, CHUNK // HOP // BLOCK * BLOCK):
-        stop = min(n, start + CHUNK // HOP // BLOCK * BLOCK)
-        frames = np.lib.stride_tricks.sliding_window_view(x[start * HOP : (stop - 1) * HOP + WINDOW], WINDOW)[::HOP]
+    for start in range(0, n, CHUNK // HOP):
+        stop = min(n, start + CHUNK // HOP)
+        first, last = max(start - 1, 0), min(stop + 1, n)  # a frame more on either side
+        frames = np.lib.stride_tricks.sliding_window_view(x[first * HOP : (last - 1) * HOP + WINDOW], WINDOW)[::HOP]
         power = np.abs(np.fft.rfft(frames * hann, axis=1))[:, 1:]
-        level = np.rint(16 * np.log2(power + 1)).astype(np.int32)
-        pad = -len(level) % BLOCK
-        level = np.pad(level, ((0, pad), (0, 0)), constant_values=-1)
-        best = level.reshape(-1, BLOCK * level.shape[1]).argmax(axis=1)
-        frame = start + np.arange(len(best)) * BLOCK + best // level.shape[1]
-        found.append(np.stack([frame, best % level.shape[1] + 1]))
+        level = np.full((last - first + 2, power.shape[1] + 2), -1, np.int32)
+        level[1:-1, 1:-1] = np.rint(16 * np.log2(power + 1))
+        own = level[1:-1, 1:-1]
+        best = own.argmax(axis=1)
+        peak = (own > level[1:-1, :-2]) & (own >= level[1:-1, 2:]) & (own >= level[:-2, 1:-1]) & (own >= level[2:, 1:-1])
+        peak &= own >= own[np.arange(len(own)), best][:, None] - BELOW
+        peak[np.arange(len(own)), best] = True
+        frame, bins = np.nonzero(peak[start - first : stop - first])
+        found.append(np.stack([frame + start, bins + 1]))
     return n, np.concatenate(found, axis=1).astype(np.int64)
 
 
@@ -75,7 +81,7 @@ def media_features(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): the stored form's sizes and digests, and
     features of what was read back. A null text is empty; an empty text is stored as 64
     zero bytes; equal texts give equal values, repeated rows are each returned, long
-    texts are transformed in chunks of whole blocks (a WAV file holds below 4 GiB).
+    texts are transformed in chunks of frames (a WAV file holds below 4 GiB).
     """
 
     small_batches(docs.sparkSession)

@@ -71,6 +71,24 @@ def test_spectral_peak_follows_the_tone():
         assert n == len(t) // 32 - 1 and set(points[1]) == {k}
 
 
+def test_short_texts_have_fingerprints_of_their_own(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = {"".join(rng.choice("abcdefghijklmnop qrstuvwxyz") for _ in range(n)) for n in (40, 60, 100, 200, 480) for _ in range(40)}
+    got = media.media_features(spark.createDataFrame(list(enumerate(sorted(texts))), "doc_id long, text string")).collect()
+    assert all(len(r["fingerprints"]) >= 3 for r in got)
+    assert len({r["feature"] for r in got}) == len(texts)
+    assert len({tuple(r["fingerprints"]) for r in got}) == len(texts)
+
+
+def test_peaks_do_not_depend_on_chunks(monkeypatch):
+    data = np.random.default_rng(2).integers(32, 127, 64 * 300).astype(np.uint8).tobytes()
+    n, whole = media.peaks(data)
+    monkeypatch.setattr(media, "CHUNK", 64 * 32)
+    assert media.peaks(data)[0] == n and np.array_equal(media.peaks(data)[1], whole)
+
+
 def test_mix_reaches_targets(spark, corpus):
     rows = mixing.mix(corpus).join(corpus.select("doc_id", "source"), "doc_id").collect()
     size, taken, target, largest = Counter(), Counter(), {}, Counter()
