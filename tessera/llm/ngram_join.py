@@ -371,6 +371,12 @@ def join(docs: DataFrame) -> DataFrame:
     and is its own component. component_id is the smallest non-null doc_id that links
     reach (null if there is none). Repeated rows and doc_ids are each returned.
     """
+    return _joined(docs).drop("root")
+
+
+def _joined(docs: DataFrame) -> DataFrame:
+    """Rows of ``join`` with ``root``, which names the component itself whatever its doc_ids
+    are (null for rows without words)."""
     small_batches(docs.sparkSession)
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("h"))
@@ -400,9 +406,9 @@ def join(docs: DataFrame) -> DataFrame:
     roots = components(links.union(more))
     placed = sets.join(roots, sets["id"] == roots["node"], "left").select("sid", "low", F.coalesce("root", "id").alias("root"))
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = placed.select("sid", "root").join(lows, "root").select("sid", "component_id")
+    known = placed.select("sid", "root").join(lows, "root").select("sid", "root", "component_id")
     component = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.join(known, "sid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("h").alias("text_hash"))
+    return rows.join(known, "sid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("h").alias("text_hash"), "root")
 
 
 def _arrays(wanted: DataFrame) -> DataFrame:
@@ -442,3 +448,21 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         return kept
     same = docs["doc_id"].eqNullSafe(F.col("__d")) & (text == F.col("__h"))
     return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs, with its own columns, with one row of each component, told apart by the
+    component itself: ``deduplicate`` takes components of one component_id for one. The row
+    is that of the smallest doc_id (null after all others; of equal ones the smallest text
+    hash, and of wholly repeated rows any one). Rows without words stay, all of them."""
+    found = stage(_joined(docs).where("n_shingles > 0").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("copies")), "ngram-found")
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
+    heads = found.groupBy("root").agg(F.min(order).alias("head"))
+    marked = found.join(heads, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash")))
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    same = docs["doc_id"].eqNullSafe(F.col("__d")) & (text == F.col("__h"))
+    losers, again = (marked.where(x).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")) for x in (~F.col("stays"), F.col("stays") & (F.col("copies") > 1)))
+    kept = docs.join(losers, same, "left_anti")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -369,6 +369,16 @@ def test_deduplicate_keeps_one_of_each_component(spark, awkward):
         assert len(kept) - len(with_words) == sum(n == 0 for _, n, _ in want)
 
 
+def test_unlinked_texts_stay_whatever_their_ids(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b.upper()), (5, c), (5, d), (5, d), (6, c + " more"), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r["doc_id"], low(r["text"])) for r in corpus_pipeline.join_near_duplicates(spark, docs, SF).collect())
+    assert kept == Counter([(None, a), (None, b), (5, c), (5, d), (None, ""), (None, "")])
+
+
 def test_bitmap_bound_never_rejects_a_link():
     rng = np.random.default_rng(2)
     for n in (1, 5, 70, 600):
