@@ -202,6 +202,35 @@ def long_ratio_reuse(spark, sf_dir):
     return pairs.long_ratio_reuse(_long(spark, sf_dir), ["grp"], LONG)
 
 
+#: The same detectors at all offsets up to the reference's.
+FAR = PairParams(min_pairs=4, max_offset=80)
+LONG_FAR = PairParams(min_pairs=2, min_support=0.5, ratio_places=1, max_offset=80)
+
+
+def _far(name: str, last: int) -> str:
+    return ORACLE_SQL[name].replace(f"range(1, {last + 1})", "range(1, 81)")
+
+
+@query(_far("row_offset_scalar", 8))
+def row_offset_scalar_80(spark, sf_dir):
+    return pairs.row_offset_scalar(_events(spark, sf_dir), FAR)
+
+
+@query(_far("row_offset_rounding_bias", 8))
+def row_offset_rounding_bias_80(spark, sf_dir):
+    return pairs.rounding_bias(_events(spark, sf_dir), FAR)
+
+
+@query(_far("paired_ratio_reuse", 8))
+def paired_ratio_reuse_80(spark, sf_dir):
+    return pairs.paired_ratio_reuse(line_cells(spark, sf_dir), FAR)
+
+
+@query(_far("long_ratio_reuse", 40))
+def long_ratio_reuse_80(spark, sf_dir):
+    return pairs.long_ratio_reuse(_long(spark, sf_dir), ["grp"], LONG_FAR)
+
+
 @query(LONGSQL + """, k as (select * from lp where ratio is not null), t as (select grp, count(*) as n_pairs from k group by all), n as (select grp, ratio, count(*) as support_rows from k group by all)
 select grp, ratio, support_rows, n_pairs, round(support_rows / n_pairs, 4) as support_rate, case when support_rows / n_pairs >= 0.5 then 'high' else 'medium' end as risk_level,
  ratio <> 10 and support_rows >= 2 and support_rows / n_pairs >= 0.2 as flagged from n join t using (grp)""")

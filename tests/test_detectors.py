@@ -204,3 +204,12 @@ def test_event_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("progress").count() == 2
+
+
+def test_registered_offset_queries_reach_eighty_rows(spark):
+    from tessera.plans.catalog import QUERIES
+    from tests.conftest import SF
+
+    found = QUERIES["row_offset_scalar_80"](spark, SF)
+    assert {r["offset"] for r in found.select("offset").distinct().collect()} > set(range(1, 20))
+    assert "range(1, 81)" in __import__("tessera.plans.catalog", fromlist=["x"]).ORACLE_SQL["row_offset_scalar_80"]
