@@ -35,12 +35,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return _OWN_DIRS[app]
 
 
-def stage(df: DataFrame, name: str, path: str | None = None, codec: str = "snappy") -> DataFrame:
-    """Write a table to the shared folder and read it back: the plan is cut there,
-    later scans prune columns, and a lost executor costs only its own tasks."""
+def stage(df: DataFrame, name: str, path: str | None = None, codec: str = "snappy", by: str | None = None) -> DataFrame:
+    """Write a table to the shared folder (a folder a value of ``by``) and read it back: the
+    plan is cut there, later scans prune columns, and a lost executor costs only its own tasks."""
     spark = df.sparkSession
     path = path or f"{scratch_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,15 +1,21 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures.
 
 Documents are sets of distinct 5-word shingles; two link when 100 * intersection >= 80 *
-union. The join is exact (on 64-bit shingle hashes) and never meets all pairs:
+union, that is when their symmetric difference is at most a ninth of the sum of their
+sizes. The join is exact (on 64-bit shingle hashes, sets named by 64-bit hashes) and
+never meets all pairs:
 
 1. A fixed-size sketch of document frequencies orders shingles, frequent ones last. Two
-   linked sets share one of the first n - ceil(0.8 n) + 1 shingles in that order.
-2. Rows that share such a shingle and a band of sizes form a tile. Each tile's rows are
-   first compared with a few pivots; the links found give components.
-3. Rows that share a shingle but not a component meet, as far as their sizes can link.
-4. Bit counts of the two bitmaps' difference bound a pair's overlap from above; what
-   that admits is intersected exactly, sorted array against sorted array.
+   linked sets share one of the first n - ceil(0.8 n) + 1 shingles in that order. Rows of
+   a small tile (a shared shingle) are paired; rows of a larger one meet its least and
+   greatest set, and all tiles with one least set form a group.
+2. Bit counts of two bitmaps' difference bound a pair's overlap from above; what that
+   admits is intersected exactly, sorted array against sorted array. Links give labels.
+3. A large group that still has several labels is recentred: each set is replaced by its
+   difference to the shingles that most of the group has. Linked sets differ as little in
+   these as before, but what the group has in common is gone, so they are met again in
+   tiles of (size band of the differences, shared difference). Such a tile has at most
+   half of the group, small ones are paired, large ones are recentred in turn.
 """
 
 from __future__ import annotations
@@ -21,8 +27,12 @@ from pyspark.sql import functions as F
 from .common import components, drop_staged, few, release, rolling, small_batches, stage, trim, word_hashes
 
 WORDS, LINK, OF = 5, 80, 100
-#: Counters of the frequency sketch (2**SKETCH), keys of a map block and of a reduce range, rows of a tile's task, pivots of a large tile in each turn.
-SKETCH, BLOCK_KEYS, RANGE_KEYS, TILE_ROWS, PIVOTS = 20, 250_000, 250_000, 60_000, (8, 16, 24)
+#: A link's symmetric difference is at most the sum of the sizes divided by this.
+NINTH = (OF + LINK) // (OF - LINK)
+#: Counters of the frequency sketch (2**SKETCH); keys of a map block and of a reduce range; bucket count above which a key's rows are spread over SALTS ranges.
+SKETCH, BLOCK_KEYS, RANGE_KEYS, HOT, SALTS = 20, 250_000, 2_000_000, 500_000, 64
+#: Sets of a tile that are paired at once; sets of a group that are paired once labels are known.
+PAIRED, SMALL = 4, 32
 _CHUNK = 1 << 16
 
 
@@ -85,10 +95,12 @@ def frequencies(docs: DataFrame):
 
 
 def ranks(counts):
-    """Frequency class of each bucket: 0 for what chance explains, more for frequent ones."""
+    """Frequency class of each bucket: 0 for what chance explains, more for frequent ones;
+    64 is added where a key may be hot."""
     mean = counts.mean()
     over = (counts - mean) / (4 * np.sqrt(mean) + 1e-9)
-    return np.where(over < 1, 0, 1 + np.log2(np.maximum(over, 1))).clip(0, 62).astype(np.uint8)
+    classes = np.where(over < 1, 0, 1 + np.log2(np.maximum(over, 1))).clip(0, 62).astype(np.uint8)
+    return classes + np.where(counts > HOT, 64, 0).astype(np.uint8)
 
 
 def prefix(shingles, classes):
@@ -96,14 +108,19 @@ def prefix(shingles, classes):
     n = len(shingles)
     if not n:
         return shingles
-    order = classes[(shingles >> np.uint64(64 - SKETCH)).astype(np.int64)].astype(np.uint64) << np.uint64(58) | shingles >> np.uint64(6)
+    order = (classes[(shingles >> np.uint64(64 - SKETCH)).astype(np.int64)] & 63).astype(np.uint64) << np.uint64(58) | shingles >> np.uint64(6)
     length = n - -(-LINK * n // OF) + 1
     return np.partition(order, length - 1)[:length].copy()
 
 
+def hot(keys, classes):
+    """Which keys lie in a bucket of very many documents."""
+    return classes[(keys >> np.uint64(58 - SKETCH) & np.uint64((1 << SKETCH) - 1)).astype(np.int64)] >= 64
+
+
 def bitmap(shingles) -> bytes:
-    """Hashed bitmap of at least two bits a shingle (a power of two, 64 at least)."""
-    width = 1 << max(6, int(2 * len(shingles) - 1).bit_length())
+    """Hashed bitmap of at least four bits a shingle (a power of two, 64 at least)."""
+    width = 1 << max(6, int(4 * len(shingles) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(shingles * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="big").tobytes()
@@ -129,88 +146,113 @@ def may_link(na, nb, differ):
     return enough(most, na, nb)
 
 
-def _documents(docs: DataFrame, classes, ranges: int) -> DataFrame:
-    """One staged table: rows of documents (gid, doc_id, n, sid) and packed key rows
-    (r, base, keys, ords); gid = base + ord."""
+#: What ``_met`` returns: documents (a: the set's id), pairs to compare, pairs of a tile's least set and another, rows (key, id) of hot keys.
+DOCUMENT, PAIR, STAR, MEMBER = 0, 1, 2, 3
+_FOUND = "kind int, a long, b long, doc_id long, n int, h long"
+
+
+def _met(docs: DataFrame, classes, ranges: int) -> DataFrame:
+    """Rows of _FOUND. Keys travel packed by ranges of their hash, once; copies of a set
+    are one entry a map block and one after it, so they fill no range."""
     held = docs.sparkSession.sparkContext.broadcast(classes)  # 2**SKETCH bytes
 
-    def run(batches):
+    def emit(batches):
         import pyarrow as pa
         import xxhash
         from pyspark import TaskContext
 
-        names = ["doc_id", "gid", "n", "sid", "r", "keys", "ords", "h"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
-        base = TaskContext.get().partitionId() << 36
-        shingles, keys, ords, held_keys, at = shingler(), [], [], 0, 0
+        names, kinds = ["r", "doc_id", "id", "n", "h", "keys", "ids"], [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        salt = ranges + TaskContext.get().partitionId() % SALTS
+        shingles, keys, ids, held_keys, seen = shingler(), [], [], 0, set()
         step = (1 << 64) // ranges + 1
 
         def packed():
-            k, o = np.concatenate(keys), np.repeat(np.concatenate([x[0] for x in ords]), np.concatenate([x[1] for x in ords]))
-            mixed = k * np.uint64(0x9E3779B97F4A7C15)
-            r = (mixed // np.uint64(step)).astype(np.int32)
+            k, o = np.concatenate(keys), np.repeat(np.array(ids, np.int64), [len(x) for x in keys])
+            r = np.where(hot(k, held.value), salt, (k * np.uint64(0x9E3779B97F4A7C15) // np.uint64(step)).astype(np.int64)).astype(np.int32)
             order = np.argsort(r, kind="stable")
-            r, k, o = r[order], k[order].astype("<u8"), o[order].astype("<i4")
+            r, k, o = r[order], k[order].astype("<u8"), o[order].astype("<i8")
             cuts = np.flatnonzero(np.diff(r)) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(r)]])
             n = len(starts)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, kinds[0]), pa.array([base] * n, kinds[1]), pa.nulls(n, kinds[2]), pa.nulls(n, kinds[3]), pa.array(r[starts], kinds[4]), pa.array([k[a:b].tobytes() for a, b in zip(starts, ends)], kinds[5]), pa.array([o[a:b].tobytes() for a, b in zip(starts, ends)], kinds[6]), pa.nulls(n, kinds[7])], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(r[starts], kinds[0]), *(pa.nulls(n, x) for x in kinds[1:5]), pa.array([k[a:b].tobytes() for a, b in zip(starts, ends)], kinds[5]), pa.array([o[a:b].tobytes() for a, b in zip(starts, ends)], kinds[6])], names=names)
 
         for batch in batches:
-            ids, sizes, sids, got = [], [], [], []
+            own, sizes = [], []
             for s in (s for part in parts(batch.column("text").to_pylist()) for s in shingles(part)):
-                ids.append(base + at)
+                id_ = int(xxhash.xxh64_intdigest(s.tobytes())) - (1 << 63) if len(s) else None
+                own.append(id_)
                 sizes.append(len(s))
-                sids.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
-                if len(s):
+                if len(s) and id_ not in seen:
+                    seen.add(id_)
                     keys.append(prefix(s, held.value))
-                    got.append((at, len(keys[-1])))
+                    ids.append(id_)
                     held_keys += len(keys[-1])
-                at += 1
-            if got:
-                ords.append(tuple(np.array(x) for x in zip(*got)))
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, kinds[1]), pa.array(sizes, kinds[2]), pa.array(sids, kinds[3]), pa.nulls(n, kinds[4]), pa.nulls(n, kinds[5]), pa.nulls(n, kinds[6]), batch.column("h")], names=names)
+            n = len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(n) % 997, kinds[0]), batch.column("doc_id"), pa.array(own, kinds[2]), pa.array(sizes, kinds[3]), batch.column("h"), pa.nulls(n, kinds[5]), pa.nulls(n, kinds[6])], names=names)
             if held_keys > BLOCK_KEYS:
                 yield packed()
-                keys, ords, held_keys = [], [], 0
+                keys, ids, held_keys, seen = [], [], 0, set()
         if keys:
             yield packed()
         trim()
 
-    return stage(docs.mapInArrow(run, "doc_id long, gid long, n int, sid binary, r int, keys binary, ords binary, h long"), "ngram-docs")
-
+    def meet(batches):
+        import pyarrow as pa
 
-def _shared_keys(packed: DataFrame, partitions: int) -> DataFrame:
-    """(key, gid) of keys that several documents have."""
+        blocks: dict[int, list] = {}
 
-    def find(pdf):
-        import pandas as pd
+        def table(kind, a, b):
+            n = len(a)
+            return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=["kind", "a", "b", "doc_id", "n", "h"])
 
-        keys = np.concatenate([np.frombuffer(k, "<u8") for k in pdf["keys"]])
-        ids = np.concatenate([g + np.frombuffer(o, "<i4").astype(np.int64) for g, o in zip(pdf["gid"], pdf["ords"])])
-        order = np.argsort(keys, kind="stable")
-        keys, ids = keys[order], ids[order]
-        same = np.concatenate([[False], keys[1:] == keys[:-1], [False]])
-        several = same[1:] | same[:-1]
-        found = pd.DataFrame({"key": keys[several].view(np.int64), "gid": ids[several]})
+        for batch in batches:
+            here = batch.filter(pa.compute.less(batch.column("r"), 0))
+            if here.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([DOCUMENT] * here.num_rows, pa.int32()), here.column("id"), pa.nulls(here.num_rows, pa.int64()), here.column("doc_id"), here.column("n"), here.column("h")], names=["kind", "a", "b", "doc_id", "n", "h"])
+            rest = batch.filter(pa.compute.greater_equal(batch.column("r"), 0))
+            for r, k, o in zip(*(rest.column(c).to_pylist() for c in ("r", "keys", "ids"))):
+                blocks.setdefault(r, []).append((k, o))
+        for r in list(blocks):
+            here = blocks.pop(r)
+            keys, ids = (np.frombuffer(b"".join(x[i] for x in here), "<i8") for i in (0, 1))
+            if r >= ranges:
+                yield table(MEMBER, *_unique(keys, ids))
+                continue
+            pairs, stars = _tile_pairs(keys, ids)
+            yield table(PAIR, *pairs)
+            yield table(STAR, *stars)
         trim()
-        return found
 
-    return packed.repartition(partitions, "r").groupBy("r").applyInPandas(find, "key long, gid long")
+    import pyarrow.compute  # noqa: F401
 
+    sent = docs.mapInArrow(emit, "r int, doc_id long, id long, n int, h long, keys binary, ids binary")
+    return stage(sent.repartition(ranges, "r").mapInArrow(meet, _FOUND), "ngram-met", by="kind")
 
-def _bounded(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs (a, b) that the bitmaps admit."""
-    left, right = (signatures.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
 
-    @F.pandas_udf("boolean")
-    def admitted(na, nb, ba, bb):
-        import pandas as pd
+def _unique(a, b):
+    """Distinct rows of two columns, sorted by both."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
 
-        return pd.Series([bool(may_link(x, y, _difference(p, q))) for x, y, p, q in zip(na, nb, ba, bb)])
 
-    return pairs.join(left, "a").join(right, "b").where(admitted("na", "nb", "bitsa", "bitsb")).select("a", "b").distinct()
+def _tile_pairs(keys, ids):
+    """((a, b) to compare, (least id of a tile, id)), distinct, of the tiles that keys make."""
+    keys, ids = _unique(keys, ids)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(keys)))
+    tile = np.repeat(np.arange(len(first)), sizes)
+    few_, pairs = sizes <= PAIRED, []
+    for distance in range(1, PAIRED):
+        at = np.flatnonzero(few_[tile[distance:]] & (tile[distance:] == tile[: len(tile) - distance])) if len(tile) > distance else np.zeros(0, np.int64)
+        pairs.append((ids[at], ids[at + distance]))
+    at = np.flatnonzero(~few_[tile])
+    low, high = ids[first[tile[at]]], ids[(first + sizes - 1)[tile[at]]]
+    pairs.append((ids[at][low != ids[at]], high[low != ids[at]]))
+    a, b = (np.concatenate(x) for x in zip(*pairs))
+    return _unique(a[a != b], b[a != b]), _unique(low, ids[at])
 
 
 def _difference(p: bytes, q: bytes) -> int:
@@ -238,126 +280,150 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.join(right, "b").where(links("sa", "sb")).select("a", "b")
 
 
-#: Fixed seeds of the pivots: the pivot of a tile is its id that is least after an exclusive or.
-SEEDS = [(0x9E3779B97F4A7C15 * i) % (1 << 52) for i in range(1, 49)]
-
-
-def _pivot_pairs(members: DataFrame, seeds: list[int]) -> DataFrame:
-    """Pairs (a, b) of rows (key, id, n) with the pivots of their tile: all tiles have the
-    least and the greatest id, tiles of more than three rows further ids, the same ones in
-    every tile as far as possible. Pivots are minima, which combine before the shuffle."""
-    band = F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9).cast("int")
-    banded = members.select("key", band.alias("band"), "id")
-    tiles = banded.groupBy("key", "band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("rows")).where("rows > 1")
-    met = stage(banded.join(tiles, ["key", "band"]), "ngram-tiles")
-    large = met.where("rows > 3").select("key", "band", "id")
-    picks = large.groupBy("key", "band").agg(F.array(*[F.min(F.col("id").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)) for x in seeds]).alias("pivots"))
-    ends = met.select("id", F.explode(F.array("low", "high")).alias("p"))
-    more = large.join(picks, ["key", "band"]).select("id", F.explode("pivots").alias("p"))
-    return ends.union(more).where("id <> p").select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct()
-
-
-def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Pairs whose members are in different components."""
-    if roots is None:
-        return pairs
-    left, right = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    joined = pairs.join(left, "a", "left").join(right, "b", "left")
-    return joined.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-
-class Signatures:
-    """Sizes and bitmaps of many sets, compared pairwise in bulk."""
-
-    def __init__(self, n, bits):
-        self.n = np.asarray(n, np.int64)
-        self.words = np.array([len(b) // 8 for b in bits], np.int64)
-        self.place, self.tables = np.zeros(len(bits), np.int64), {}
-        for width in np.unique(self.words):
-            rows = np.flatnonzero(self.words == width)
-            self.place[rows] = np.arange(len(rows))
-            self.tables[width, width] = np.frombuffer(b"".join(bits[i] for i in rows), np.uint64).reshape(-1, width)
-
-    def _folded(self, width: int, to: int):
-        if (width, to) not in self.tables:
-            self.tables[width, to] = fold(self.tables[width, width], to)
-        return self.tables[width, to]
-
-    def admit(self, x, y):
-        """Which of the pairs (x[i], y[i]) may link."""
-        differ = np.zeros(len(x), np.int64)
-        kind = self.words[x] << 32 | self.words[y]
-        for k in np.unique(kind):
-            a, b = int(k >> 32), int(k & 0xFFFFFFFF)
-            to = min(a, b)
-            left, right, at = self._folded(a, to), self._folded(b, to), np.flatnonzero(kind == k)
-            for part in parts(at, max(1, 262_144 // to)):
-                differ[part] = np.bitwise_count(left[self.place[x[part]]] ^ right[self.place[y[part]]]).sum(axis=1)
-        return may_link(self.n[x], self.n[y], differ)
-
-
-def _tile_pairs(members: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows (key, id, label, n) with one key and different labels that the
-    bitmaps admit. Rows of a key stand in the order of sizes, so partners lie in the same
-    or the next band; they are met distance by distance, for all keys of a tile at once,
-    until none is near enough. A set's bitmap goes once to each tile that it is in."""
-
-    def run(pdf, known):
+def _linking(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The staged pairs (a, b) that link: those that the bitmaps admit, intersected exactly."""
+    left, right = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
+
+    @F.pandas_udf("boolean")
+    def admitted(na, nb, ba, bb):
         import pandas as pd
 
-        pdf = pdf.sort_values(["key", "n", "id"])
-        known = known.drop_duplicates("id").sort_values("id")
-        ids, sets = known["id"].to_numpy(), Signatures(known["n"], known["bits"].to_numpy())
-        key, n, label = (pdf[c].to_numpy() for c in ("key", "n", "label"))
-        n, own = n.astype(np.int64), np.searchsorted(ids, pdf["id"].to_numpy())
-        found, waiting, held = [], [], 0
-
-        def admitted():
-            codes = np.unique(np.concatenate(waiting))
-            x, y = codes // len(ids), codes % len(ids)
-            return codes[sets.admit(x, y)]
-
-        at = np.arange(len(key))
-        for distance in range(1, len(key)):
-            at = at[: np.searchsorted(at, len(key) - distance)]
-            at = at[(key[at] == key[at + distance]) & (OF * n[at] >= LINK * n[at + distance])]
-            if not len(at):
-                break
-            near = at[label[at] != label[at + distance]]
-            x, y = own[near], own[near + distance]
-            waiting.append(np.maximum(x, y) * len(ids) + np.minimum(x, y))
-            held += len(near)
-            if held > 300_000:
-                found.append(admitted())
-                waiting, held = [], 0
-        if waiting:
-            found.append(admitted())
-        codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": ids[codes // max(len(ids), 1)], "b": ids[codes % max(len(ids), 1)]})
-
-    tiles = max(8, members.count() // TILE_ROWS)
-    placed = members.withColumn("tile", F.pmod(F.xxhash64("key"), F.lit(tiles)))
-    bits = stage(placed.select("tile", "id").distinct().join(signatures, "id").select("tile", "id", "n", "bits"), "ngram-bits")
-    return placed.groupBy("tile").cogroup(bits.groupBy("tile")).applyInPandas(run, "a long, b long").distinct()
-
-
-def _members(both: DataFrame, rows: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct sets (sid, id, low, n), and (key, id, n) of keys that distinct sets share."""
-    sets = rows.where("sid is not null").groupBy("sid").agg(F.min("gid").alias("id"), F.min("doc_id").alias("low"), F.first("n").alias("n"))
-    sets = stage(sets, "ngram-sets")
-    shared = _shared_keys(both.where("r is not null").select("r", "gid", "keys", "ords"), ranges)
-    keyed = rows.where("sid is not null").select("gid", "sid").join(sets, "sid").select("gid", "id", "n")
-    members = stage(shared.join(keyed, "gid").groupBy("key", "id").agg(F.first("n").alias("n")), "ngram-keys")
-    several = members.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y")
-    return sets, stage(members.join(several.select("key"), "key", "left_semi"), "ngram-members")
-
-
-def _active_sets(texts: DataFrame, rows: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, n, bits, shingles) of the sets that share a key, from their texts."""
-    active = members.select("id").distinct()
-    wanted = sets.join(active, "id", "left_semi").join(rows.select(F.col("gid").alias("id"), "doc_id", "h"), "id").select("id", "sid", F.col("doc_id").alias("d"), F.col("h").alias("x"))
-    wanted = few(stage(wanted, "ngram-wanted"))
-    full = _arrays(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"]) & (texts["h"] == wanted["x"])).select("id", "sid", "text"))
+        return pd.Series([bool(may_link(x, y, _difference(p, q))) for x, y, p, q in zip(na, nb, ba, bb)])
+
+    sized = F.least("na", "nb") * OF >= F.greatest("na", "nb") * LINK
+    met = pairs.join(left, "a").join(right, "b").where(sized & admitted("na", "nb", "bitsa", "bitsb")).select("a", "b")
+    return stage(_verified(met, sets), "ngram-links")
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (node, root) of components after more links; a root is its component's least id."""
+    if labels is None:
+        return components(links)
+    left, right = (labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    short = links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    roots = components(short)
+    moved = labels.join(roots.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    return stage(moved.select("node", F.coalesce("to", "root").alias("root")).union(roots), "ngram-labels")
+
+
+def _mixed(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cid, id, label, members) of the groups (cid, id) with several labels. Equal groups
+    (by number, least, greatest and sum of members) are one."""
+    named = groups.join(labels, groups["id"] == labels["node"], "left").select("cid", "id", F.coalesce("root", "id").alias("label"))
+    named = stage(named, "ngram-named")
+    sums = [F.count("*").alias("members"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("mark")]
+    several = named.groupBy("cid").agg(*sums, F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    several = several.groupBy("members", "lo", "hi", "mark").agg(F.min("cid").alias("cid")).select("cid", "members")
+    out = stage(named.join(several, "cid"), "ngram-mixed")
+    drop_staged(named)
+    return out
+
+
+def _small_pairs(mixed: DataFrame) -> DataFrame:
+    """Pairs with different labels in the groups of SMALL members at most."""
+    lists = mixed.where(F.col("members") <= SMALL).groupBy("cid").agg(F.collect_list(F.struct("id", "label")).alias("m"))
+    met = F.expr("flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.label <> x.label), y -> struct(greatest(x.id, y.id) as a, least(x.id, y.id) as b))))")
+    return lists.select(F.explode(met).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _recentred(large: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and smaller groups of large groups (cid, id, label, members).
+
+    The centre of a group holds the shingles that more than half of its sets have. With D
+    a set's difference to the centre and margin = n - NINTH * |D|, two sets with margins
+    that sum to 0 or more link (their difference is at most |Da| + |Db|), and then both
+    link with the set of greatest margin: these are the links. Any others that link share
+    an element of D, by the prefix argument in the order (missing from the set, hash)
+    among sets of their two size bands of D: these are the groups (cid, id).
+    """
+    held = stage(large.join(sets.select("id", "n", "shingles"), "id").select("cid", "id", "n", "members", "shingles"), "ngram-held")
+
+    def count(batches):
+        import pyarrow as pa
+
+        waiting: dict[int, list] = {}
+        size = 0
+
+        def counted():
+            for cid, own in waiting.items():
+                elements, counts = np.unique(np.concatenate(own), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([cid] * len(elements), pa.int64()), pa.array(elements.view(np.int64)), pa.array(counts, pa.int64())], names=["cid", "element", "k"])
+
+        for batch in batches:
+            for cid, s in zip(batch.column("cid").to_pylist(), batch.column("shingles").to_pylist()):
+                waiting.setdefault(cid, []).append(np.frombuffer(s, "<u8"))
+                size += len(s) // 8
+            if size > 2_000_000:
+                yield from counted()
+                waiting.clear()
+                size = 0
+        yield from counted()
+        trim()
+
+    counts = held.select("cid", "shingles").mapInArrow(count, "cid long, element long, k long").groupBy("cid", "element").agg(F.sum("k").alias("k"))
+    members = held.groupBy("cid").agg(F.first("members").alias("members"))
+    centres = counts.join(members, "cid").where("2 * k > members").groupBy("cid").agg(F.collect_list("element").alias("centre"))
+
+    def differ(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for cid, id_, n, s, centre in zip(*(batch.column(c).to_pylist() for c in ("cid", "id", "n", "shingles", "centre"))):
+                s, centre = np.frombuffer(s, "<u8"), np.sort(np.array(centre or [], np.int64).view(np.uint64))
+                more, less = np.setdiff1d(s, centre, assume_unique=True), np.setdiff1d(centre, s, assume_unique=True)
+                d = len(more) + len(less)
+                out.append((cid, id_, n, n - NINTH * d, max(1, len(centre) // 8), np.concatenate([more, less]).astype("<u8").tobytes()))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out), kinds)), names=["cid", "id", "n", "margin", "width", "d"])
+        trim()
+
+    deltas = stage(held.join(centres, "cid", "left").select("cid", "id", "n", "shingles", "centre").mapInArrow(differ, "cid long, id long, n int, margin long, width int, d binary"), "ngram-deltas")
+    drop_staged(held)
+    best = deltas.groupBy("cid").agg(F.max(F.struct("margin", "id")).alias("top")).select("cid", F.col("top.margin").alias("top"), F.col("top.id").alias("to"))
+    near = deltas.select("cid", "id", "margin").join(best, "cid").where("margin + top >= 0 and id <> to")
+    links = stage(near.select(F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b")).distinct(), "ngram-links")
+
+    def keys(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            cids, ids = [], []
+            for cid, id_, n, margin, width, d, top in zip(*(batch.column(c).to_pylist() for c in ("cid", "id", "n", "margin", "width", "d", "top"))):
+                d = np.frombuffer(d, "<u8")
+                for low, high, length in _bands(n, len(d), margin, width, top):
+                    seed = (cid * 0x9E3779B97F4A7C15 + low * 0xD6E8FEB86659FD93 + high * 0xBF58476D1CE4E5B9) % (1 << 64)
+                    key = (d[:length] ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+                    cids.append(((key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64))
+                    ids.append(np.full(length, id_, np.int64))
+            if cids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cids)), pa.array(np.concatenate(ids))], names=["cid", "id"])
+        trim()
+
+    return links, stage(deltas.join(best, "cid").select("cid", "id", "n", "margin", "width", "d", "top").mapInArrow(keys, "cid long, id long"), "ngram-keys")
+
+
+def _bands(n: int, d: int, margin: int, width: int, top: int):
+    """(lower, upper band, elements to meet by) of a set of n shingles that differs from the
+    centre in d, for each band of differences that a partner without a known link may be in."""
+    far = n * (OF - LINK) // LINK  # the most in which it differs from a partner
+    least = max(1, d - far)
+    if margin + top >= 0:  # linked with the set of greatest margin: only others matter
+        least = max(least, int((n * LINK / OF + top) / NINTH - 1e-9) + 1)
+    own = d // width
+    for band in range(least // width, (d + far) // width + 1):
+        size = max(least, band * width)
+        share = max(1, -(-(d + size - far) // 2))
+        if share <= min(d, band * width + width - 1):
+            yield min(own, band), max(own, band), d - share + 1
+
+
+def _active_sets(texts: DataFrame, rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, n, bits, shingles) of the sets that are in a pair, from the text of one row each."""
+    active = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = few(stage(sets.join(active, "id", "left_semi").select("id", F.col("at.doc_id").alias("d"), F.col("at.h").alias("x")), "ngram-wanted"))
+    full = _arrays(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"]) & (texts["h"] == wanted["x"])).select("id", "text"))
     if not rows.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
         full = full.dropDuplicates(["id"])  # repeated rows: one stands for its set
     return stage(full, "ngram-sets-full")
@@ -377,42 +443,46 @@ def join(docs: DataFrame) -> DataFrame:
 def _joined(docs: DataFrame) -> DataFrame:
     """Rows of ``join`` with ``root``, which names the component itself whatever its doc_ids
     are (null for rows without words)."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("h"))
     counts = frequencies(texts.select("text"))
-    ranges = int(max(8, counts.sum() // 5 // RANGE_KEYS))
-    both = _documents(texts, ranks(counts), ranges)
-    rows = stage(both.where("r is null").select("doc_id", "gid", "n", "sid", "h"), "ngram-rows")
-    sets, members = _members(both, rows, ranges)
-    drop_staged(both)
-    release(docs.sparkSession)
-    full = _active_sets(texts, rows, sets, members)
-    signatures = full.select("id", "n", "bits")
-    labelled, links, roots, used = members, None, None, 0
-    for pivots in PIVOTS:
-        pairs = _apart(_pivot_pairs(labelled, SEEDS[used : used + pivots]), roots)
-        fresh, used = _verified(_bounded(pairs, signatures), full), used + pivots
-        links = stage(fresh if links is None else links.union(fresh), "ngram-links")
-        roots = components(links)
-        label = members.join(roots, members["id"] == roots["node"], "left").select("key", "id", "n", F.coalesce("root", "id").alias("label"))
-        label = stage(label, "ngram-labelled")
-        mixed = label.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        labelled = stage(label.join(mixed, "key", "left_semi"), "ngram-mixed")
-        drop_staged(label)
-        release(docs.sparkSession)
-    more = stage(_verified(_tile_pairs(labelled, signatures), full), "ngram-links")
-    drop_staged(full, labelled)
-    roots = components(links.union(more))
-    placed = sets.join(roots, sets["id"] == roots["node"], "left").select("sid", "low", F.coalesce("root", "id").alias("root"))
+    ranges = int(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), counts.sum() // 5 // RANGE_KEYS))
+    met = _met(texts, ranks(counts), ranges)
+    rows = met.where(F.col("kind") == DOCUMENT).select("doc_id", F.col("a").alias("id"), "n", "h")
+    at = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "h"))
+    sets = stage(rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("low"), at.alias("at")), "ngram-sets")
+    keyed = met.where(F.col("kind") == MEMBER).select("a", "b")
+    stars = met.where(F.col("kind") == STAR).select("a", "b").union(keyed.join(keyed.groupBy("a").agg(F.min("b").alias("low")), "a").select("low", "b"))
+    groups = stage(stars.distinct().toDF("cid", "id"), "ngram-groups")
+    pairs = met.where(F.col("kind") == PAIR).select("a", "b").union(groups.where("cid <> id").select("cid", "id"))
+    pairs = stage(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "ngram-pairs")
+    full = _active_sets(texts, rows, sets, pairs)
+    labels = _merged(None, _linking(pairs, full))
+    while True:  # each turn's groups have at most half of the sets of the one before
+        release(spark)
+        mixed = _mixed(groups, labels)
+        drop_staged(groups)
+        large = mixed.where(F.col("members") > SMALL)
+        links = _linking(stage(_small_pairs(mixed), "ngram-pairs"), full)
+        last = large.isEmpty()
+        if not last:
+            near, groups = _recentred(large, full)
+            links = links.union(near)
+        labels = _merged(labels, links)
+        if last:
+            break
+    drop_staged(full)
+    placed = sets.join(labels, sets["id"] == labels["node"], "left").select("id", "low", F.coalesce("root", "id").alias("root"))
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = placed.select("sid", "root").join(lows, "root").select("sid", "root", "component_id")
-    component = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.join(known, "sid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("h").alias("text_hash"), "root")
+    known = placed.select("id", "root").join(lows, "root").select("id", "root", "component_id")
+    component = F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.join(known, "id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("h").alias("text_hash"), "root")
 
 
 def _arrays(wanted: DataFrame) -> DataFrame:
-    """(id, n, bits, shingles) of rows (id, sid, text) whose set is sid's."""
+    """(id, n, bits, shingles) of rows (id, text) whose set has that id."""
 
     def run(batches):
         import pyarrow as pa
@@ -421,8 +491,8 @@ def _arrays(wanted: DataFrame) -> DataFrame:
         shingles = shingler()
         for batch in batches:
             out, sets = [], (s for part in parts(batch.column("text").to_pylist()) for s in shingles(part))
-            for id_, sid, s in zip(batch.column("id").to_pylist(), batch.column("sid").to_pylist(), sets):
-                if xxhash.xxh128_digest(s.tobytes()) == sid:
+            for id_, s in zip(batch.column("id").to_pylist(), sets):
+                if xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) == id_:
                     out.append((id_, len(s), bitmap(s), s.astype("<u8").tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))), names=["id", "n", "bits", "shingles"])

@@ -361,6 +361,31 @@ def test_ngram_join(spark, corpus, awkward):
         assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_components(rows_of(docs))
 
 
+def crowd(spark, n=260):
+    """One large group of near copies, a third of them with a changed passage, some cut."""
+    import random
+
+    rng, rows = random.Random(4), []
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(90)]
+    other = base[:30] + [word() for _ in range(12)] + base[42:]
+    for i in range(n):
+        copy = list(other if i % 3 == 0 else base)
+        for _ in range(rng.randrange(7)):
+            copy[rng.randrange(len(copy))] = word()
+        rows.append(" ".join(copy[: rng.choice((90, 90, 84, 75))]))
+    return spark.createDataFrame([(i * 7 % 1009, t) for i, t in enumerate(rows + rows[:40])], "doc_id long, text string")
+
+
+@pytest.mark.parametrize(("small", "hot"), [(32, 500_000), (3, 30)])
+def test_ngram_join_of_a_large_group(spark, monkeypatch, small, hot):
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    docs = crowd(spark)
+    got = ngram_join.join(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_components(rows_of(docs))
+
+
 def test_deduplicate_keeps_one_of_each_component(spark, awkward):
     for docs in (chains(spark), awkward):
         kept, want = rows_of(ngram_join.deduplicate(docs)), brute_components(rows_of(docs))
