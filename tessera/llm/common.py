@@ -18,10 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts travel to Python: a batch of them must stay small beside an executor's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > 500:
-        spark.conf.set(key, "500")
+    """Whole texts travel to Python: a batch of them must stay small beside an executor's
+    memory, by rows and by bytes. Lowers the session's limits where they are higher (they
+    never change results) and leaves them so, because plans run after this returns."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(rows)) > 500:
+        spark.conf.set(rows, "500")
+    if spark.conf.get(size) != "8m":
+        spark.conf.set(size, "8m")
 
 
 def scratch_dir(spark: SparkSession) -> str:

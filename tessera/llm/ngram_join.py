@@ -319,10 +319,11 @@ def _mixed(groups: DataFrame, labels: DataFrame) -> DataFrame:
     return out
 
 
-def _small_pairs(mixed: DataFrame) -> DataFrame:
-    """Pairs with different labels in the groups of SMALL members at most."""
-    lists = mixed.where(F.col("members") <= SMALL).groupBy("cid").agg(F.collect_list(F.struct("id", "label")).alias("m"))
-    met = F.expr("flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.label <> x.label), y -> struct(greatest(x.id, y.id) as a, least(x.id, y.id) as b))))")
+def _small_pairs(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs with different labels, of sizes that can link, in the groups of SMALL members at most."""
+    rows = mixed.where(F.col("members") <= SMALL).join(few(sets.select("id", "n")), "id")
+    lists = rows.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("n", "id", "label"))).alias("m"))
+    met = F.expr(f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.label <> x.label and {OF} * x.n >= {LINK} * y.n), y -> struct(greatest(x.id, y.id) as a, least(x.id, y.id) as b))))")
     return lists.select(F.explode(met).alias("p")).select("p.a", "p.b").distinct()
 
 
@@ -333,10 +334,59 @@ def _recentred(large: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]
     a set's difference to the centre and margin = n - NINTH * |D|, two sets with margins
     that sum to 0 or more link (their difference is at most |Da| + |Db|), and then both
     link with the set of greatest margin: these are the links. Any others that link share
-    an element of D, by the prefix argument in the order (missing from the set, hash)
-    among sets of their two size bands of D: these are the groups (cid, id).
+    an element of D, by the prefix argument in the order (lacked by the set, hash): these
+    are the groups (cid, id). Elements that a set lacks, which many of a group may lack,
+    make groups only with the sizes of both differences.
     """
-    held = stage(large.join(sets.select("id", "n", "shingles"), "id").select("cid", "id", "n", "members", "shingles"), "ngram-held")
+    held = stage(sets.select("id", "n", "shingles").join(few(large), "id").select("cid", "id", "n", "members", "shingles"), "ngram-held")
+    centres = stage(_centres(held), "ngram-centres")
+
+    def differ(batches):
+        import pyarrow as pa
+
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch, out = whole.slice(at, 64), []
+                for cid, id_, n, s, centre in zip(*(batch.column(c).to_pylist() for c in ("cid", "id", "n", "shingles", "centre"))):
+                    s, centre = np.frombuffer(s, "<u8"), np.frombuffer(centre or b"", "<u8")
+                    more, less = np.setdiff1d(s, centre, assume_unique=True), np.setdiff1d(centre, s, assume_unique=True)
+                    out.append((cid, id_, n, n - NINTH * (len(more) + len(less)), max(1, len(centre) // 8), len(more), np.concatenate([more, less]).astype("<u8").tobytes()))
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out), kinds)), names=["cid", "id", "n", "margin", "width", "more", "d"])
+        trim()
+
+    deltas = stage(held.join(centres, "cid", "left").select("cid", "id", "n", "shingles", "centre").mapInArrow(differ, "cid long, id long, n int, margin long, width int, more int, d binary"), "ngram-deltas")
+    drop_staged(held, centres)
+    best = deltas.groupBy("cid").agg(F.max(F.struct("margin", "id")).alias("top")).select("cid", F.col("top.margin").alias("top"), F.col("top.id").alias("to"))
+    near = deltas.select("cid", "id", "margin").join(best, "cid").where("margin + top >= 0 and id <> to")
+    links = stage(near.select(F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b")).distinct(), "ngram-links")
+
+    def keys(batches):
+        import pyarrow as pa
+
+        names = ("cid", "id", "n", "margin", "width", "more", "d", "top")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                cids, ids = [], []
+                for cid, id_, n, margin, width, more, d, top in zip(*(whole.slice(at, 64).column(c).to_pylist() for c in names)):
+                    d = np.frombuffer(d, "<u8")
+                    for low, high, start, stop in _bands(n, len(d), more, margin, width, top):
+                        seed = (cid * 0x9E3779B97F4A7C15 + low * 0xD6E8FEB86659FD93 + high * 0xBF58476D1CE4E5B9) % (1 << 64)
+                        key = (d[start:stop] ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+                        cids.append(((key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64))
+                        ids.append(np.full(stop - start, id_, np.int64))
+                if cids:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cids)), pa.array(np.concatenate(ids))], names=["cid", "id"])
+        trim()
+
+    groups = stage(deltas.join(best, "cid").select("cid", "id", "n", "margin", "width", "more", "d", "top").mapInArrow(keys, "cid long, id long"), "ngram-keys")
+    drop_staged(deltas)
+    return links, groups
+
+
+def _centres(held: DataFrame) -> DataFrame:
+    """(cid, centre) of rows (cid, members, shingles): what more than half of a group's sets
+    have, sorted. Elements are counted in each task before they are shuffled."""
 
     def count(batches):
         import pyarrow as pa
@@ -349,74 +399,51 @@ def _recentred(large: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]
                 elements, counts = np.unique(np.concatenate(own), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([cid] * len(elements), pa.int64()), pa.array(elements.view(np.int64)), pa.array(counts, pa.int64())], names=["cid", "element", "k"])
 
-        for batch in batches:
-            for cid, s in zip(batch.column("cid").to_pylist(), batch.column("shingles").to_pylist()):
-                waiting.setdefault(cid, []).append(np.frombuffer(s, "<u8"))
-                size += len(s) // 8
-            if size > 2_000_000:
-                yield from counted()
-                waiting.clear()
-                size = 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                for cid, s in zip(batch.column("cid").to_pylist(), batch.column("shingles").to_pylist()):
+                    waiting.setdefault(cid, []).append(np.frombuffer(s, "<u8"))
+                    size += len(s) // 8
+                if size > 1_000_000:
+                    yield from counted()
+                    waiting.clear()
+                    size = 0
         yield from counted()
         trim()
 
-    counts = held.select("cid", "shingles").mapInArrow(count, "cid long, element long, k long").groupBy("cid", "element").agg(F.sum("k").alias("k"))
-    members = held.groupBy("cid").agg(F.first("members").alias("members"))
-    centres = counts.join(members, "cid").where("2 * k > members").groupBy("cid").agg(F.collect_list("element").alias("centre"))
-
-    def differ(batches):
+    def packed(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for cid, id_, n, s, centre in zip(*(batch.column(c).to_pylist() for c in ("cid", "id", "n", "shingles", "centre"))):
-                s, centre = np.frombuffer(s, "<u8"), np.sort(np.array(centre or [], np.int64).view(np.uint64))
-                more, less = np.setdiff1d(s, centre, assume_unique=True), np.setdiff1d(centre, s, assume_unique=True)
-                d = len(more) + len(less)
-                out.append((cid, id_, n, n - NINTH * d, max(1, len(centre) // 8), np.concatenate([more, less]).astype("<u8").tobytes()))
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out), kinds)), names=["cid", "id", "n", "margin", "width", "d"])
-        trim()
+            for cid, centre in zip(batch.column("cid").to_pylist(), batch.column("centre")):
+                yield pa.RecordBatch.from_arrays([pa.array([cid], pa.int64()), pa.array([np.sort(centre.values.to_numpy().view(np.uint64)).astype("<u8").tobytes()], pa.binary())], names=["cid", "centre"])
 
-    deltas = stage(held.join(centres, "cid", "left").select("cid", "id", "n", "shingles", "centre").mapInArrow(differ, "cid long, id long, n int, margin long, width int, d binary"), "ngram-deltas")
-    drop_staged(held)
-    best = deltas.groupBy("cid").agg(F.max(F.struct("margin", "id")).alias("top")).select("cid", F.col("top.margin").alias("top"), F.col("top.id").alias("to"))
-    near = deltas.select("cid", "id", "margin").join(best, "cid").where("margin + top >= 0 and id <> to")
-    links = stage(near.select(F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b")).distinct(), "ngram-links")
-
-    def keys(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            cids, ids = [], []
-            for cid, id_, n, margin, width, d, top in zip(*(batch.column(c).to_pylist() for c in ("cid", "id", "n", "margin", "width", "d", "top"))):
-                d = np.frombuffer(d, "<u8")
-                for low, high, length in _bands(n, len(d), margin, width, top):
-                    seed = (cid * 0x9E3779B97F4A7C15 + low * 0xD6E8FEB86659FD93 + high * 0xBF58476D1CE4E5B9) % (1 << 64)
-                    key = (d[:length] ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-                    cids.append(((key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64))
-                    ids.append(np.full(length, id_, np.int64))
-            if cids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cids)), pa.array(np.concatenate(ids))], names=["cid", "id"])
-        trim()
-
-    return links, stage(deltas.join(best, "cid").select("cid", "id", "n", "margin", "width", "d", "top").mapInArrow(keys, "cid long, id long"), "ngram-keys")
+    counts = held.select("cid", "shingles").mapInArrow(count, "cid long, element long, k long").groupBy("cid", "element").agg(F.sum("k").alias("k"))
+    members = held.select("cid", "members").distinct()
+    return counts.join(members, "cid").where("2 * k > members").groupBy("cid").agg(F.collect_list("element").alias("centre")).mapInArrow(packed, "cid long, centre binary")
 
 
-def _bands(n: int, d: int, margin: int, width: int, top: int):
-    """(lower, upper band, elements to meet by) of a set of n shingles that differs from the
-    centre in d, for each band of differences that a partner without a known link may be in."""
+def _bands(n: int, d: int, more: int, margin: int, width: int, top: int):
+    """(lower, upper band, start, stop) of the elements by which a set of n shingles meets
+    partners that no known link joins to it. It differs from the centre in d elements, the
+    first ``more`` of which the centre lacks: these are met in one range, whatever the
+    partner's band (0, 0); the rest for each band of differences that a partner may be in."""
     far = n * (OF - LINK) // LINK  # the most in which it differs from a partner
     least = max(1, d - far)
     if margin + top >= 0:  # linked with the set of greatest margin: only others matter
         least = max(least, int((n * LINK / OF + top) / NINTH - 1e-9) + 1)
-    own = d // width
+    own, longest = d // width, 0
     for band in range(least // width, (d + far) // width + 1):
         size = max(least, band * width)
         share = max(1, -(-(d + size - far) // 2))
         if share <= min(d, band * width + width - 1):
-            yield min(own, band), max(own, band), d - share + 1
+            length = d - share + 1
+            longest = max(longest, length)
+            if length > more:
+                yield min(own, band) + 1, max(own, band) + 1, more, length
+    if min(longest, more):
+        yield 0, 0, 0, min(longest, more)
 
 
 def _active_sets(texts: DataFrame, rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -465,7 +492,7 @@ def _joined(docs: DataFrame) -> DataFrame:
         mixed = _mixed(groups, labels)
         drop_staged(groups)
         large = mixed.where(F.col("members") > SMALL)
-        links = _linking(stage(_small_pairs(mixed), "ngram-pairs"), full)
+        links = _linking(stage(_small_pairs(mixed, full), "ngram-pairs"), full)
         last = large.isEmpty()
         if not last:
             near, groups = _recentred(large, full)
