@@ -92,6 +92,19 @@ def trim() -> None:
         pass
 
 
+def text_parts(texts: list, most: int = 1 << 19):
+    """Runs of texts of so many bytes together at most, or of one text."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text) > most:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
+
+
 def word_hashes():
     """A function from UTF-8 texts to (64-bit hashes of all their words, words a text).
 
@@ -109,7 +122,7 @@ def word_hashes():
         raw = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)
         if len(raw) > len(tables[0]):
             for i, x in enumerate((base, pow(base, -1, 1 << 64))):
-                steps = np.full(2 * len(raw), x, np.uint64)
+                steps = np.full(max(len(raw), 1 << 19), x, np.uint64)
                 steps[0] = 1
                 tables[i] = np.cumprod(steps)
         sums = np.zeros(len(raw) + 1, np.uint64)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_staged, few, release, rolling, small_batches, stage, trim, word_hashes
+from .common import components, drop_staged, few, release, rolling, small_batches, stage, text_parts, trim, word_hashes
 
 WORDS, LINK, OF = 5, 80, 100
 #: A link's symmetric difference is at most the sum of the sizes divided by this.
@@ -54,10 +54,6 @@ def shingler():
     return shingles
 
 
-def parts(values: list, size: int = 32):
-    return (values[i : i + size] for i in range(0, len(values), size))
-
-
 def frequencies(docs: DataFrame):
     """Counts of documents by shingle bucket, over all documents; 2**SKETCH numbers."""
 
@@ -66,9 +62,9 @@ def frequencies(docs: DataFrame):
 
         shingles, counts, seen = shingler(), np.zeros(1 << SKETCH, np.uint32), False
         for batch in batches:
-            for texts in parts(batch.column("text").to_pylist(), 2000):
-                got = np.concatenate([s for part in parts(texts) for s in shingles(part)])
-                counts += np.bincount((got >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH).astype(np.uint32)
+            for texts in text_parts(batch.column("text").to_pylist()):
+                got = np.concatenate(shingles(texts))
+                np.add.at(counts, (got >> np.uint64(64 - SKETCH)).astype(np.int64), 1)
                 seen = True
         if seen:
             chunks = np.minimum(counts, 65535).astype("<u2").reshape(-1, _CHUNK)
@@ -178,7 +174,7 @@ def _met(docs: DataFrame, classes, ranges: int) -> DataFrame:
 
         for batch in batches:
             own, sizes = [], []
-            for s in (s for part in parts(batch.column("text").to_pylist()) for s in shingles(part)):
+            for s in (s for part in text_parts(batch.column("text").to_pylist()) for s in shingles(part)):
                 id_ = int(xxhash.xxh64_intdigest(s.tobytes())) - (1 << 63) if len(s) else None
                 own.append(id_)
                 sizes.append(len(s))
@@ -517,7 +513,7 @@ def _arrays(wanted: DataFrame) -> DataFrame:
 
         shingles = shingler()
         for batch in batches:
-            out, sets = [], (s for part in parts(batch.column("text").to_pylist()) for s in shingles(part))
+            out, sets = [], (s for part in text_parts(batch.column("text").to_pylist()) for s in shingles(part))
             for id_, s in zip(batch.column("id").to_pylist(), sets):
                 if xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) == id_:
                     out.append((id_, len(s), bitmap(s), s.astype("<u8").tobytes()))
