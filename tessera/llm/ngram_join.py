@@ -31,8 +31,8 @@ WORDS, LINK, OF = 5, 80, 100
 NINTH = (OF + LINK) // (OF - LINK)
 #: Counters of the frequency sketch (2**SKETCH); keys of a map block and of a reduce range; bucket count above which a key's rows are spread over SALTS ranges.
 SKETCH, BLOCK_KEYS, RANGE_KEYS, HOT, SALTS = 20, 250_000, 2_000_000, 500_000, 64
-#: Sets of a tile that are paired at once; sets of a group that are paired once labels are known.
-PAIRED, SMALL = 4, 32
+#: Most sets of a tile that are paired at once; most sets of a group that one task compares.
+PAIRED, SMALL = 4, 150
 _CHUNK = 1 << 16
 
 
@@ -114,6 +114,17 @@ def hot(keys, classes):
     return classes[(keys >> np.uint64(58 - SKETCH) & np.uint64((1 << SKETCH) - 1)).astype(np.int64)] >= 64
 
 
+def band(n: int) -> int:
+    """Band of a size: sets that link lie in one band or in neighbouring ones."""
+    return int(np.log(n) / np.log(OF / LINK) + 1e-9)
+
+
+def banded(keys, bands):
+    """Keys (as int64) that differ by band, too."""
+    mixed = (keys ^ bands.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed ^ mixed >> np.uint64(32)).view(np.int64)
+
+
 def bitmap(shingles) -> bytes:
     """Hashed bitmap of at least four bits a shingle (a power of two, 64 at least)."""
     width = 1 << max(6, int(4 * len(shingles) - 1).bit_length())
@@ -157,20 +168,21 @@ def _met(docs: DataFrame, classes, ranges: int) -> DataFrame:
         import xxhash
         from pyspark import TaskContext
 
-        names, kinds = ["r", "doc_id", "id", "n", "h", "keys", "ids"], [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        names, kinds = ["r", "doc_id", "id", "n", "h", "keys", "ids", "bands"], [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         salt = ranges + TaskContext.get().partitionId() % SALTS
-        shingles, keys, ids, held_keys, seen = shingler(), [], [], 0, set()
+        shingles, keys, ids, bands, held_keys, seen = shingler(), [], [], [], 0, set()
         step = (1 << 64) // ranges + 1
 
         def packed():
-            k, o = np.concatenate(keys), np.repeat(np.array(ids, np.int64), [len(x) for x in keys])
+            sizes = [len(x) for x in keys]
+            k, o, b = np.concatenate(keys), np.repeat(np.array(ids, np.int64), sizes), np.repeat(np.array(bands, np.uint8), sizes)
             r = np.where(hot(k, held.value), salt, (k * np.uint64(0x9E3779B97F4A7C15) // np.uint64(step)).astype(np.int64)).astype(np.int32)
             order = np.argsort(r, kind="stable")
-            r, k, o = r[order], k[order].astype("<u8"), o[order].astype("<i8")
+            r, k, o, b = r[order], k[order].astype("<u8"), o[order].astype("<i8"), b[order]
             cuts = np.flatnonzero(np.diff(r)) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(r)]])
             n = len(starts)
-            return pa.RecordBatch.from_arrays([pa.array(r[starts], kinds[0]), *(pa.nulls(n, x) for x in kinds[1:5]), pa.array([k[a:b].tobytes() for a, b in zip(starts, ends)], kinds[5]), pa.array([o[a:b].tobytes() for a, b in zip(starts, ends)], kinds[6])], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(r[starts], kinds[0]), *(pa.nulls(n, x) for x in kinds[1:5]), *(pa.array([x[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary()) for x in (k, o, b))], names=names)
 
         for batch in batches:
             own, sizes = [], []
@@ -182,12 +194,13 @@ def _met(docs: DataFrame, classes, ranges: int) -> DataFrame:
                     seen.add(id_)
                     keys.append(prefix(s, held.value))
                     ids.append(id_)
+                    bands.append(band(len(s)))
                     held_keys += len(keys[-1])
             n = len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(n) % 997, kinds[0]), batch.column("doc_id"), pa.array(own, kinds[2]), pa.array(sizes, kinds[3]), batch.column("h"), pa.nulls(n, kinds[5]), pa.nulls(n, kinds[6])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(n) % 997, kinds[0]), batch.column("doc_id"), pa.array(own, kinds[2]), pa.array(sizes, kinds[3]), batch.column("h"), *(pa.nulls(n, x) for x in kinds[5:])], names=names)
             if held_keys > BLOCK_KEYS:
                 yield packed()
-                keys, ids, held_keys, seen = [], [], 0, set()
+                keys, ids, bands, held_keys, seen = [], [], [], 0, set()
         if keys:
             yield packed()
         trim()
@@ -206,11 +219,13 @@ def _met(docs: DataFrame, classes, ranges: int) -> DataFrame:
             if here.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array([DOCUMENT] * here.num_rows, pa.int32()), here.column("id"), pa.nulls(here.num_rows, pa.int64()), here.column("doc_id"), here.column("n"), here.column("h")], names=["kind", "a", "b", "doc_id", "n", "h"])
             rest = batch.filter(pa.compute.greater_equal(batch.column("r"), 0))
-            for r, k, o in zip(*(rest.column(c).to_pylist() for c in ("r", "keys", "ids"))):
-                blocks.setdefault(r, []).append((k, o))
+            for r, *packs in zip(*(rest.column(c).to_pylist() for c in ("r", "keys", "ids", "bands"))):
+                blocks.setdefault(r, []).append(packs)
         for r in list(blocks):
             here = blocks.pop(r)
-            keys, ids = (np.frombuffer(b"".join(x[i] for x in here), "<i8") for i in (0, 1))
+            keys, ids, bands = (np.frombuffer(b"".join(x[i] for x in here), kind) for i, kind in enumerate(("<u8", "<i8", "u1")))
+            # A set meets its own band of sizes and the next larger one's.
+            keys, ids = np.concatenate([banded(keys, bands), banded(keys, bands + 1)]), np.concatenate([ids, ids])
             if r >= ranges:
                 yield table(MEMBER, *_unique(keys, ids))
                 continue
@@ -221,7 +236,7 @@ def _met(docs: DataFrame, classes, ranges: int) -> DataFrame:
 
     import pyarrow.compute  # noqa: F401
 
-    sent = docs.mapInArrow(emit, "r int, doc_id long, id long, n int, h long, keys binary, ids binary")
+    sent = docs.mapInArrow(emit, "r int, doc_id long, id long, n int, h long, keys binary, ids binary, bands binary")
     return stage(sent.repartition(ranges, "r").mapInArrow(meet, _FOUND), "ngram-met", by="kind")
 
 
@@ -302,37 +317,99 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return stage(moved.select("node", F.coalesce("to", "root").alias("root")).union(roots), "ngram-labels")
 
 
+#: A set's side in a group: it meets the other side only, or all.
+LOWER, UPPER, BOTH = 0, 1, 2
+
+
 def _mixed(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """(cid, id, label, members) of the groups (cid, id) with several labels. Equal groups
-    (by number, least, greatest and sum of members) are one."""
-    named = groups.join(labels, groups["id"] == labels["node"], "left").select("cid", "id", F.coalesce("root", "id").alias("label"))
+    """(cid, id, side, label, members) of the groups (cid, id, side) with several labels and,
+    where sides differ from BOTH, two sides. Equal groups (by number, least, greatest and sum
+    of members) are one."""
+    named = groups.join(labels, groups["id"] == labels["node"], "left").select("cid", "id", "side", F.coalesce("root", "id").alias("label"))
     named = stage(named, "ngram-named")
-    sums = [F.count("*").alias("members"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("mark")]
-    several = named.groupBy("cid").agg(*sums, F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    sums = [F.count("*").alias("members"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id", "side")).alias("mark")]
+    ends = [f(c).alias(f"{n}_{c}") for c in ("label", "side") for n, f in (("least", F.min), ("most", F.max))]
+    several = named.groupBy("cid").agg(*sums, *ends).where((F.col("least_label") != F.col("most_label")) & ((F.col("least_side") == BOTH) | (F.col("least_side") != F.col("most_side"))))
     several = several.groupBy("members", "lo", "hi", "mark").agg(F.min("cid").alias("cid")).select("cid", "members")
     out = stage(named.join(several, "cid"), "ngram-mixed")
     drop_staged(named)
     return out
 
 
+def _close(n, bits: list, label, side):
+    """Pairs (i, j) of rows of one group that have different labels, meet by their sides,
+    and may link by their sizes and the bit counts of their bitmaps. One row is compared
+    with all others at a time."""
+    words = np.array([len(b) // 8 for b in bits])
+    tables = {}
+    for width in np.unique(words):
+        rows = np.flatnonzero(words == width)
+        own = np.frombuffer(b"".join(bits[i] for i in rows), np.uint64).reshape(-1, width)
+        tables[width] = rows, own, fold(own, width // 2) if width > 1 else own
+    for i in range(len(n)):
+        for width, shift in ((words[i], 1), (2 * words[i], 2)):
+            if width not in tables:
+                continue
+            rows, own = tables[width][0], tables[width][shift]
+            ok = (label[rows] != label[i]) & ((side[rows] == BOTH) | (side[rows] != side[i])) & (OF * np.minimum(n[rows], n[i]) >= LINK * np.maximum(n[rows], n[i]))
+            if shift == 1:  # each pair of one width once
+                ok &= rows > i
+            at = np.flatnonzero(ok)
+            if len(at):
+                differ = np.bitwise_count(own[at] ^ tables[words[i]][1][np.searchsorted(tables[words[i]][0], i)]).sum(axis=1)
+                for j in rows[at[may_link(n[rows[at]], n[i], differ)]]:
+                    yield i, j
+
+
 def _small_pairs(mixed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs with different labels, of sizes that can link, in the groups of SMALL members at most."""
-    rows = mixed.where(F.col("members") <= SMALL).join(few(sets.select("id", "n")), "id")
-    lists = rows.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("n", "id", "label"))).alias("m"))
-    met = F.expr(f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.label <> x.label and {OF} * x.n >= {LINK} * y.n), y -> struct(greatest(x.id, y.id) as a, least(x.id, y.id) as b))))")
-    return lists.select(F.explode(met).alias("p")).select("p.a", "p.b").distinct()
+    """Pairs (a, b) that ``_close`` finds in the groups of SMALL members at most. Such a
+    group is compared in one task, and only pairs that the bitmaps admit leave it."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: list = []
+
+        def close():
+            ids, sides, labels, n, bits = zip(*held)
+            n, labels, sides = (np.array(x, np.int64) for x in (n, labels, sides))
+            return [(max(ids[i], ids[j]), min(ids[i], ids[j])) for i, j in _close(n, bits, labels, sides)]
+
+        def rows(found):
+            a, b = zip(*found)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        now, found = None, []
+        for batch in batches:
+            for cid, *row in zip(*(batch.column(c).to_pylist() for c in ("cid", "id", "side", "label", "n", "bits"))):
+                if cid != now and held:
+                    found += close()
+                    held.clear()
+                now = cid
+                held.append(row)
+            if len(found) > 10_000:
+                yield rows(found)
+                found = []
+        if held:
+            found += close()
+        if found:
+            yield rows(found)
+        trim()
+
+    small = mixed.where(F.col("members") <= SMALL).select("cid", "id", "side", "label").join(sets.select("id", "n", "bits"), "id")
+    return small.repartition("cid").sortWithinPartitions("cid").mapInArrow(run, "a long, b long").distinct()
 
 
 def _recentred(large: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links and smaller groups of large groups (cid, id, label, members).
+    """Links and smaller groups (cid, id, side) of large groups (cid, id, label, members).
 
     The centre of a group holds the shingles that more than half of its sets have. With D
     a set's difference to the centre and margin = n - NINTH * |D|, two sets with margins
     that sum to 0 or more link (their difference is at most |Da| + |Db|), and then both
     link with the set of greatest margin: these are the links. Any others that link share
     an element of D, by the prefix argument in the order (lacked by the set, hash): these
-    are the groups (cid, id). Elements that a set lacks, which many of a group may lack,
-    make groups only with the sizes of both differences.
+    are the groups. Elements that a set lacks, which many of a group may lack, make groups
+    only with the sizes of both differences, in which the two sizes meet.
     """
     held = stage(sets.select("id", "n", "shingles").join(few(large), "id").select("cid", "id", "n", "members", "shingles"), "ngram-held")
     centres = stage(_centres(held), "ngram-centres")
@@ -363,19 +440,20 @@ def _recentred(large: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]
         names = ("cid", "id", "n", "margin", "width", "more", "d", "top")
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
-                cids, ids = [], []
+                cids, ids, sides = [], [], []
                 for cid, id_, n, margin, width, more, d, top in zip(*(whole.slice(at, 64).column(c).to_pylist() for c in names)):
                     d = np.frombuffer(d, "<u8")
-                    for low, high, start, stop in _bands(n, len(d), more, margin, width, top):
+                    for low, high, side, start, stop in _bands(n, len(d), more, margin, width, top):
                         seed = (cid * 0x9E3779B97F4A7C15 + low * 0xD6E8FEB86659FD93 + high * 0xBF58476D1CE4E5B9) % (1 << 64)
                         key = (d[start:stop] ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
                         cids.append(((key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64))
                         ids.append(np.full(stop - start, id_, np.int64))
+                        sides.append(np.full(stop - start, side, np.int8))
                 if cids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cids)), pa.array(np.concatenate(ids))], names=["cid", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (cids, ids, sides)], names=["cid", "id", "side"])
         trim()
 
-    groups = stage(deltas.join(best, "cid").select("cid", "id", "n", "margin", "width", "more", "d", "top").mapInArrow(keys, "cid long, id long"), "ngram-keys")
+    groups = stage(deltas.join(best, "cid").select("cid", "id", "n", "margin", "width", "more", "d", "top").mapInArrow(keys, "cid long, id long, side byte"), "ngram-keys")
     drop_staged(deltas)
     return links, groups
 
@@ -421,7 +499,7 @@ def _centres(held: DataFrame) -> DataFrame:
 
 
 def _bands(n: int, d: int, more: int, margin: int, width: int, top: int):
-    """(lower, upper band, start, stop) of the elements by which a set of n shingles meets
+    """(lower, upper band, side, start, stop) of the elements by which a set of n shingles meets
     partners that no known link joins to it. It differs from the centre in d elements, the
     first ``more`` of which the centre lacks: these are met in one range, whatever the
     partner's band (0, 0); the rest for each band of differences that a partner may be in."""
@@ -437,9 +515,9 @@ def _bands(n: int, d: int, more: int, margin: int, width: int, top: int):
             length = d - share + 1
             longest = max(longest, length)
             if length > more:
-                yield min(own, band) + 1, max(own, band) + 1, more, length
+                yield min(own, band) + 1, max(own, band) + 1, (own > band) if own != band else BOTH, more, length
     if min(longest, more):
-        yield 0, 0, 0, min(longest, more)
+        yield 0, 0, BOTH, 0, min(longest, more)
 
 
 def _active_sets(texts: DataFrame, rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -477,8 +555,8 @@ def _joined(docs: DataFrame) -> DataFrame:
     at = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "h"))
     sets = stage(rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("low"), at.alias("at")), "ngram-sets")
     keyed = met.where(F.col("kind") == MEMBER).select("a", "b")
-    stars = met.where(F.col("kind") == STAR).select("a", "b").union(keyed.join(keyed.groupBy("a").agg(F.min("b").alias("low")), "a").select("low", "b"))
-    groups = stage(stars.distinct().toDF("cid", "id"), "ngram-groups")
+    stars = met.where(F.col("kind") == STAR).select("a", "b").union(keyed.join(keyed.groupBy("a").agg(F.min("b").alias("low")), "a").select(F.col("low").alias("a"), "b"))
+    groups = stage(stars.distinct().select(F.col("a").alias("cid"), F.col("b").alias("id"), F.lit(BOTH).cast("byte").alias("side")), "ngram-groups")
     pairs = met.where(F.col("kind") == PAIR).select("a", "b").union(groups.where("cid <> id").select("cid", "id"))
     pairs = stage(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "ngram-pairs")
     full = _active_sets(texts, rows, sets, pairs)

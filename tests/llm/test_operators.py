@@ -377,7 +377,7 @@ def crowd(spark, n=260):
     return spark.createDataFrame([(i * 7 % 1009, t) for i, t in enumerate(rows + rows[:40])], "doc_id long, text string")
 
 
-@pytest.mark.parametrize(("small", "hot"), [(32, 500_000), (3, 30)])
+@pytest.mark.parametrize(("small", "hot"), [(150, 500_000), (3, 30)])
 def test_ngram_join_of_a_large_group(spark, monkeypatch, small, hot):
     monkeypatch.setattr(ngram_join, "SMALL", small)
     monkeypatch.setattr(ngram_join, "HOT", hot)
