@@ -6,9 +6,10 @@ sizes. The join is exact (on 64-bit shingle hashes, sets named by 64-bit hashes)
 never meets all pairs:
 
 1. A fixed-size sketch of document frequencies orders shingles, frequent ones last. Two
-   linked sets share one of the first n - ceil(0.8 n) + 1 shingles in that order. Rows of
-   a small tile (a shared shingle) are paired; rows of a larger one meet its least and
-   greatest set, and all tiles with one least set form a group.
+   linked sets share three of the first n - ceil(0.8 n) + 3 shingles in that order. Rows
+   of a small tile (a shared shingle and a band of sizes) that meet three times are paired;
+   rows of a larger one meet its least and greatest set, and all tiles with one least set
+   form a group.
 2. Bit counts of two bitmaps' difference bound a pair's overlap from above; what that
    admits is intersected exactly, sorted array against sorted array. Links give labels.
 3. A large group that still has several labels is recentred: each set is replaced by its
@@ -33,6 +34,8 @@ NINTH = (OF + LINK) // (OF - LINK)
 SKETCH, BLOCK_KEYS, RANGE_KEYS, HOT, SALTS = 20, 250_000, 2_000_000, 500_000, 64
 #: Most sets of a tile that are paired at once; most sets of a group that one task compares.
 PAIRED, SMALL = 4, 150
+#: Keys that two linked, different sets share at least (all such sets have four shingles or more). Steps of a band of sizes.
+SHARED, STEPS = 3, 4
 _CHUNK = 1 << 16
 
 
@@ -100,12 +103,12 @@ def ranks(counts):
 
 
 def prefix(shingles, classes):
-    """The first n - ceil(0.8 n) + 1 shingles in the order of (class, hash), as 64-bit keys."""
+    """The first n - ceil(0.8 n) + SHARED shingles in the order of (class, hash), as 64-bit keys."""
     n = len(shingles)
     if not n:
         return shingles
     order = (classes[(shingles >> np.uint64(64 - SKETCH)).astype(np.int64)] & 63).astype(np.uint64) << np.uint64(58) | shingles >> np.uint64(6)
-    length = n - -(-LINK * n // OF) + 1
+    length = min(n, n - -(-LINK * n // OF) + SHARED)
     return np.partition(order, length - 1)[:length].copy()
 
 
@@ -114,9 +117,9 @@ def hot(keys, classes):
     return classes[(keys >> np.uint64(58 - SKETCH) & np.uint64((1 << SKETCH) - 1)).astype(np.int64)] >= 64
 
 
-def band(n: int) -> int:
-    """Band of a size: sets that link lie in one band or in neighbouring ones."""
-    return int(np.log(n) / np.log(OF / LINK) + 1e-9)
+def step(n: int) -> int:
+    """Step of a size: those of sets that link differ by STEPS at most."""
+    return int(STEPS * np.log(n) / np.log(OF / LINK) + 1e-9)
 
 
 def banded(keys, bands):
@@ -168,15 +171,15 @@ def _met(docs: DataFrame, classes, ranges: int) -> DataFrame:
         import xxhash
         from pyspark import TaskContext
 
-        names, kinds = ["r", "doc_id", "id", "n", "h", "keys", "ids", "bands"], [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        names, kinds = ["r", "doc_id", "id", "n", "h", "keys", "ids", "steps"], [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         salt = ranges + TaskContext.get().partitionId() % SALTS
-        shingles, keys, ids, bands, held_keys, seen = shingler(), [], [], [], 0, set()
-        step = (1 << 64) // ranges + 1
+        shingles, keys, ids, steps, held_keys, seen = shingler(), [], [], [], 0, set()
+        width = (1 << 64) // ranges + 1
 
         def packed():
             sizes = [len(x) for x in keys]
-            k, o, b = np.concatenate(keys), np.repeat(np.array(ids, np.int64), sizes), np.repeat(np.array(bands, np.uint8), sizes)
-            r = np.where(hot(k, held.value), salt, (k * np.uint64(0x9E3779B97F4A7C15) // np.uint64(step)).astype(np.int64)).astype(np.int32)
+            k, o, b = np.concatenate(keys), np.repeat(np.array(ids, np.int64), sizes), np.repeat(np.array(steps, "<u2"), sizes)
+            r = np.where(hot(k, held.value), salt, (k * np.uint64(0x9E3779B97F4A7C15) // np.uint64(width)).astype(np.int64)).astype(np.int32)
             order = np.argsort(r, kind="stable")
             r, k, o, b = r[order], k[order].astype("<u8"), o[order].astype("<i8"), b[order]
             cuts = np.flatnonzero(np.diff(r)) + 1
@@ -194,13 +197,13 @@ def _met(docs: DataFrame, classes, ranges: int) -> DataFrame:
                     seen.add(id_)
                     keys.append(prefix(s, held.value))
                     ids.append(id_)
-                    bands.append(band(len(s)))
+                    steps.append(step(len(s)))
                     held_keys += len(keys[-1])
             n = len(own)
             yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(n) % 997, kinds[0]), batch.column("doc_id"), pa.array(own, kinds[2]), pa.array(sizes, kinds[3]), batch.column("h"), *(pa.nulls(n, x) for x in kinds[5:])], names=names)
             if held_keys > BLOCK_KEYS:
                 yield packed()
-                keys, ids, bands, held_keys, seen = [], [], [], 0, set()
+                keys, ids, steps, held_keys, seen = [], [], [], 0, set()
         if keys:
             yield packed()
         trim()
@@ -210,33 +213,33 @@ def _met(docs: DataFrame, classes, ranges: int) -> DataFrame:
 
         blocks: dict[int, list] = {}
 
-        def table(kind, a, b):
+        def table(kind, a, b, times=None):
             n = len(a)
-            return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=["kind", "a", "b", "doc_id", "n", "h"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()) if times is None else pa.array(times, pa.int32()), pa.nulls(n, pa.int64())], names=["kind", "a", "b", "doc_id", "n", "h"])
 
         for batch in batches:
             here = batch.filter(pa.compute.less(batch.column("r"), 0))
             if here.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array([DOCUMENT] * here.num_rows, pa.int32()), here.column("id"), pa.nulls(here.num_rows, pa.int64()), here.column("doc_id"), here.column("n"), here.column("h")], names=["kind", "a", "b", "doc_id", "n", "h"])
             rest = batch.filter(pa.compute.greater_equal(batch.column("r"), 0))
-            for r, *packs in zip(*(rest.column(c).to_pylist() for c in ("r", "keys", "ids", "bands"))):
+            for r, *packs in zip(*(rest.column(c).to_pylist() for c in ("r", "keys", "ids", "steps"))):
                 blocks.setdefault(r, []).append(packs)
         for r in list(blocks):
             here = blocks.pop(r)
-            keys, ids, bands = (np.frombuffer(b"".join(x[i] for x in here), kind) for i, kind in enumerate(("<u8", "<i8", "u1")))
-            # A set meets its own band of sizes and the next larger one's.
-            keys, ids = np.concatenate([banded(keys, bands), banded(keys, bands + 1)]), np.concatenate([ids, ids])
+            keys, ids, steps = (np.frombuffer(b"".join(x[i] for x in here), kind) for i, kind in enumerate(("<u8", "<i8", "<u2")))
             if r >= ranges:
-                yield table(MEMBER, *_unique(keys, ids))
+                both, doubled = (np.concatenate([banded(keys, steps // STEPS + i) for i in (0, 1)]), np.concatenate([ids, ids]))
+                a, b = _unique(both, doubled)
+                yield table(MEMBER, a, b)
                 continue
-            pairs, stars = _tile_pairs(keys, ids)
-            yield table(PAIR, *pairs)
+            (a, b, times), stars = _tile_pairs(keys, ids, steps.astype(np.int64))
+            yield table(PAIR, a, b, times)
             yield table(STAR, *stars)
         trim()
 
     import pyarrow.compute  # noqa: F401
 
-    sent = docs.mapInArrow(emit, "r int, doc_id long, id long, n int, h long, keys binary, ids binary, bands binary")
+    sent = docs.mapInArrow(emit, "r int, doc_id long, id long, n int, h long, keys binary, ids binary, steps binary")
     return stage(sent.repartition(ranges, "r").mapInArrow(meet, _FOUND), "ngram-met", by="kind")
 
 
@@ -249,21 +252,37 @@ def _unique(a, b):
     return a[new], b[new]
 
 
-def _tile_pairs(keys, ids):
-    """((a, b) to compare, (least id of a tile, id)), distinct, of the tiles that keys make."""
-    keys, ids = _unique(keys, ids)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(first, len(keys)))
-    tile = np.repeat(np.arange(len(first)), sizes)
-    few_, pairs = sizes <= PAIRED, []
-    for distance in range(1, PAIRED):
-        at = np.flatnonzero(few_[tile[distance:]] & (tile[distance:] == tile[: len(tile) - distance])) if len(tile) > distance else np.zeros(0, np.int64)
-        pairs.append((ids[at], ids[at + distance]))
-    at = np.flatnonzero(~few_[tile])
-    low, high = ids[first[tile[at]]], ids[(first + sizes - 1)[tile[at]]]
-    pairs.append((ids[at][low != ids[at]], high[low != ids[at]]))
-    a, b = (np.concatenate(x) for x in zip(*pairs))
-    return _unique(a[a != b], b[a != b]), _unique(low, ids[at])
+def _tile_pairs(keys, ids, steps):
+    """((a, b, keys in which they meet), (least id of a tile, id)) of the tiles that keys and
+    bands make. A set is in the tiles of its own band of sizes and of the next larger one;
+    two sets meet in the tile of the larger one's band. Rows of a tile above PAIRED meet its
+    greatest id as if in enough keys."""
+    band = steps // STEPS
+    tile = np.concatenate([banded(keys, band), banded(keys, band + 1)])
+    ids, steps, upper = np.concatenate([ids, ids]), np.concatenate([steps, steps]), np.concatenate([band, band + 1])
+    order = np.lexsort((ids, tile))
+    tile, ids, steps, upper = tile[order], ids[order], steps[order], upper[order]
+    new = np.ones(len(tile), bool)
+    new[1:] = (tile[1:] != tile[:-1]) | (ids[1:] != ids[:-1])
+    tile, ids, steps, upper = tile[new], ids[new], steps[new], upper[new]
+    first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])) if len(tile) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(tile)))
+    group = np.repeat(np.arange(len(first)), sizes)
+    small, met = sizes <= PAIRED, []
+    for distance in range(1, min(PAIRED, len(group))):
+        x = np.flatnonzero(small[group[distance:]] & (group[distance:] == group[:-distance]))
+        y = x + distance
+        ok = (np.abs(steps[x] - steps[y]) <= STEPS) & (np.maximum(steps[x], steps[y]) // STEPS == upper[x])
+        met.append((ids[x[ok]], ids[y[ok]]))
+    a, b = (np.concatenate(x) for x in zip(*met)) if met else (ids[:0], ids[:0])
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    times = np.diff(np.append(start, len(a)))
+    at = np.flatnonzero(~small[group])
+    low, high = ids[first[group[at]]], ids[(first + sizes - 1)[group[at]]]
+    tops = _unique(ids[at][high != ids[at]], high[high != ids[at]])
+    return (np.concatenate([a[start], tops[0]]), np.concatenate([b[start], tops[1]]), np.concatenate([times, np.full(len(tops[0]), SHARED)])), _unique(low, ids[at])
 
 
 def _difference(p: bytes, q: bytes) -> int:
@@ -272,28 +291,16 @@ def _difference(p: bytes, q: bytes) -> int:
     return int(np.bitwise_count(fold(a, width) ^ fold(b, width)).sum())
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that link, by exact intersection of sorted arrays."""
-
-    @F.pandas_udf("boolean")
-    def links(p, q):
-        import pandas as pd
-
-        def one(x, y):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            return bool(enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-
-        return pd.Series([one(x, y) for x, y in zip(p, q)])
-
-    pairs = stage(pairs, "ngram-pairs")
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")).join(few(pairs), "a")
-    right = sets.join(few(pairs.select(F.col("b").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    return left.join(right, "b").where(links("sa", "sb")).select("a", "b")
+def _sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Staged pairs (a, b) with the named columns of both sets. Few pairs are sent to the
+    sets, so that only the sets that they name are shuffled."""
+    left = sets.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns]).join(few(pairs), "a")
+    right = sets.join(few(pairs.select(F.col("b").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    return left.join(right, "b")
 
 
 def _linking(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The staged pairs (a, b) that link: those that the bitmaps admit, intersected exactly."""
-    left, right = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
 
     @F.pandas_udf("boolean")
     def admitted(na, nb, ba, bb):
@@ -301,9 +308,19 @@ def _linking(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
         return pd.Series([bool(may_link(x, y, _difference(p, q))) for x, y, p, q in zip(na, nb, ba, bb)])
 
-    sized = F.least("na", "nb") * OF >= F.greatest("na", "nb") * LINK
-    met = pairs.join(left, "a").join(right, "b").where(sized & admitted("na", "nb", "bitsa", "bitsb")).select("a", "b")
-    return stage(_verified(met, sets), "ngram-links")
+    @F.pandas_udf("boolean")
+    def links(p, q):
+        import pandas as pd
+
+        def one(x, y):
+            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            return bool(enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+
+        return pd.Series([one(x, y) for x, y in zip(p, q)])
+
+    sized = F.least("n_a", "n_b") * OF >= F.greatest("n_a", "n_b") * LINK
+    near = stage(_sides(pairs, sets, "n", "bits").where(sized & admitted("n_a", "n_b", "bits_a", "bits_b")).select("a", "b"), "ngram-near")
+    return stage(_sides(near, sets, "shingles").where(links("shingles_a", "shingles_b")).select("a", "b"), "ngram-links")
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -557,8 +574,9 @@ def _joined(docs: DataFrame) -> DataFrame:
     keyed = met.where(F.col("kind") == MEMBER).select("a", "b")
     stars = met.where(F.col("kind") == STAR).select("a", "b").union(keyed.join(keyed.groupBy("a").agg(F.min("b").alias("low")), "a").select(F.col("low").alias("a"), "b"))
     groups = stage(stars.distinct().select(F.col("a").alias("cid"), F.col("b").alias("id"), F.lit(BOTH).cast("byte").alias("side")), "ngram-groups")
-    pairs = met.where(F.col("kind") == PAIR).select("a", "b").union(groups.where("cid <> id").select("cid", "id"))
-    pairs = stage(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "ngram-pairs")
+    pairs = met.where(F.col("kind") == PAIR).select("a", "b", "n").union(groups.where("cid <> id").select("cid", "id", F.lit(SHARED)))
+    pairs = pairs.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.sum("n").alias("n"))
+    pairs = stage(pairs.where(F.col("n") >= SHARED).select("a", "b"), "ngram-pairs")
     full = _active_sets(texts, rows, sets, pairs)
     labels = _merged(None, _linking(pairs, full))
     while True:  # each turn's groups have at most half of the sets of the one before
