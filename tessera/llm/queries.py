@@ -99,4 +99,26 @@ select dw.doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_hit, 0)::bi
 from dw left join n using (doc_id) left join items using (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_weighted_fair_mix": OP2_SQL, "op3_decontamination": OP3_SQL}
+WORDS_SQL = r"""with recursive d as (select row_number() over () as rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents),"""
+
+# Pairs by shared shingles, counted; then all that links reach.
+OP9_SQL = WORDS_SQL + r"""
+s as (select distinct rid, array_to_string(case when len(w) >= 5 then w[i:i + 4] else w end, ' ') as g from (select rid, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0)),
+n as (select rid, count(*) as n from s group by rid),
+p as (select a.rid as x, b.rid as y, count(*) as k from s a join s b on a.g = b.g and a.rid <> b.rid group by all),
+e as (select x, y from p join n a on a.rid = x join n b on b.rid = y where 100 * k >= 80 * (a.n + b.n - k)),
+r as (select rid as x, rid as y from n union select r.x, e.y from r join e on r.y = e.x),
+c as (select r.x as rid, min(d.doc_id) as component_id from r join d on d.rid = r.y group by all)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, case when n.n is null then d.doc_id else c.component_id end as component_id from d left join n using (rid) left join c using (rid)"""
+
+# Windows of 51 words that two documents have; overlapping or touching ones are one span.
+OP10_SQL = WORDS_SQL + r"""
+g as (select rid, i, array_to_string(w[i:i + 50], ' ') as g from (select rid, w, unnest(range(1, len(w) - 49)) as i from d where len(w) >= 51)),
+h as (select g from g group by g having min(rid) <> max(rid)),
+p as (select rid, i from g semi join h using (g)),
+b as (select *, sum(case when i - before <= 51 then 0 else 1 end) over (partition by rid order by i) as k from (select *, lag(i) over (partition by rid order by i) as before from p)),
+t as (select rid, k, min(i) - 1 as start, max(i) + 50 as stop from b group by all),
+u as (select rid, sum(stop - start)::bigint as n_repeated, string_agg(start || ':' || stop, ',' order by start) as spans from t group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(n_repeated, 0)::bigint as n_repeated, coalesce(spans, '') as spans from d left join u using (rid)"""
+
+ORACLE_SQL: dict[str, str] = {"op2_weighted_fair_mix": OP2_SQL, "op3_decontamination": OP3_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op10_suffix_repeats": OP10_SQL}

@@ -2,9 +2,11 @@
 
 A suffix is retained only at content-selected positions: where a 12-word hash is the
 least of the 40 that a window of 51 words holds. Equal windows select the
-same position, so every shared passage is met. Retained suffixes that start with the
-same 12 words are sorted by what follows and neighbours are compared; the match is then
-extended to the left word by word, each extended suffix sorted and compared again. The
+same position, so every shared passage is met. The retained suffixes are sorted by their
+words, and neighbours' common prefixes tell how far each matches to the right; sorted by
+the words before them, read backwards, their neighbours' common prefixes tell how far each
+matches to the left. A position is in a shared passage if some other document agrees with
+it in so many words to the left and so many to the right that they are 51 together; the
 union of a document's matches is the whole passage to its left and right end.
 """
 
@@ -14,13 +16,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rolling, small_batches, stage, word_hashes
+from .common import few, rolling, small_batches, stage, text_parts, trim, word_hashes
 
 #: Words of the shortest passage, of a minimiser, and the minimisers a window holds.
 PASSAGE, GRAM = 51, 12
 SPAN = PASSAGE - GRAM + 1
-#: Groups that one compare task's table is cut into.
-TILES = 4096
+#: Contexts that one task sorts, and contexts of one 12-word hash above which its windows are compared by their hashes.
+TILE_ROWS, HOT = 20_000, 100_000
 
 
 def _sliding(values, width: int, pick):
@@ -43,11 +45,11 @@ def minimisers(hashes):
     return at, grams[at]
 
 
-def word_rows(hashes, texts: list, size: int = 32):
+def word_rows(hashes, texts: list):
     """Word hashes of each text in turn."""
-    for i in range(0, len(texts), size):
-        words, counts = hashes(texts[i : i + size])
-        yield from np.split(words, np.cumsum(counts)[:-1]) if len(counts) else ()
+    for part in text_parts(texts):
+        words, counts = hashes(part)
+        yield from np.split(words, np.cumsum(counts)[:-1])
 
 
 def _positions(docs: DataFrame) -> DataFrame:
@@ -101,24 +103,41 @@ def _contexts(wanted: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, "gram long, id long, place long, left long, right long, context binary")
 
 
-def matches(gram, low, high, left, right, table):
+def _sorted(rows):
+    """(order of the rows by their words, words that each has in common with the one before
+    it in that order; -1 for the first)."""
+    width = rows.shape[1]
+    flat = np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * width}").ravel()
+    order = np.argsort(flat, kind="stable")
+    same = rows[order][1:] == rows[order][:-1]
+    common = np.where(same.all(axis=1), width, same.argmin(axis=1))
+    return order, np.concatenate([[-1], common])
+
+
+def _classes(order, common, words: int):
+    """A number for each row, equal where neighbours agree in so many words."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(common < words)
+    return out
+
+
+def matches(low, high, left, right, table):
     """(fewest, most) words to the left with which each suffix has a neighbour of another
     document in PASSAGE words; -1 where none has. Rows stand for distinct contexts, low
     and high for the least and greatest document that holds one."""
-    m = len(gram)
+    m = len(low)
     fewest, most = np.full(m, -1, np.int64), np.full(m, -1, np.int64)
-    power = np.cumprod(np.full(table.shape[1] + 1, 0x9E3779B97F4A7C15, np.uint64))
-    sums = np.zeros((m, table.shape[1] + 1), np.uint64)
-    np.cumsum((table.astype(np.uint64) + np.uint64(1)) * power[: table.shape[1]], axis=1, out=sums[:, 1:])
+    if not m:
+        return fewest, most
+    ahead, behind = _sorted(table[:, SPAN - 1 :]), _sorted(table[:, SPAN - 2 :: -1])
     for back in range(SPAN):
-        start = SPAN - 1 - back
         ok = np.flatnonzero((left >= back) & (right >= PASSAGE - back))
         if not len(ok):
             continue
-        suffix = (sums[ok, start + PASSAGE] - sums[ok, start]) * power[SPAN - 1 - start] ^ gram[ok].view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-        order = np.argsort(suffix, kind="stable")
-        suffix, rows = suffix[order], ok[order]
-        first = np.flatnonzero(np.concatenate([[True], suffix[1:] != suffix[:-1]]))
+        both = (_classes(*ahead, PASSAGE - back) * (m + 1) + _classes(*behind, back))[ok]
+        order = np.argsort(both, kind="stable")
+        both, rows = both[order], ok[order]
+        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
         spread = np.minimum.reduceat(low[rows], first) != np.maximum.reduceat(high[rows], first)
         hit = rows[np.repeat(spread, np.diff(np.append(first, len(rows))))]
         fewest[hit] = np.where(fewest[hit] < 0, back, fewest[hit])
@@ -126,6 +145,58 @@ def matches(gram, low, high, left, right, table):
     return fewest, most
 
 
+_FOUND = "gram long, digest long, left long, right long, fewest long, most long"
+
+
+def _table(contexts):
+    return np.frombuffer(b"".join(contexts), np.uint32).reshape(-1, SPAN - 1 + PASSAGE)
+
+
+def _compared(distinct: DataFrame, rows: int) -> DataFrame:
+    """Rows of _FOUND from distinct contexts, suffixes with one 12-word hash in one task."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            columns = {c: table.column(c).to_numpy() for c in ("gram", "digest", "low", "high", "left", "right")}
+            fewest, most = matches(*(columns[c] for c in ("low", "high", "left", "right")), _table(table.column("context").to_pylist()))
+            at = np.flatnonzero(most >= 0)
+            yield pa.RecordBatch.from_arrays([*(pa.array(columns[c][at]) for c in ("gram", "digest", "left", "right")), pa.array(fewest[at]), pa.array(most[at])], names=["gram", "digest", "left", "right", "fewest", "most"])
+        trim()
+
+    return distinct.repartition(max(8, -(-rows // TILE_ROWS)), "gram").mapInArrow(run, _FOUND)
+
+
+def _hashed(distinct: DataFrame) -> DataFrame:
+    """The same for hashes with very many contexts, which no task could sort: each window of
+    each suffix meets its equals by a hash, in sums that combine before they are shuffled."""
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        names = ["gram", "digest", "left", "right", "low", "high", "back", "window"]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch, out = whole.slice(at, 500), []
+                table = _table(batch.column("context").to_pylist())
+                for row, words in zip(zip(*(batch.column(c).to_pylist() for c in names[:6])), table):
+                    for back in range(SPAN):
+                        if row[2] >= back and row[3] >= PASSAGE - back:
+                            start = SPAN - 1 - back
+                            out.append((*row, back, xxhash.xxh64_intdigest(words[start : start + PASSAGE].tobytes()) - (1 << 63)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=names)
+
+    windows = distinct.select("gram", "digest", "left", "right", "low", "high", "context").mapInArrow(run, ", ".join(f"{c} long" for c in ("gram", "digest", "left", "right", "low", "high", "back", "window")))
+    spread = windows.groupBy("gram", "back", "window").agg(F.min("low").alias("x"), F.max("high").alias("y")).where("x <> y").select("gram", "back", "window")
+    hits = windows.join(spread, ["gram", "back", "window"])
+    return hits.groupBy("gram", "digest", "left", "right").agg(F.min("back").alias("fewest"), F.max("back").alias("most"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_words, n_repeated, spans.
 
@@ -147,15 +218,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     near = stage(_contexts(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"]) & (texts["h"] == wanted["x"])).select("id", "tid", "text", "at")).withColumn("digest", F.xxhash64("context")), "suffix-contexts")
     # A passage that very many documents share has few distinct contexts; they are one row here, combined map-side.
     distinct = near.groupBy("gram", "digest", "left", "right").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("context").alias("context"))
-
-    def compare(pdf):
-        import pandas as pd
-
-        table = np.frombuffer(b"".join(pdf["context"]), np.uint32).reshape(len(pdf), -1)
-        fewest, most = matches(pdf["gram"].to_numpy(), *(pdf[c].to_numpy() for c in ("low", "high", "left", "right")), table)
-        return pd.DataFrame({"gram": pdf["gram"], "digest": pdf["digest"], "left": pdf["left"], "right": pdf["right"], "fewest": fewest, "most": most})[most >= 0]
-
-    matched = distinct.withColumn("tile", F.pmod(F.xxhash64("gram"), F.lit(TILES))).groupBy("tile").applyInPandas(compare, "gram long, digest long, left long, right long, fewest long, most long")
+    hot = stage(near.groupBy("gram").count().where(F.col("count") > HOT).select("gram"), "suffix-hot")
+    if hot.isEmpty():
+        matched = _compared(distinct, near.count())
+    else:
+        distinct = stage(distinct, "suffix-distinct")
+        matched = _compared(distinct.join(few(hot), "gram", "left_anti"), near.count()).union(_hashed(distinct.join(few(hot), "gram", "left_semi")).select("gram", "digest", "left", "right", "fewest", "most"))
     hits = near.select("gram", "digest", "left", "right", "id", "place").join(matched, ["gram", "digest", "left", "right"])
     spans = hits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct((F.col("place") - F.col("most")).alias("start"), (F.col("place") - F.col("fewest") + PASSAGE).alias("stop")))).alias("s"))
     union = """aggregate(s, cast(array() as array<struct<start: bigint, stop: bigint>>), (a, x) -> case
