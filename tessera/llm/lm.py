@@ -8,7 +8,9 @@ As contexts, too, entries of groups have their own vectors beside their group's.
 a slot a word has its smoothed share of the slot's counts, so token probabilities are
 normalised over the whole vocabulary. Parts of the training documents train copies of
 their own in one pass; copies are averaged by their tokens (a grouped entry's vectors by
-how often the copy met it), so all data take part.
+how often the copy met it), so all data take part. This is done in turns over a third of
+the texts each, every turn from the average of the one before, and no copy trains on few
+tokens, so that the result hardly depends on how the corpus is partitioned.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import small_batches, stage, text_parts
 from .langid import remainder
 
 #: Classes, dimensions, noise words a batch, tokens a batch, learning rate, and the most words that are looked up in memory.
 K, DIM, NOISE, BATCH, RATE, HEAD = 512, 16, 64, 1024, 0.2, 150_000
 #: Noise entries a token inside its group, entries a packed row of a copy, and what a grouped entry's sums of squares start with.
 INNER_NOISE, CHUNK, START = 4, 1024, 1e-7
+#: Tokens that a copy trains on at least, and turns in which copies start from their common average.
+COPY_TOKENS, TURNS = 200_000, 3
 #: The end of a text as a word: white space, so that no word equals it; its entry.
 END, STOP = b"\n", 0
 
@@ -48,6 +52,7 @@ class LogBilinear:
     entry inside its group: the same sum . inner[w] + inner_bias[w]. The first ``alone``
     entries are classes, the rest lie in groups of equal size (without it, all are classes)."""
 
+    rate = RATE
     NAMES = ("first", "second", "out", "bias")
     OWN = ("own_first", "own_second", "inner", "inner_bias")
 
@@ -120,7 +125,7 @@ class LogBilinear:
         for n, grad in grads.items():
             grad = (grad / len(w)).astype(np.float32)
             self.sums[n] += grad * grad
-            setattr(self, n, getattr(self, n) - RATE * grad / np.sqrt(self.sums[n]))
+            setattr(self, n, getattr(self, n) - self.rate * grad / np.sqrt(self.sums[n]))
         for n, x in (("own_first", a), ("own_second", b)):
             own = np.flatnonzero(x >= self.alone)
             self._step(x[own] - self.alone, {n: dr[own] / len(w)})
@@ -155,7 +160,7 @@ class LogBilinear:
             table, sums = (t.reshape(len(t), -1) for t in (getattr(self, name), self.sums[name]))
             now = sums[rows] + grad * grad
             sums[rows] = now
-            table[rows] -= RATE * grad / np.sqrt(now)
+            table[rows] -= self.rate * grad / np.sqrt(now)
 
     def log10(self, a, b, w, block: int = 256):
         """log10 of the entries' probabilities; a context's normaliser is computed once a call."""
@@ -275,21 +280,34 @@ class Vocabulary:
 
 
 def fit(docs: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
-    """Average of the copies that parts of docs(text) train. Copies are at most as many as
-    the square root of the tokens allows, so that their size stays in proportion to the corpus."""
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary.named, vocabulary.slots, vocabulary.unigram))  # bounded by the square root of the tokens
+    """The model after TURNS averages of the copies that parts of docs(text) train. Copies
+    are at most as many as the square root of the tokens allows, so that their size stays in
+    proportion to the corpus; with few tokens there is one copy and one turn."""
+    copies = max(1, min(vocabulary.n // COPY_TOKENS, max(32, math.isqrt(vocabulary.n) // 140)))
+    model, turns = LogBilinear(vocabulary.unigram, K - 1), TURNS if copies > 1 else 1
+    for turn in range(turns):
+        own = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(turns)) == turn)
+        _averaged(own.coalesce(copies), vocabulary, model, RATE / (1 + turn))
+    return model
+
+
+def _averaged(docs: DataFrame, vocabulary: Vocabulary, model: LogBilinear, rate: float) -> None:
+    """Set the model to the average of copies of it, one trained on each partition."""
+    held = docs.sparkSession.sparkContext.broadcast((vocabulary.named, vocabulary.slots, vocabulary.unigram, model.pack(), model.pack(model.OWN)))  # bounded by the square root of the tokens
     kinds = "chunk int, copy int, weights binary, model binary"
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        named, slots, unigram = held.value
-        entries, model, rng, kept, n = Entries(named, slots), LogBilinear(unigram, K - 1), np.random.default_rng(3), [], 0
+        named, slots, unigram, flat, own = held.value
+        entries, model, rng, kept, n = Entries(named, slots), LogBilinear(unigram, K - 1).unpack(flat), np.random.default_rng(3), [], 0
+        model.unpack(own, model.OWN)
+        model.rate = rate
         for batch in batches:
             texts = [t.lower() for t in batch.column("text").to_pylist()]
-            for at in range(0, len(texts), 64):
-                kept.append(_sequences(texts[at : at + 64], entries)[:3])
+            for part in text_parts(texts):
+                kept.append(_sequences(part, entries)[:3])
                 if sum(len(k[2]) for k in kept) >= 16 * BATCH:
                     n += _train(model, kept, rng)
                     kept = []
@@ -316,13 +334,10 @@ def fit(docs: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
             total, mean = total + spread, mean + spread * flat
         return pd.DataFrame({"chunk": [key[0]], "model": [(mean / total).astype("<f4").tobytes()]})
 
-    parts = max(32, math.isqrt(vocabulary.n) // 140)
-    copies = docs.select("text").coalesce(parts).mapInArrow(run, kinds)
-    model = LogBilinear(vocabulary.unigram, K - 1)
-    for r in copies.groupBy("chunk").applyInPandas(average, "chunk int, model binary").collect():  # one model
+    for r in docs.mapInArrow(run, kinds).groupBy("chunk").applyInPandas(average, "chunk int, model binary").collect():  # one model
         flat, at = np.frombuffer(r["model"], "<f4"), r["chunk"] * CHUNK
         model.unpack(flat) if r["chunk"] < 0 else model.unpack(flat, model.OWN, slice(at, at + CHUNK))
-    return model
+    held.unpersist()
 
 
 def _train(model: LogBilinear, kept: list, rng) -> int:
