@@ -6,10 +6,12 @@ slot-to-shard map places the slots, and rebalancing edits the map, never the has
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import scratch_dir, stage
 
 #: Virtual slots: three hexadecimal digits of the key's digest.
 SLOTS = 4096
@@ -63,7 +65,41 @@ def grown(slot_map: DataFrame, shards: int) -> DataFrame:
     return slot_map.select((F.col("version") + 1).alias("version"), "vslot", F.when(gives, F.lit(shards)).otherwise(F.col("shard")).alias("shard"), "bytes", "rows")
 
 
-def shard_records(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def latest(slot_map: DataFrame) -> DataFrame:
+    """The newest version of a stored map."""
+    last = slot_map.agg(F.max("version").alias("last"))
+    return slot_map.join(F.broadcast(last), F.col("version") == F.col("last")).drop("last")
+
+
+def stored_map(spark: SparkSession, path: str) -> DataFrame:
+    """All versions of the map kept at ``path``."""
+    return spark.read.parquet(path)
+
+
+def edit_map(loads: DataFrame, shards: int, path: str) -> DataFrame:
+    """Append the next version to the map at ``path``, for today's loads(vslot, bytes, rows),
+    and return all versions. The first call writes the slots dealt in turn as version 1 and
+    their rebalancing as version 2; later calls rebalance the newest one, in which slots
+    without a place yet are dealt in turn. Old versions are never changed."""
+    spark = loads.sparkSession
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        old = latest(stored_map(spark, path)).select("vslot", F.col("shard").alias("held"), "version")
+        number = old.agg(F.max("version")).first()[0]
+        now = loads.join(old.select("vslot", "held"), "vslot", "left")
+        now = now.select(F.lit(number).alias("version"), "vslot", F.coalesce("held", (F.col("vslot") % shards).cast("int")).alias("shard"), "bytes", "rows")
+    else:
+        now = first_map(loads, shards)
+        now.coalesce(1).write.parquet(path)
+    stage(rebalanced(now, shards), "slot-map").coalesce(1).write.mode("append").parquet(path)
+    return stored_map(spark, path)
+
+
+#: Parts in which the rows of one slot are numbered.
+PARTS = 32
+
+
+def shard_records(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Place every row: (placed rows, versioned map).
 
     Placed rows: doc_id, size (UTF-8 bytes + 1; a null text counts as none),
@@ -71,16 +107,19 @@ def shard_records(docs: DataFrame, shards: int = 16, key: str = "doc_id", text:
     gapless from 0). Law ``bytes``: shard sizes come near equal, up to one slot's
     share or one row larger than the mean shard. A null key is the empty string;
     repeated rows are placed each on its own; an empty table gives no rows. Numbering
-    runs per virtual slot with an offset per slot, so no task sees a whole shard.
+    runs per virtual slot and part, with an offset for each, so no task sees a whole
+    shard, nor all rows of one key. The map is kept at ``path``, where later calls find and
+    edit it; without one, beside the staged tables.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
-    rows = stage(rows.withColumn("vslot", slot_of(F.col("doc_id"))), "shard-rows")
-    loads = slot_bytes(rows)
-    start = first_map(loads, shards)
-    versions = stage(start.unionByName(rebalanced(start, shards)), "slot-map")
-    before = F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1))
-    now = versions.where("version = 2").select("vslot", "shard", F.coalesce(before, F.lit(0)).alias("offset"))
-    n = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
-    placed = rows.join(F.broadcast(now), "vslot").select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("offset") + n - 1).alias("slot"))
+    part = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(PARTS)).cast("int")
+    rows = stage(rows.withColumn("vslot", slot_of(F.col("doc_id"))).withColumn("part", part), "shard-rows")
+    versions = edit_map(slot_bytes(rows), shards, path or f"{scratch_dir(docs.sparkSession)}/tessera/slot-map-{uuid.uuid4().hex}")
+    now = latest(versions).select("vslot", "shard")
+    parts = rows.groupBy("vslot", "part").agg(F.count("*").alias("rows")).join(F.broadcast(now), "vslot")  # SLOTS * PARTS rows at most
+    before = F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.select("vslot", "part", "shard", F.coalesce(before, F.lit(0)).alias("offset"))
+    n = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size"))
+    placed = rows.join(F.broadcast(offsets), ["vslot", "part"]).select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("offset") + n - 1).alias("slot"))
     return placed, versions
