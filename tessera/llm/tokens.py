@@ -311,9 +311,9 @@ def write_files(tokens: DataFrame, path: str | None = None) -> DataFrame:
             yield file()
 
     ids = tokens.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
-    ranged = tokens.repartitionByRange(max(1, -(-ids // FILE_IDS)), "doc_id").withColumn("part", F.spark_partition_id()).sortWithinPartitions("doc_id", "n_tokens", "crc")
+    ranged = tokens.repartitionByRange(max(1, -(-ids // FILE_IDS)), "doc_id", "n_tokens", "crc").withColumn("part", F.spark_partition_id()).sortWithinPartitions("doc_id", "n_tokens", "crc")
     files = ranged.select("doc_id", "width", "ids", "part").mapInArrow(run, "part int, seq int, n_ids long, doc_ids array<long>, counts array<long>, blob binary")
-    return stage(files, "token-files", path, "zstd")
+    return stage(files, "token-files", path, "uncompressed")  # codes stay addressable
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -352,7 +352,13 @@ def encode_corpus(docs: DataFrame, tokenizer_path: str, path: str | None = None)
     return read_files(files)
 
 
-def token_at(spark: SparkSession, path: str, part: int, seq: int, i: int) -> int:
-    """One token of one file, without decoding the rest."""
-    row = spark.read.parquet(path).where((F.col("part") == part) & (F.col("seq") == seq)).select("blob").first()
-    return Codes(bytes(row["blob"]))[i]
+def token_at(spark: SparkSession, path: str, i: int) -> int:
+    """The i-th token of the corpus from the files at ``path``: the file's place from the
+    files' counts, then one rank query a level, without decoding the rest."""
+    files = spark.read.parquet(path)
+    before = F.sum("n_ids").over(Window.orderBy("part", "seq"))  # one narrow row a file
+    at = files.select("part", "seq", "n_ids").select("part", "seq", "n_ids", before.alias("upto")).where(F.col("upto") > i).orderBy("upto").first()
+    if i < 0 or at is None:
+        raise IndexError(i)
+    row = files.where((F.col("part") == at["part"]) & (F.col("seq") == at["seq"])).select("blob").first()
+    return Codes(bytes(row["blob"]))[i - at["upto"] + at["n_ids"]]
