@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import free_name, stage
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -28,16 +28,25 @@ RATE, STEPS, MOST = 0.05, 50, 1000
 SPAN = "struct<start: bigint, kind: int, stop: bigint>"
 
 
+#: Matches whose lengths are summed at once.
+RUN = 128
+
+
 def found(text: str, pattern: str) -> str:
     """SQL for array<struct<start, stop, value>> of a pattern's leftmost non-overlapping
-    matches (never empty) in code points: gaps and matches alternate, so starts are sums."""
+    matches (never empty) in code points: gaps and matches alternate, so starts are sums.
+    They are summed by runs of RUN matches, so the work grows little faster than the matches.
+    Arrays of one struct bind what is evaluated once."""
     p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    return f"""if({text} rlike '{p}', aggregate(
-        zip_with(slice(split({text}, '{p}', -1), 1, size(split({text}, '{p}', -1)) - 1), regexp_extract_all({text}, '{p}', 0), (g, v) -> named_struct('gap', g, 'value', v)),
-        named_struct('at', 0L, 'out', cast(array() as array<struct<start: bigint, stop: bigint, value: string>>)),
-        (s, x) -> named_struct('at', s.at + length(x.gap) + length(x.value),
-          'out', array_append(s.out, named_struct('start', s.at + length(x.gap), 'stop', s.at + length(x.gap) + length(x.value), 'value', x.value))),
-        s -> s.out), cast(array() as array<struct<start: bigint, stop: bigint, value: string>>))"""
+    none = "cast(array() as array<struct<start: bigint, stop: bigint, value: string>>)"
+    return f"""if({text} rlike '{p}', flatten(transform(transform(transform(
+        array(named_struct('gaps', split({text}, '{p}', -1), 'values', regexp_extract_all({text}, '{p}', 0))),
+        s -> named_struct('values', s.values, 'gaps', transform(slice(s.gaps, 1, size(s.values)), g -> cast(length(g) as bigint)),
+          'steps', transform(s.values, (v, i) -> cast(length(s.gaps[i]) + length(v) as bigint)))),
+        s -> named_struct('values', s.values, 'gaps', s.gaps, 'steps', s.steps,
+          'sums', aggregate(sequence(0, (size(s.values) - 1) div {RUN}), array(0L), (a, i) -> array_append(a, a[size(a) - 1] + aggregate(slice(s.steps, cast(i * {RUN} + 1 as int), {RUN}), 0L, (x, y) -> x + y))))),
+        s -> transform(s.values, (v, i) -> transform(array(s.sums[i div {RUN}] + s.gaps[i] + aggregate(slice(s.steps, cast(i div {RUN} * {RUN} + 1 as int), i % {RUN}), 0L, (x, y) -> x + y)),
+          at -> named_struct('start', at, 'stop', at + length(v), 'value', v))[0]))), {none})"""
 
 
 def upper_tail(z: str) -> str:
@@ -77,6 +86,26 @@ def p_values(tokens: DataFrame) -> DataFrame:
     return tokens
 
 
+def _spans(docs: DataFrame, carry: tuple[str, ...]) -> tuple[DataFrame, str]:
+    """The ``carry`` columns of docs and the spans, under a name of its own."""
+    row, text, base, tokens, more = (free_name(docs, c) for c in ("row", "body", "base", "tokens", "more"))
+    body = docs.select(*carry, F.monotonically_increasing_id().alias(row), F.coalesce(F.col("text").cast("string"), F.lit("")).alias(text))
+    assigned = F.expr(f"filter({found(text, ASSIGN)}, x -> length(regexp_extract(x.value, '{_sql(ASSIGN)}', 2)) >= 6)")
+    kinds = [assigned, F.expr(found(text, ACCESS)), F.expr(found(text, HEX))]
+    spans = [F.transform(k, _of_kind(i)) for i, k in enumerate(kinds)]
+    mixed = F.expr(f"filter({found(text, TOKEN)}, x -> x.value rlike '[0-9]' and x.value rlike '[A-Za-z]')")
+    rows = stage(body.select(row, *carry, F.array_sort(F.concat(*spans)).alias(base), mixed.alias(tokens)), "secrets")
+    free = rows.where(F.size(tokens) > 0).select(F.col(row).alias("row"), F.expr(f"explode(filter({tokens}, t -> not exists({base}, b -> b.start < t.stop and t.start < b.stop)))").alias("t"))
+    tested = p_values(free.select("row", "t.start", "t.stop", F.col("t.value").alias("v")))
+    step = F.least(F.floor(-F.log10("p") * STEPS), F.lit(MOST)).cast("int")
+    tested = stage(tested.select("row", "start", "stop", F.floor(F.log2("n")).cast("int").alias("band"), step.alias("step")), "secret-tokens")
+    limits = thresholds(tested)
+    odd = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for b in limits for x in (b, limits[b])]), F.col("band")), F.lit(MOST + 1)) if limits else F.lit(MOST + 1)
+    kept = tested.where(F.col("step") < odd).groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "stop")).alias(more))
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    return rows.join(kept, row, "left").select(*carry, F.array_sort(F.concat(base, F.coalesce(more, none))).alias(base)), base
+
+
 def scan(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row of docs(text, ...): the ``carry`` columns and ``all_spans``, an array of
     (start, kind, stop) by start and kind, of whole texts; kind indexes KINDS.
@@ -85,21 +114,8 @@ def scan(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     in the false-discovery control; an empty table gives no rows. Random spans that
     touch a pattern's span are left to it.
     """
-    body = docs.select(*carry, F.monotonically_increasing_id().alias("__row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__t"))
-    assigned = F.expr(f"filter({found('__t', ASSIGN)}, x -> length(regexp_extract(x.value, '{_sql(ASSIGN)}', 2)) >= 6)")
-    kinds = [assigned, F.expr(found("__t", ACCESS)), F.expr(found("__t", HEX))]
-    spans = [F.transform(k, _of_kind(i)) for i, k in enumerate(kinds)]
-    tokens = F.expr(f"filter({found('__t', TOKEN)}, x -> x.value rlike '[0-9]' and x.value rlike '[A-Za-z]')")
-    rows = stage(body.select("__row", *carry, F.array_sort(F.concat(*spans)).alias("base"), tokens.alias("tokens")), "secrets")
-    open_tokens = rows.where("size(tokens) > 0").select("__row", F.expr("explode(filter(tokens, t -> not exists(base, b -> b.start < t.stop and t.start < b.stop)))").alias("t"))
-    tested = p_values(open_tokens.select("__row", "t.start", "t.stop", F.col("t.value").alias("v")))
-    step = F.least(F.floor(-F.log10("p") * STEPS), F.lit(MOST)).cast("int")
-    tested = stage(tested.select("__row", "start", "stop", F.floor(F.log2("n")).cast("int").alias("band"), step.alias("step")), "secret-tokens")
-    limits = thresholds(tested)
-    odd = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for b in limits for x in (b, limits[b])]), F.col("band")), F.lit(MOST + 1)) if limits else F.lit(MOST + 1)
-    kept = tested.where(F.col("step") < odd).groupBy("__row").agg(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "stop")).alias("more"))
-    none = F.expr(f"cast(array() as array<{SPAN}>)")
-    return rows.join(kept, "__row", "left").select(*carry, F.array_sort(F.concat("base", F.coalesce("more", none))).alias("all_spans"))
+    rows, spans = _spans(docs, carry)
+    return rows.select(*carry, F.col(spans).alias("all_spans"))
 
 
 def thresholds(tested: DataFrame) -> dict[int, int]:
@@ -141,10 +157,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs, with its own columns, each found span replaced by ``mark``."""
-    rows = scan(docs, tuple(docs.columns))
+    """docs, with its own columns whatever their names, each found span replaced by ``mark``."""
+    rows, spans = _spans(docs, tuple(docs.columns))
     # Spans ascend, so text is copied up to each span once; a span inside an earlier one adds nothing.
-    text = F.expr(f"""aggregate(all_spans, named_struct('out', '', 'at', 0L),
+    text = F.expr(f"""aggregate({spans}, named_struct('out', '', 'at', 0L),
         (s, x) -> if(x.start >= s.at, named_struct('out', concat(s.out, substring(text, cast(s.at + 1 as int), cast(x.start - s.at as int)), '{mark}'), 'at', x.stop),
                      named_struct('out', s.out, 'at', greatest(s.at, x.stop))),
         s -> concat(s.out, substring(text, cast(s.at + 1 as int))))""")
