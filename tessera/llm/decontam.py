@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rolling, small_batches
+from .common import free_name, rolling, small_batches, stage
 
 WINDOW = 13
 #: Words of the benchmark that one pass's hash set may hold; a larger benchmark takes several passes.
@@ -64,17 +64,17 @@ class GramSet:
         return hit, items
 
 
-def _passes(benchmark: DataFrame) -> list[list[tuple[str, bytes]]]:
-    """The benchmark's items in passes of bounded size."""
+def _passes(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
+    """The benchmark's items in passes of bounded size; the driver holds one at a time."""
     items = benchmark.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    passes, words = [], PASS_WORDS
+    held, words = [], 0
     for row in items.toLocalIterator():  # a partition at a time
-        if words >= PASS_WORDS:
-            passes.append([])
-            words = 0
-        passes[-1].append((row["item_id"], bytes(row["text"])))
+        if held and words >= PASS_WORDS:
+            yield held
+            held, words = [], 0
+        held.append((row["item_id"], bytes(row["text"])))
         words += len(words_of(bytes(row["text"])))
-    return passes
+    yield held
 
 
 HIT = "n_words long, spans array<struct<start: long, stop: long>>, items array<string>"
@@ -101,6 +101,33 @@ def _scanner(spark: SparkSession, items: list[tuple[str, bytes]]):
     return F.pandas_udf(run, HIT).asNondeterministic()
 
 
+RESULT = ("n_words", "spans", "items", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...]) -> tuple[DataFrame, str]:
+    """The ``carry`` columns of docs and one struct of RESULT, under a name of its own.
+    Passes follow one another: each result but the last is written before the next begins."""
+    small_batches(docs.sparkSession)
+    body, out, before = (free_name(docs, c) for c in ("body", "found", "before"))
+    found = docs.select(*carry, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias(body))
+    merged, passes = None, _passes(benchmark)
+    items = next(passes)
+    while items is not None:
+        now, items = _scanner(docs.sparkSession, items), next(passes, None)
+        found = found.withColumn(out, now(body))
+        spans, names = F.col(out)["spans"], F.col(out)["items"]
+        if merged is not None:
+            spans, names = F.concat(spans, F.col(before)["spans"]), F.concat(names, F.col(before)["items"])
+        merged = F.struct(F.col(out)["n_words"].alias("n_words"), spans.alias("spans"), names.alias("items"))
+        if items is not None:
+            found = stage(found.select(*carry, body, merged.alias(before)), "decontam")
+    found = found.select(*carry, merged.alias(out)).select(*carry, F.struct(f"{out}.n_words", F.expr(UNION.replace("(spans)", f"({out}.spans)")).alias("spans"), F.array_sort(F.array_distinct(f"{out}.items")).alias("items")).alias(out))
+    r = F.col(out)
+    n_hit = F.aggregate(r["spans"], F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
+    more = F.struct(*[r[c].alias(c) for c in RESULT[:3]], n_hit.alias("n_hit"), F.size(r["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(r["items"], ","), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * 20 >= r["n_words"])).alias("contaminated"))
+    return found.select(*carry, more.alias(out)), out
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row of docs(text, ...): the ``carry`` columns, n_words, spans, items, n_hit,
     n_items, items_sha256, contaminated.
@@ -110,20 +137,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_i
     is the string ``null``. contaminated: some word is hit and at least one in twenty.
     Null or wordless texts, and items, have no words and match nothing; repeated rows
     are each returned; an empty benchmark hits nothing. A benchmark above PASS_WORDS
-    words is scanned in passes whose results are merged per row.
+    words is scanned in passes, one after another, whose results are merged per row.
     """
-    small_batches(docs.sparkSession)
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    found = docs.select(*carry, text.alias("__text"))
-    passes = [_scanner(docs.sparkSession, items) for items in _passes(benchmark) or [[]]]
-    for i, scanner in enumerate(passes):
-        found = found.withColumn(f"__hit{i}", scanner("__text"))
-    hits = [F.col(f"__hit{i}") for i in range(len(passes))]
-    found = found.select(*carry, hits[0]["n_words"].alias("n_words"), *[F.flatten(F.array(*[h[c] for h in hits])).alias(c) for c in ("spans", "items")])
-    found = found.withColumn("spans", F.expr(UNION)).withColumn("items", F.array_sort(F.array_distinct("items")))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
-    digest = F.sha2(F.array_join("items", ","), 256)
-    return found.select("*", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256")).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+    found, r = _scanned(docs, benchmark, carry)
+    return found.select(*carry, *[F.col(r)[c].alias(c) for c in RESULT])
 
 
 def without_spans(text: str, spans) -> str:
@@ -138,15 +155,15 @@ def without_spans(text: str, spans) -> str:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents") -> DataFrame:
-    """docs, with its own columns, without contaminated documents (``documents``), or
+    """docs, with its own columns whatever their names, without contaminated documents (``documents``), or
     with the hit spans cut out of contaminated ones (``spans``); clean texts stay as they are."""
-    found = scan(docs, benchmark, tuple(docs.columns))
+    found, r = _scanned(docs, benchmark, tuple(docs.columns))
     if remove == "documents":
-        return found.where(~F.col("contaminated")).select(*docs.columns)
+        return found.where(~F.col(r)["contaminated"]).select(*docs.columns)
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([without_spans(t, [(s["start"], s["stop"]) for s in sp]) for t, sp in zip(text, spans)])
 
-    text = F.when(F.col("contaminated"), cut(F.coalesce("text", F.lit("")), F.col("spans"))).otherwise(F.col("text"))
+    text = F.when(F.col(r)["contaminated"], cut(F.coalesce("text", F.lit("")), F.col(r)["spans"])).otherwise(F.col("text"))
     return found.withColumn("text", text).select(*docs.columns)
