@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, trim
+from .common import free_name, small_batches, trim
 
 #: Bytes of a window, hidden units a direction, training windows a step and steps.
 WINDOW, HIDDEN, BATCH, STEPS, RATE = 64, 12, 192, 220, 0.012
@@ -142,20 +142,22 @@ def remainder(n: int):
 def fit(docs: DataFrame) -> BiGRU | None:
     """Train on docs(doc_id, text, lang) whose crc32(doc_id) mod 5 is not 0.
 
-    Bounded: of each language the FIT_DOCS documents with the lowest digests, and of
-    each FIT_SLICES slices of FIT_BYTES characters. Digest thresholds from the counts
-    by language leave about twice as many rows to pick from, at any size.
+    Bounded: of each language the FIT_DOCS different documents with the lowest digests of
+    doc_id and text, and of each FIT_SLICES slices of FIT_BYTES characters. Digest
+    thresholds from the number of different texts by language leave about twice as many
+    to pick from, at any size; repeated rows are one, so none of these can be many.
     """
     usable = docs.where((remainder(5) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in docs.where((remainder(5) != 0) & F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}  # a row a language
+    text = F.xxhash64("text")
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct(F.struct("doc_id", text), 0.03).alias("n")).orderBy("lang").collect()}  # a row a language
     if not counts:
         return None
-    digest = F.conv(F.substring(F.md5(F.concat(F.lit("fit:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 2**32
-    odds = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, (2 * FIT_DOCS + 50) / n)))])
+    digest = F.conv(F.substring(F.md5(F.concat(F.lit("fit:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text.cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
+    odds = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, (2 * FIT_DOCS + 50) / max(n, 1))))])
     length = F.length("text")
     slices = F.array(*[F.substring("text", (1 + F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.lit(1), length - FIT_BYTES))).cast("int"), F.lit(FIT_BYTES)) for i in range(FIT_SLICES)])
-    picked = usable.select("lang", "doc_id", "text", digest.alias("u")).where(F.col("u") < F.element_at(odds, F.col("lang"))).select("lang", "u", "doc_id", slices.alias("slices"))
-    rows = sorted(picked.collect(), key=lambda r: (r["lang"], r["u"], r["slices"]))  # about 2 * FIT_DOCS a language
+    picked = usable.select("lang", "doc_id", "text", digest.alias("u")).where(F.col("u") < F.element_at(odds, F.col("lang"))).select("lang", "u", slices.alias("slices"))
+    rows = sorted(picked.dropDuplicates(["lang", "u"]).collect(), key=lambda r: (r["lang"], r["u"]))  # about 2 * FIT_DOCS a language
     labels, seen, windows, marks = sorted({r["lang"] for r in rows}), {}, [], []
     if not labels:
         return None
@@ -171,8 +173,9 @@ def fit(docs: DataFrame) -> BiGRU | None:
     return BiGRU(labels).fit(np.frombuffer(b"".join(windows), np.uint8).reshape(-1, WINDOW), np.array(marks))
 
 
-def identify(docs: DataFrame, model: BiGRU | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns of docs(text, ...) with lang_pred, score and positions.
+def identify(docs: DataFrame, model: BiGRU | None, carry: tuple[str, ...] = ("doc_id",), keep=None) -> DataFrame:
+    """The ``carry`` columns of docs(text, ...) with lang_pred, score and positions; or, with
+    ``keep``, a condition on these three as a struct, only the ``carry`` columns where it holds.
 
     score: the label's mean probability over all byte positions; positions: how many
     each label (ascending) takes. A null text, or one without a letter, is ``und`` with
@@ -208,9 +211,19 @@ def identify(docs: DataFrame, model: BiGRU | None, carry: tuple[str, ...] = ("do
             yield pd.DataFrame(out, columns=["lang_pred", "score", "positions"])
         trim()
 
-    udf = _iterator_udf(run, "lang_pred string, score double, positions array<long>")
-    found = docs.select(*carry, F.col("text").cast("string").cast("binary").alias("__text")).withColumn("__r", udf("__text"))
-    return found.select(*carry, "__r.lang_pred", "__r.score", "__r.positions")
+    udf, text, r = _iterator_udf(run, "lang_pred string, score double, positions array<long>"), free_name(docs, "body"), free_name(docs)
+    found = docs.select(*carry, F.col("text").cast("string").cast("binary").alias(text)).withColumn(r, udf(text))
+    return found.select(*carry, f"{r}.lang_pred", f"{r}.score", f"{r}.positions") if keep is None else found.where(keep(F.col(r))).select(*carry)
+
+
+def known(docs: DataFrame, least: float) -> DataFrame:
+    """docs, with its own columns whatever their names, without the rows whose language the
+    network can't tell (no letter) or finds less likely than ``least``. Learns from docs
+    itself; without labelled rows nothing is likely or not, and only rows without a letter go."""
+    model = fit(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return identify(docs, model, tuple(docs.columns), lambda r: (r["lang_pred"] != "und") & (r["score"] >= least))
 
 
 def _iterator_udf(run, schema: str):
