@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -29,16 +30,27 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share: spark.checkpoint.dir. Where the session names none,
+    a folder of our own, if driver and executors are one process; else an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
         return shared
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="tessera-")
     return _OWN_DIRS[app]
 
 
+def free_name(df: DataFrame, name: str = "r") -> str:
+    """A column name that no column of df has, upper or lower case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stage(df: DataFrame, name: str, path: str | None = None, codec: str = "snappy", by: str | None = None) -> DataFrame:
     """Write a table to the shared folder (a folder a value of ``by``) and read it back: the
     plan is cut there, later scans prune columns, and a lost executor costs only its own tasks."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import free_name, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -52,7 +52,7 @@ def targets(sources: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """Every row of docs(doc_id, source, text): doc_id, size, source_size, target, taken,
-    times (how often the mix takes it), text_hash.
+    times (how often the mix takes it), text_hash, source.
 
     Null texts and texts without words have size 0 and are never taken; a null source is
     a source of its own; equal rows are served one by one; an empty table gives no rows.
@@ -92,15 +92,22 @@ def mix(docs: DataFrame) -> DataFrame:
     last = inside.groupBy("rank").agg(*[F.max(F.when(F.col("x.e") == i, F.col("done"))).alias(f"last{i}") for i in range(REPEATS)])
     out = queued.join(last, "rank", "left")
     times = sum((F.when((step(e) < at) | ((step(e) == at) & (F.col("done") <= F.col(f"last{i}"))), 1).otherwise(0) for i, e in enumerate(epochs)), F.lit(0))
-    return out.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * times).otherwise(F.lit(0)).cast("long").alias("taken"), F.when(F.col("size") > 0, times).otherwise(0).cast("int").alias("times"), "text_hash")
+    return out.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * times).otherwise(F.lit(0)).cast("long").alias("taken"), F.when(F.col("size") > 0, times).otherwise(0).cast("int").alias("times"), "text_hash", "source")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs, with its own columns, each row as often as the mix takes it. Only the
-    narrow decisions and docs itself, once by doc_id, are shuffled; rows with one doc_id
-    are told apart by their texts' hashes, wholly repeated ones by number."""
-    chosen = mix(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("text_hash", F.col("times")))).alias("__times")).withColumnRenamed("doc_id", "__id")
-    placed = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("__id"))).withColumn("__h", text_hash(F.col("text")))
-    n = F.row_number().over(Window.partitionBy("__id").orderBy("__h"))
-    repeated = placed.withColumn("__n", F.when(F.size("__times") > 1, n).otherwise(1)).withColumn("__k", F.element_at("__times", F.col("__n"))["times"])
-    return repeated.where("__k > 0").withColumn("__e", F.explode(F.sequence(F.lit(1), F.col("__k")))).select(*docs.columns)
+    """docs, with its own columns whatever their names, each row as often as the mix takes
+    it. Only the narrow decisions and docs itself, once by doc_id and text, are shuffled.
+    Rows with one doc_id, source and text share what the mix takes of them; only where that
+    doesn't divide are they numbered."""
+    h, times, copies, n = (free_name(docs, c) for c in ("h", "times", "copies", "n"))
+    chosen = mix(docs).groupBy("doc_id", "source", "text_hash").agg(F.sum("times").alias("all"), F.count("*").alias("rows"))
+    chosen = chosen.where("all > 0").select(F.struct("doc_id", "source", "text_hash").alias(h), F.col("all").alias(times), F.col("rows").alias(copies))
+    key = F.struct("doc_id", "source", text_hash(F.col("text")).alias("text_hash"))
+    same = F.col(f"{h}.doc_id").eqNullSafe(docs["doc_id"]) & F.col(f"{h}.source").eqNullSafe(docs["source"]) & (F.col(f"{h}.text_hash") == text_hash(docs["text"]))
+    placed = docs.join(chosen, same)
+    even = placed.where(F.col(times) % F.col(copies) == 0).withColumn(n, (F.col(times) / F.col(copies)).cast("int"))
+    odd = placed.where(F.col(times) % F.col(copies) != 0).withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))))
+    odd = odd.withColumn(n, (F.floor(F.col(times) / F.col(copies)) + F.when(F.col(n) <= F.col(times) % F.col(copies), 1).otherwise(0)).cast("int"))
+    both = even.unionByName(odd).where(F.col(n) > 0)
+    return both.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_staged, few, release, rolling, small_batches, stage, text_parts, trim, word_hashes
+from .common import components, drop_staged, few, free_name, release, rolling, small_batches, stage, text_parts, trim, word_hashes
 
 WORDS, LINK, OF = 5, 80, 100
 #: A link's symmetric difference is at most the sum of the sizes divided by this.
@@ -648,9 +648,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
     heads = found.groupBy("root").agg(F.min(order).alias("head"))
     marked = found.join(heads, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash")))
+    d, h = free_name(docs, "d"), free_name(docs, "h")
     text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    same = docs["doc_id"].eqNullSafe(F.col("__d")) & (text == F.col("__h"))
-    losers, again = (marked.where(x).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")) for x in (~F.col("stays"), F.col("stays") & (F.col("copies") > 1)))
+    same = docs["doc_id"].eqNullSafe(F.col(d)) & (text == F.col(h))
+    losers, again = (marked.where(x).select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)) for x in (~F.col("stays"), F.col("stays") & (F.col("copies") > 1)))
     kept = docs.join(losers, same, "left_anti")
     if again.isEmpty():
         return kept

@@ -299,7 +299,7 @@ def test_token_files(spark, corpus, awkward, tmp_path):
     got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokens.encode_corpus(docs, queries.tokenizer_path(), path).collect())
     assert got == want
     first = tok.encode(rows_of(corpus.where("doc_id = 0"))[0]["text"], add_special_tokens=False).ids
-    assert [tokens.token_at(spark, path, 0, 0, i) for i in (0, 7)] == [first[0], first[7]]
+    assert [tokens.token_at(spark, path, i) for i in (0, 7)] == [first[0], first[7]]
 
 
 def test_codes_round_trip():
