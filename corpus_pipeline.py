@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import decontam, langid, mixing, ngram_join, queries, tokens
 from tessera.llm.common import stage, table
@@ -14,23 +13,29 @@ MIN_SCORE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify(docs, langid.fit(docs), tuple(docs.columns))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    """Rows with a letter whose language the network, trained on the labelled rows, knows.
+    Null and empty texts go; without labelled rows only rows without a letter go."""
+    return langid.known(docs, MIN_SCORE)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of texts that link: that of the smallest doc_id, null last.
+    Rows without words stay, all of them."""
     return ngram_join.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the benchmark doesn't contaminate; null and empty texts stay."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it; rows without words are not taken."""
     return mixing.mixed(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all rows, read back: doc_id, start, n_tokens, ids_crc32 a row."""
     return tokens.encode_corpus(docs.select("doc_id", "text"), queries.tokenizer_path())
 
 
