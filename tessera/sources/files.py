@@ -1,18 +1,13 @@
-"""Markdown, JSON blocks, result tables, image files, material inventories, event logs."""
+"""Markdown, result tables, manifests, logs, image files, bundles."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
-#: File classes by extension.
-CLASSES = {"structured_table_xlsx": ("xlsx", "xlsm"), "structured_table_text": ("csv", "tsv"), "document_pdf": ("pdf",), "image": ("png", "jpg", "jpeg", "tif", "tiff", "gif", "webp"), "archive": ("zip", "tar", "gz", "7z", "rar"), "omics_object": ("rds", "h5", "h5ad", "loom", "mtx"), "legacy_table": ("xls",)}
-IMAGES = CLASSES["image"]
-BLOCK_KEYS = ("blocks", "para_blocks", "preproc_blocks", "images", "tables", "interline_equations", "discarded_blocks")
+from tessera.sources.materials import CLASSES
 
+IMAGES = CLASSES["image"]
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text) of whole Markdown files; doc_id is the path."""
@@ -37,62 +32,11 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False
     return spark.read.json(path, schema=schema, mode="FAILFAST" if strict else "DROPMALFORMED")
 
 
-@udtf(returnType="json_path string, page int, kind string, text string, block string")
-class WalkBlocks:
-    """Every block of any known block array in nested JSON, with the page of its nearest ancestor."""
-
-    def eval(self, source: str):
-        try:
-            root = json.loads(source) if source else None
-        except ValueError:
-            return
-        todo = [(root, "$", None)]
-        while todo:
-            node, path, page = todo.pop()
-            if isinstance(node, list):
-                todo += [(x, f"{path}[{i}]", page) for i, x in reversed(list(enumerate(node)))]
-            elif isinstance(node, dict):
-                index = node.get("page_idx")
-                page = index + 1 if isinstance(index, int) and not isinstance(index, bool) else node.get("page", page)
-                parent = path.rsplit(".", 1)[-1].split("[")[0]
-                if parent in BLOCK_KEYS and path.endswith("]"):
-                    text = node.get("text") or node.get("content")
-                    yield path, page if isinstance(page, int) else None, node.get("type"), text if isinstance(text, str) else None, json.dumps(node, ensure_ascii=False)
-                todo += [(v, f"{path}.{k}", page) for k, v in reversed(list(node.items()))]
-
-
-def walk_blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, json_path, page, kind, text, block) over documents(doc_id, text) of JSON."""
-    spark = docs.sparkSession
-    spark.udtf.register("walk_blocks", WalkBlocks)
-    return spark.sql("select d.doc_id, b.* from {docs} d, lateral walk_blocks(d.text) b", docs=docs)
-
-
-def inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """path, extension, size, class and directory of every file; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("size_bytes"))
-    return classified(files)
-
-
-def classified(files: DataFrame) -> DataFrame:
-    extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    kind = F.coalesce(*[F.when(extension.isin(*e), k) for k, e in CLASSES.items()], F.when(F.lower("path").rlike("readme|supplement"), "supporting_text"), F.lit("other"))
-    return files.select("*", extension.alias("extension"), kind.alias("material_type"), F.regexp_replace("path", "/[^/]*$", "").alias("directory"))
-
-
-def candidate_roots(files: DataFrame) -> DataFrame:
-    """Directories with tables, executable ones first: files, a name's hint score, confidence."""
-    hint = F.when(F.lower("directory").rlike("source[ _-]?data"), 2).otherwise(0) + F.when(F.lower("directory").rlike("data|table|supp"), 1).otherwise(0)
-    table = F.col("material_type").isin("structured_table_xlsx", "structured_table_text", "legacy_table")
-    agg = files.groupBy("directory").agg(F.count_if(F.col("material_type") == "structured_table_xlsx").alias("n_xlsx"), F.count_if(table).alias("n_tables"), F.max(hint).alias("hint"))
-    out = agg.where("n_tables > 0").select("*", (F.col("n_xlsx") > 0).alias("executable"), F.when(F.col("hint") >= 2, "high").when(F.col("hint") == 1, "medium").otherwise("low").alias("confidence"))
-    return out.orderBy(F.desc("executable"), F.desc("hint"), F.desc("n_tables"), "directory")
-
-
 def images(spark: SparkSession, folder: str) -> DataFrame:
-    """path, size, sha256 of image files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*IMAGES)).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    """path, size, sha256 and content of image files; files of other kinds are not opened."""
+    ends = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in IMAGES)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{ends}}}").load(folder)
+    return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), "content")
 
 
 def write_bundle(path: str, **frames: DataFrame) -> None:
