@@ -29,19 +29,62 @@ def exact_duplicates(items: DataFrame, key: str, content: str) -> DataFrame:
     return items.where(F.col(content).isNotNull()).groupBy(digest.alias("sha256")).agg(F.count("*").alias("n_items"), F.min(key).alias("first_item")).where("n_items > 1")
 
 
+#: Hashes that are sent to every task, 16 bytes each; beyond, bands are joined.
+HELD = 200_000
+
+
 def near_hashes(items: DataFrame, key: str, bits: str, p: ImageParams = ImageParams(), size: int = 64) -> DataFrame:
-    """Pairs of 64-bit hashes at Hamming distance at most p.max_distance. Cut into one
-    band more than the distance, such hashes agree on a band: an equi-join by band finds
-    all candidates, and each pair is kept at its first common band."""
-    n = p.max_distance + 1
-    edges = [size * i // n for i in range(n + 1)]
-    band = [F.shiftrightunsigned(F.col(bits), a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
-    spread = items.select(F.col(key).alias("k"), F.col(bits).alias("h"), F.array(*band).alias("bands"))
-    spread = spread.select("k", "h", "bands", F.posexplode("bands").alias("band", "v"))
-    left, right = (spread.select("band", "v", F.col("k").alias(f"item_{i}"), F.col("h").alias(f"h{i}"), F.col("bands").alias(f"b{i}")) for i in (1, 2))
+    """Pairs of hashes of ``size`` bits at Hamming distance at most p.max_distance.
+
+    Up to HELD hashes are sent to all tasks, which compare their own with them in blocks and
+    return near pairs only. More are cut into four bands: near hashes differ in a quarter of
+    the distance at most in one band, so each hash looks up the values so near to its own,
+    an equi-join; a pair is kept at its first such band."""
+    rows = items.select(F.col(key).alias("k"), F.col(bits).alias("h")).where("h is not null")
+    return _compared(rows, p.max_distance) if rows.count() <= HELD else _banded(rows, p.max_distance, size)
+
+
+def _compared(rows: DataFrame, most: int) -> DataFrame:
+    import numpy as np
+
+    known = rows.toArrow()
+    kind = rows.schema["k"].dataType.simpleString()
+    held = rows.sparkSession.sparkContext.broadcast((known.column("k").to_pylist(), known.column("h").to_numpy()))
+
+    def run(batches):
+        import pyarrow as pa
+
+        keys, hashes = held.value
+        for batch in batches:
+            for k, h in zip(batch.column("k").to_pylist(), batch.column("h").to_numpy()):
+                distance = np.bitwise_count((hashes ^ h).view(np.uint64))
+                near = [(k, keys[i], int(distance[i])) for i in np.flatnonzero(distance <= most) if k < keys[i]]
+                if near:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*near), (batch.schema.field("k").type, batch.schema.field("k").type, pa.int32()))], names=["item_1", "item_2", "distance"])
+
+    return rows.mapInArrow(run, f"item_1 {kind}, item_2 {kind}, distance int")
+
+
+def _banded(rows: DataFrame, most: int, size: int) -> DataFrame:
+    from itertools import combinations
+
+    bands, radius = 4, most // 4
+    edges = [size * i // bands for i in range(bands + 1)]
+    near = lambda w: [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(w), r)]
+    band = [F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
+    spread = rows.select("k", "h", F.array(*band).alias("bands")).select("k", "h", "bands", F.posexplode("bands").alias("band", "v"))
+    masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in near(b - a)]) for a, b in zip(edges, edges[1:])])
+    left = spread.select("band", F.explode(F.transform(F.element_at(masks, F.col("band") + 1), lambda m: m.bitwiseXOR(F.col("v")))).alias("v"), F.col("k").alias("item_1"), F.col("h").alias("h1"), F.col("bands").alias("b1"))
+    right = spread.select("band", "v", F.col("k").alias("item_2"), F.col("h").alias("h2"), F.col("bands").alias("b2"))
     pairs = left.join(right, ["band", "v"]).where("item_1 < item_2").withColumn("distance", F.bit_count(F.col("h1").bitwiseXOR(F.col("h2"))))
-    first = F.expr("size(filter(transform(slice(arrays_zip(b1, b2), 1, band), x -> x.b1 = x.b2), y -> y)) = 0")
-    return pairs.where((F.col("distance") <= p.max_distance) & first).select("item_1", "item_2", "distance")
+    first = F.expr(f"not exists(slice(arrays_zip(b1, b2), 1, band), x -> bit_count(x.b1 ^ x.b2) <= {radius})")
+    return pairs.where((F.col("distance") <= most) & first).select("item_1", "item_2", "distance")
+
+
+def first_candidates(pairs: DataFrame, most: int) -> DataFrame:
+    """The first pairs in the order of their items, with their rank."""
+    top = pairs.orderBy("item_1", "item_2").limit(most)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy("item_1", "item_2")))
 
 
 def numbered(findings: DataFrame, prefix: str, order: list, key: str = "finding_id") -> DataFrame:

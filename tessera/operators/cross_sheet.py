@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.columns import dense_columns
@@ -11,13 +11,23 @@ from tessera.params import CrossSheetParams
 
 def cross_sheet_duplicates(cells: DataFrame, by: list[str], p: CrossSheetParams = CrossSheetParams()) -> DataFrame:
     """Equal rows (to 1e-9) of column pairs on different sheets of a case, of their common
-    rows. ``by`` names the case: columns meet within it, by row number."""
+    rows. ``by`` names the case: columns meet within it, by row number. A sheet is its
+    workbook and its name, so equally named sheets of two workbooks meet, too."""
     dense = dense_columns(cells, p.min_overlap)
-    side = lambda i: dense.select(*by, "row", F.col("sheet").alias(f"sheet_{i}"), F.col("col").alias(f"col_{i}"), F.col("num").alias(f"v{i}"))
-    pairs = side(1).join(side(2), [*by, "row"]).where("sheet_1 < sheet_2")
-    agg = pairs.groupBy(*by, "sheet_1", "col_1", "sheet_2", "col_2").agg(F.count("*").alias("overlap_rows"), F.count_if(F.abs(F.col("v1") - F.col("v2")) < 1e-9).alias("equal_rows"))
+    side = lambda i: dense.select(*by, "row", F.col("workbook").alias(f"workbook_{i}"), F.col("sheet").alias(f"sheet_{i}"), F.col("col").alias(f"col_{i}"), F.col("num").alias(f"v{i}"))
+    pairs = side(1).join(side(2), [*by, "row"]).where("struct(workbook_1, sheet_1) < struct(workbook_2, sheet_2)")
+    agg = pairs.groupBy(*by, "workbook_1", "sheet_1", "col_1", "workbook_2", "sheet_2", "col_2").agg(F.count("*").alias("overlap_rows"), F.count_if(F.abs(F.col("v1") - F.col("v2")) < 1e-9).alias("equal_rows"))
     rate = F.col("equal_rows") / F.col("overlap_rows")
-    return agg.where(F.col("overlap_rows") >= p.min_overlap).withColumn("support_rate", F.round(rate, 4)).withColumn("flagged", rate >= p.min_support_rate)
+    out = agg.where(F.col("overlap_rows") >= p.min_overlap).withColumn("support_rate", F.round(rate, 4)).withColumn("flagged", rate >= p.min_support_rate)
+    return out.drop("workbook_1", "workbook_2") if "workbook" in by else out
+
+
+def cross_sheet_findings(pairs: DataFrame, p: CrossSheetParams = CrossSheetParams()) -> DataFrame:
+    """The first flagged pairs in the order of their columns, then by support, with ids."""
+    place = [c for c in ("workbook_1", "sheet_1", "col_1", "workbook_2", "sheet_2", "col_2") if c in pairs.columns]
+    top = pairs.where("flagged").orderBy(*place).limit(p.max_findings)
+    n = F.row_number().over(Window.orderBy(F.desc("support_rate"), *place))
+    return top.withColumn("finding_id", F.format_string("CSD-%04d", n)).withColumn("issue_category", F.lit("consistency"))
 
 
 def numeric_columns(cells: DataFrame, p: CrossSheetParams = CrossSheetParams()) -> DataFrame:

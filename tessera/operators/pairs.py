@@ -1,6 +1,6 @@
 """Reuse of values and ratios at a distance: by row offset and by pair id.
 
-Offsets are exploded on the left side, so the join is an equi-join on the target row.
+A group's rows are shuffled once; the rows within the largest offset are a window's frame.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ COLUMN = [*SHEET, "col"]
 
 
 def offset_pairs(rows: DataFrame, group: list[str], order: str, value: str, max_offset: int) -> DataFrame:
-    """(group, offset, order, left, right) of values that lie an offset apart."""
-    left = rows.select(*group, F.col(order), F.col(value).alias("left"), F.explode(F.sequence(F.lit(1), F.lit(max_offset))).alias("offset")).withColumn("target", F.col(order) + F.col("offset"))
-    right = rows.select(*group, F.col(order).alias("target"), F.col(value).alias("right"))
-    return left.join(right, [*group, "target"]).drop("target")
+    """(group, offset, order, left, right) of values that lie an offset apart. Rows are
+    shuffled once, by group; those that follow within the offset are a window's frame."""
+    ahead = Window.partitionBy(*group).orderBy(order).rangeBetween(1, max_offset)
+    near = rows.select(*group, F.col(order), F.col(value).alias("left"), F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).alias("right"))).over(ahead).alias("near"))
+    met = near.select(*group, order, "left", F.explode("near").alias("x"))
+    return met.select(*group, order, "left", (F.col("x.at") - F.col(order)).cast("int").alias("offset"), F.col("x.right").alias("right"))
 
 
 def row_offset_scalar(cells: DataFrame, p: PairParams = PairParams()) -> DataFrame:

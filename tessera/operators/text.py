@@ -60,29 +60,3 @@ def inverted_index(found: DataFrame) -> DataFrame:
     labels = found.where("label_key <> ''").select(F.lit("label").alias("index_name"), F.col("label_key").alias("key"), "doc_id", "line")
     pages = found.select(F.lit("line").alias("index_name"), F.col("line").cast("string").alias("key"), "doc_id", "line")
     return kinds.unionByName(labels).unionByName(pages).groupBy("index_name", "key").agg(F.count("*").alias("n_items"))
-
-
-#: Study types and how a text shows them.
-STUDY_TYPES = {"rct": r"(?iu)randomi[sz]ed|\brct\b", "cohort": r"(?iu)cohort", "case_control": r"(?iu)case[- ]control", "cross_sectional": r"(?iu)cross[- ]sectional",
-               "observational": r"(?iu)observational|cohort|case[- ]control", "systematic_review": r"(?iu)systematic review|meta-analysis", "diagnostic": r"(?iu)diagnostic accuracy", "experimental": r"(?iu)experiment", "ecological": r"(?iu)ecological"}
-
-
-def match_rules(docs: DataFrame, rules: DataFrame, excerpt: int = 60) -> DataFrame:
-    """(doc_id, rule_id, triggered, excerpt) of rules(rule_id, study_types, literals,
-    patterns, negatives) on documents: a gate on study types (any), keywords (any, if
-    there are some), no negative. Null or empty texts trigger nothing. Rules are a small
-    fixed list: each becomes a column, so texts are neither copied nor joined."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    low = F.lower(text)
-    out = []
-    for r in rules.orderBy("rule_id").toLocalIterator():
-        gate = [text.rlike(STUDY_TYPES.get(t, f"(?iu){t}")) for t in r["study_types"] or []]
-        hits = [low.contains(k.lower()) for k in r["literals"] or []] + [text.rlike(f"(?iu){k}") for k in r["patterns"] or []]
-        bad = [low.contains(k.lower()) for k in r["negatives"] or []]
-        some = lambda cs, default: __import__("functools").reduce(lambda a, b: a | b, cs) if cs else F.lit(default)
-        at = F.coalesce(*[F.nullif(F.locate(k.lower(), low), F.lit(0)) for k in r["literals"] or []], *[F.nullif(F.regexp_instr(text, F.lit(f"(?iu){k}")), F.lit(0)) for k in r["patterns"] or []], F.lit(None).cast("int"))
-        said = F.regexp_replace(F.substring(text, F.greatest(F.lit(1), at - excerpt), F.lit(2 * excerpt)), r"\n", " ")
-        out.append(F.struct(F.lit(r["rule_id"]).alias("rule_id"), ((F.trim(text) != "") & some(gate, True) & some(hits, True) & ~some(bad, False)).alias("triggered"), said.alias("excerpt")))
-    if not out:
-        return docs.select("doc_id", F.lit("").alias("rule_id"), F.lit(False).alias("triggered"), F.lit("").alias("excerpt")).limit(0)
-    return docs.select("doc_id", F.explode(F.array(*out)).alias("r")).select("doc_id", "r.rule_id", "r.triggered", "r.excerpt")
