@@ -245,6 +245,24 @@ def cross_sheet_duplicates(spark, sf_dir):
     return cross_sheet.cross_sheet_duplicates(line_cells(spark, sf_dir), ["workbook"])
 
 
+@query(BASE_CELLS + """, g as (select workbook // 5 as case_id, * from c qualify count(num) over (partition by workbook, sheet, col) >= 10), p as (select x.case_id, x.workbook as workbook_1, x.sheet as sheet_1, x.col as col_1, y.workbook as workbook_2, y.sheet as sheet_2, y.col as col_2, count(*) as overlap_rows, count_if(abs(x.num - y.num) < 1e-9)::bigint as equal_rows
+ from g x join g y on x.case_id = y.case_id and x.row = y.row and (x.workbook, x.sheet) < (y.workbook, y.sheet) group by all having count(*) >= 10)
+select *, round(equal_rows / overlap_rows, 4) as support_rate, equal_rows / overlap_rows >= 0.8 as flagged from p""")
+def cross_workbook_duplicates(spark, sf_dir):
+    """Five workbooks are a case, in which equally named sheets meet, too."""
+    cells = line_cells(spark, sf_dir).withColumn("case_id", F.floor(F.col("workbook") / 5))
+    return cross_sheet.cross_sheet_duplicates(cells, ["case_id"])
+
+
+@query(BASE_CELLS + f""", d as (select * from c where col <> 2),
+inf as (select workbook, sheet, col from d group by all having not (count(*) >= 4 and (count(distinct num) <= 3 or (count(*) >= 20 and count(distinct num) / count(*) <= 0.1)))),
+told as (select distinct workbook, sheet, row from d join inf using (workbook, sheet, col)),
+v as (select workbook, sheet, row, string_agg(col || '=' || {KEY}, '|' order by col) as vector, count(*)::int as width from d semi join told using (workbook, sheet, row) group by all having count(*) >= 2)
+select workbook, sheet, vector, count(*) as duplicate_row_count, any_value(width) as width, array_to_string(list(row order by row)[1:30], ',') as "rows", case when count(*) < 4 then 'medium' else 'high' end as risk_level from v group by all having count(*) > 1""")
+def duplicate_row_findings(spark, sf_dir):
+    return columns.duplicate_row_findings(line_cells(spark, sf_dir).where("col <> 2"), PAIRS)
+
+
 @query(NUMS + r" select *, nullif(regexp_extract(raw, '(\d)[^\d]*$', 1), '') as terminal, nullif(regexp_extract(lower(raw), '\.([^e%]*)', 1), '') as fraction from nums")
 def text_numbers(spark, sf_dir):
     return text.numbers(_docs(spark, sf_dir)).drop("value")
@@ -253,8 +271,8 @@ def text_numbers(spark, sf_dir):
 @query(NUMS + """, n as (select raw, count(*) as n from nums group by all having count(*) >= 3)
 select * from (select *, row_number() over (order by n desc, raw)::int as rank from n) where rank <= 50""")
 def text_duplicate_numbers(spark, sf_dir):
-    n = text.numbers(_docs(spark, sf_dir)).withColumn("__all", F.lit(1))
-    return profile.top_repeats(n, ["__all"], "raw", 3, 50).drop("__all")
+    n = text.numbers(_docs(spark, sf_dir)).groupBy("raw").agg(F.count("*").alias("n")).where("n >= 3")
+    return n.orderBy(F.desc("n"), "raw").limit(50).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "raw")))
 
 
 @query(NUMS + r", t as (select nullif(regexp_extract(raw, '(\d)[^\d]*$', 1), '') as digit from nums) select digit, count(*) as n from t where digit is not null group by all")
@@ -289,33 +307,13 @@ def line_classes(spark, sf_dir):
     return text.classified(_docs(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query(LINES + " select line::varchar as key, count(*) as n_items from ln group by all")
+@query(LINES + r""", k as (select *, case when trim(text) = '' then 'blank' when regexp_matches(text, '!\[[^\]]*\]\([^)]+\)') then 'image' when contains(text, '|') then 'table'
+ when regexp_matches(trim(text), '^(?i:fig(ure)?\.?|table)\s*[sS]?\d+') or regexp_matches(trim(text), '^[图表]\s*\d+') then 'caption' when starts_with(trim(text), '#') then 'heading' else 'text' end as kind,
+ coalesce(nullif(regexp_extract(text, '(?i)\b((?:extended data |supplementary )?(?:fig(?:ure)?s?\.?|tables?)\s*s?\d+[a-z]?)', 1), ''), nullif(regexp_extract(text, '([图表]\s*\d+)', 1), '')) as label from ln),
+i as (select 'type' as index_name, kind as key from k union all select 'label', regexp_replace(lower(label), '[^a-z0-9一-龥]+', '', 'g') from k where label is not null union all select 'line', line::varchar from k)
+select index_name, key, count(*) as n_items from i where key <> '' group by all""")
 def inverted_line_index(spark, sf_dir):
-    return text.inverted_index(text.classified(_docs(spark, sf_dir))).where("index_name = 'line'").select("key", "n_items")
-
-
-RULES = [
-    ("demo.contact", [], ["@"], [], []), ("demo.license", [], ["license", "copyright"], [], ["warranty"]), ("demo.table", [], ["|"], [], []),
-    ("demo.trial_without_protocol", ["rct"], [], [], ["protocol"]), ("demo.number_heavy", [], [], [r"\d{4,}"], []), ("demo.no_period", [], [], [], ["."]),
-]
-RULE_SQL = {
-    "demo.contact": "contains(t, '@')", "demo.license": "(contains(t, 'license') or contains(t, 'copyright')) and not contains(t, 'warranty')", "demo.table": "contains(t, '|')",
-    "demo.trial_without_protocol": r"regexp_matches(t, 'randomi[sz]ed|\brct\b') and not contains(t, 'protocol')", "demo.number_heavy": r"regexp_matches(t, '\d{4,}')", "demo.no_period": "not contains(t, '.')",
-}
-
-
-def _rules(spark):
-    return spark.createDataFrame(RULES, "rule_id string, study_types array<string>, literals array<string>, patterns array<string>, negatives array<string>")
-
-
-@query("with d as (select lower(coalesce(text, '')) as t from documents), r as (" + " union all ".join(f"select '{k}' as rule_id, count_if(trim(t) <> '' and {v})::bigint as n_triggered, count(*) as n_documents from d" for k, v in RULE_SQL.items()) + ") select * from r")
-def rule_summary(spark, sf_dir):
-    return text.match_rules(_docs(spark, sf_dir), _rules(spark)).groupBy("rule_id").agg(F.count_if("triggered").alias("n_triggered"), F.count("*").alias("n_documents"))
-
-
-@query(None)
-def rule_matches(spark, sf_dir):
-    return text.match_rules(_docs(spark, sf_dir), _rules(spark)).where("triggered")
+    return text.inverted_index(text.classified(_docs(spark, sf_dir)))
 
 
 @query("select sha256(text) as sha256, count(*) as n_items, min(doc_id) as first_item from documents where text is not null group by 1 having count(*) > 1")
@@ -323,13 +321,13 @@ def exact_duplicates(spark, sf_dir):
     return claims.exact_duplicates(_docs(spark, sf_dir), "doc_id", "text")
 
 
-BITS = " + ".join(f"(case when embedding[{i + 1}] > embedding[{i}] then {1 << (i - 1)}::bigint else 0 end)" for i in range(1, 61))
+BITS = " + ".join(f"(case when embedding[{i + 1}] > embedding[{i}] then {1 << (i - 1)}::bigint else 0 end)" for i in range(1, 63))
 
 
 @query(f"with h as (select vec_id as k, {BITS} as h from embeddings) select a.k as item_1, b.k as item_2, bit_count(xor(a.h, b.h))::int as distance from h a join h b on a.k < b.k where bit_count(xor(a.h, b.h)) <= 14")
 def near_duplicates(spark, sf_dir):
     e = _read(spark, sf_dir, "embeddings")
-    bits = F.expr("aggregate(sequence(1, 60), 0L, (s, i) -> s + if(embedding[i] > embedding[i - 1], shiftleft(1L, i - 1), 0L))")
+    bits = F.expr("aggregate(sequence(1, 62), 0L, (s, i) -> s + if(embedding[i] > embedding[i - 1], shiftleft(1L, i - 1), 0L))")
     return claims.near_hashes(e.select("vec_id", bits.alias("bits")), "vec_id", "bits", ImageParams(max_distance=14))
 
 
@@ -375,6 +373,13 @@ def top_findings(spark, sf_dir):
     return top.select("workbook", "sheet", "left_col", "right_col", "category", "support_rows", "risk_level", "finding_id", F.substring("finding_id", 4, 9).cast("bigint").alias("rank"))
 
 
-@query(None)
+@query(FINDINGS + " select case when max(rk) >= 4 then 'fail' when count(*) > 0 then 'review' else 'pass' end as verdict, count(*) as n from k")
 def report_verdict(spark, sf_dir):
     return claims.verdict(_findings(spark, sf_dir))
+
+
+# Planted cases: submissions, papers and reports, which the tables don't hold.
+from tessera.plans import cases  # noqa: E402
+
+QUERIES.update(cases.QUERIES)
+ORACLE_SQL.update(cases.ORACLE_SQL)

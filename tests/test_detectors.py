@@ -1,15 +1,17 @@
 """Fixtures of the detectors: planted relations, offsets, claims, sources."""
 
 import json
+import struct
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import digits
-from tessera.operators import claims, columns, cross_sheet, pairs, profile, text
+from tessera.operators import claims, columns, cross_sheet, pairs, profile, rules, text
 from tessera.params import ColumnParams, CrossSheetParams, ImageParams, PairParams
-from tessera.sources import files, xlsx
+from tessera.plans import registry
+from tessera.sources import files, materials, sinks, xlsx
 
 
 def cells(spark, rows):
@@ -122,11 +124,17 @@ def test_lines_labels_blocks(spark):
     assert text.blocks(docs).count() == 3
 
 
-def test_rules(spark):
-    docs = spark.createDataFrame([(1, "A randomized trial."), (2, "A randomised trial with CONSORT."), (3, None)], "doc_id long, text string")
-    rules = spark.createDataFrame([("r", ["rct"], [], [], ["consort"]), ("k", [], ["trial"], [], [])], "rule_id string, study_types array<string>, literals array<string>, patterns array<string>, negatives array<string>")
-    got = {(r["doc_id"], r["rule_id"]): r["triggered"] for r in text.match_rules(docs, rules).collect()}
-    assert got == {(1, "r"): True, (2, "r"): False, (3, "r"): False, (1, "k"): True, (2, "k"): True, (3, "k"): False}
+def test_rules(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("type: t\nrules:\n- {id: r, detection: {triggers: {study_types: [rct]}, negative_triggers: [consort]}, evidence_template: 'E {excerpt}'}\n- {id: k, severity: red, detection: {triggers: {keywords: [a trial, {pattern: 'rand\\w+', type: regex}]}}, evidence_template: 'E {excerpt}'}\n")
+    (tmp_path / "b.yaml").write_text("rules: [")
+    own = rules.load_rules(tmp_path)
+    assert [(r.rule_id, r.severity, r.rule_type) for r in own] == [("r", "yellow", "t"), ("k", "red", "t")]
+    docs = spark.createDataFrame([(1, "A randomized trial."), (2, "A randomised trial with CONSORT."), (3, None), (4, "x" * 100 + " a trial\n" + "y" * 100)], "doc_id long, text string")
+    got = {(r["doc_id"], r["rule_id"]): r for r in rules.match_rules(docs, own).collect()}
+    assert set(got) == {(1, "r"), (1, "k"), (2, "k"), (4, "k")}
+    assert got[1, "r"]["evidence"] == "E N/A" and got[1, "k"]["excerpts"] == ["A randomized trial."]
+    assert got[4, "k"]["excerpts"] == ["x" * 59 + " a trial " + "y" * 59]
+    assert len(rules.load_rules()) >= 40
 
 
 def test_claims(spark):
@@ -144,6 +152,7 @@ def test_near_hashes_against_all_pairs(spark):
     items = list(enumerate(base + [b ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for b in base]))
     df = spark.createDataFrame(items, "k long, h long")
     got = {(r["item_1"], r["item_2"]): r["distance"] for r in claims.near_hashes(df, "k", "h", ImageParams(max_distance=4)).collect()}
+    assert got == {(r["item_1"], r["item_2"]): r["distance"] for r in claims._banded(df.toDF("k", "h"), 4, 64).collect()}
     want = {(i, j): d for i, a in items for j, b in items if i < j and (d := (a ^ b).bit_count()) <= 4}
     assert got == want
 
@@ -185,14 +194,86 @@ def test_sources(spark, tmp_path):
     assert files.manifest(spark, str(tmp_path / "m.json")).first()["metric"] == "m"
     (tmp_path / "e.jsonl").write_text('{"event": "audit_start"}\nnot json\n{"event": "audit_end"}\n')
     assert files.json_lines(spark, str(tmp_path / "e.jsonl"), "event string").where("event is not null").count() == 2
-    blocks = {"pdf_info": [{"page_idx": 0, "para_blocks": [{"type": "text", "text": "hi", "blocks": [{"type": "x"}]}]}]}
-    docs = spark.createDataFrame([("a", json.dumps(blocks)), ("b", "broken"), ("c", None)], "doc_id string, text string")
-    assert sorted((r["kind"], r["page"]) for r in files.walk_blocks(docs).collect()) == [("text", 1), ("x", 1)]
     (tmp_path / "Source Data").mkdir()
     (tmp_path / "Source Data" / "f.xlsx").write_bytes(b"x")
-    inv = files.inventory(spark, str(tmp_path))
-    assert {r["extension"]: r["material_type"] for r in inv.collect()}["xlsx"] == "structured_table_xlsx"
-    assert files.candidate_roots(inv).first()["executable"]
+    (tmp_path / "a.PNG").write_bytes(b"y")
+    inv = materials.inventory(materials.listed(spark, str(tmp_path)))
+    found = {r["relative_path"]: r["material_type"] for r in inv.collect()}
+    assert found["Source Data/f.xlsx"] == "structured_table_xlsx" and found["a.PNG"] == "image" and found["m.json"] == "other"
+    assert materials.lane(materials.candidate_roots(inv)).first()["root"] == "Source Data"
+    assert materials.lane(materials.candidate_roots(inv.limit(0))).first()["status"] == "missing_material"
+    (image,) = files.images(spark, str(tmp_path)).collect()
+    assert image["size_bytes"] == 1
+    with pytest.raises(FileNotFoundError):
+        materials.first_pdf(materials.listed(spark, str(tmp_path)))
+    assert materials.contained("a/../b", "/x") and not materials.contained("../y", "/x")
+    assert materials.best_markdown(spark.createDataFrame([("z.md",), ("b/full.md",)], "relative_path string")) == "b/full.md"
+    (tmp_path / "cases" / "c1").mkdir(parents=True)
+    (tmp_path / "cases" / "c1" / "case.json").write_text('{"case_id": "c1",\n "status": "done"}')
+    assert [(r["case_id"], r["folder"]) for r in materials.cases(spark, str(tmp_path / "cases")).collect()] == [("c1", "c1")]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("a|b", 1), ("<c>", None)], "name string, n int")
+    body = sinks.write_document(str(tmp_path / "d.json"), {"case": "x"}, rows=df)
+    assert json.loads((tmp_path / "d.json").read_text()) == body and len(body["rows"]) == 2
+    assert "a\\|b" in sinks.write_markdown(str(tmp_path / "r.md"), "T", some_rows=df) and "&lt;c&gt;" in sinks.write_html(str(tmp_path / "r.html"), "T", rows=df)
+    sinks.write_run_manifest(df, str(tmp_path / "run.json"), {"run": 1}, ["b", "a"])
+    assert json.loads((tmp_path / "run.json").read_text())["outputs"] == ["a", "b"]
+    for _ in range(2):
+        sinks.append_log(df, str(tmp_path / "log"))
+    assert files.json_lines(spark, str(tmp_path / "log"), "name string").count() == 4
+    grid = cells(spark, [(r, c, r * c) for r in range(1, 20) for c in range(1, 9)])
+    shown = sinks.window_around(grid, spark.createDataFrame([("F", "w", "s", 10, 4)], "finding_id string, workbook string, sheet string, row int, col int"))
+    assert shown.count() == 35 and shown.where("marked").count() == 1
+    (tmp_path / "work").mkdir()
+    assert sinks.remove_workdir(str(tmp_path / "work"), str(tmp_path)) and not sinks.remove_workdir(str(tmp_path), str(tmp_path))
+
+
+def test_registry(spark, tmp_path):
+    good = {"tool_id": "source_data.findings", "params": {"max_findings_per_category": 30, "odd": 1}, "hypothesis": "h", "depends_on_artifacts": ["a"], "expected_evidence_type": "numeric_pattern"}
+    assert registry.validated(good)["params"] == {"min_overlap": 12, "min_support": 0.98, "cap": 30}
+    for bad in ({**good, "tool_id": "agent.review"}, {**good, "params": {"min_overlap": 1}}, {**good, "hypothesis": ""}):
+        with pytest.raises(ValueError):
+            registry.validated(bad)
+    records, why = registry.investigate([[good, good], [{**good, "params": {}, "depends_on_artifacts": ["b"]}], [{**good, "params": {"min_overlap": 20}}]], {"a"}, lambda a: ["b"])
+    assert [r["status"] for r in records] == ["accepted", "duplicate", "accepted"] and why == "no_new_artifacts"
+    assert registry.selected({"selected_steps": ["image_similarity", "x"]}) == ["image.similarity_candidates"] and len(registry.selected(None)) == 19
+    built = []
+    build = lambda: built.append(1) or spark.range(3)
+    assert [registry.step(spark, str(tmp_path / "t"), build, force)[1] for force in (False, False, True)] == ["ran", "reused", "ran"] and len(built) == 2
+    (tmp_path / "judge.json").write_text("{}")
+    assert {r["role_id"]: r["status"] for r in registry.roles(spark, str(tmp_path), ["judge", "other"]).collect()} == {"judge": "ok", "other": "not_run"}
+
+
+def test_difference_hash():
+    from tessera.functions.images import difference_hash, pixels
+    from tessera.plans.cases import RAMP, _png
+
+    assert difference_hash(bytes(_png(RAMP))) == -1 and difference_hash(bytes(_png([r[::-1] for r in RAMP]))) == 0
+    assert difference_hash(None) is None and difference_hash(b"zz") is None
+    rgb = struct.pack("<2sIHHI", b"BM", 0, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 1, 2, 1, 24, 0, 0, 0, 0, 0, 0) + bytes([10, 20, 30, 0, 0, 0, 255, 0])
+    assert [round(float(v), 2) for v in pixels(rgb)[:, 0]] == [76.24, 21.85]
+
+
+def test_column_findings(spark):
+    rows = [(r, c, r * 1.5 if c < 3 else r) for r in range(1, 121) for c in (1, 2, 3, 4)]
+    labels = spark.createDataFrame([("w", "s", 1, "dose"), ("w", "s", 2, "weight")], "workbook string, sheet string, col int, label string")
+    found = {(r["left_col"], r["right_col"]): r for r in columns.column_findings(cells(spark, rows), labels, spark.createDataFrame([("w", "s", 4)], "workbook string, sheet string, col int")).collect()}
+    assert found[1, 2]["risk_level"] == "high" and found[1, 2]["confidence"] == "high" and found[1, 2]["artifact_likelihood"] == "unknown" and found[1, 2]["sample_rows"].count(",") == 19
+    assert found[3, 4]["risk_level"] == "low" and found[3, 4]["artifact_likelihood"] == "high" and {r["finding_id"] for r in found.values()} == {"DC-0001", "DC-0002"}
+    big = cells(spark, [(r, c, 1e30) for r in range(1, 21) for c in (1, 2, 3)])
+    assert columns.duplicate_columns(big).where("flagged").count() == 3 and columns.duplicate_rows(big, True).count() == 1 and columns.index_like(big).count() == 3
+    f = spark.createDataFrame([("w", "s", 2, 3, "B1+$A$2"), ("w", "s", 1, 3, "C4*A1")], "workbook string, sheet string, row int, col int, formula string")
+    assert columns.referenced_columns(f).first()["references"] == "C,A,B"
+
+
+def test_equal_sheet_names_of_two_workbooks_meet(spark):
+    rows = [(w, "c", "s", r, 1, float(r * r)) for w in ("a", "b") for r in range(1, 21)]
+    df = spark.createDataFrame(rows, "workbook string, case_id string, sheet string, row int, col int, num double")
+    found = cross_sheet.cross_sheet_duplicates(df, ["case_id"])
+    (r,) = cross_sheet.cross_sheet_findings(found).collect()
+    assert (r["workbook_1"], r["workbook_2"], r["equal_rows"], r["finding_id"]) == ("a", "b", 20, "CSD-0001")
 
 
 def test_event_stream(spark, tmp_path):
