@@ -252,8 +252,23 @@ def worker_encoder(tokenizer_json: str):
     return held.encode
 
 
+def planes(ids, width: int) -> bytes:
+    """Ids as ``width`` planes of bytes, lowest first: high bytes repeat and compress well."""
+    import numpy as np
+
+    return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T).tobytes()
+
+
+def from_planes(data: bytes, width: int):
+    import numpy as np
+
+    out = np.zeros((len(data) // width, 4), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.reshape(-1).view("<u4")
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
-    """(doc_id, n_tokens, width, ids, crc): ids little-endian in ``width`` bytes each."""
+    """(doc_id, n_tokens, width, ids, crc): ids in ``width`` planes of bytes."""
     small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file of fixed size
@@ -273,8 +288,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame
                 every = np.insert(every, stops, np.uint32(end_id)).astype("<u4")
                 for stop, count, i in zip(stops, counts, range(len(counts))):
                     ids = every[stop - count + i : stop + i + 1]
-                    small = ids.max() < 65536
-                    rows.append((len(ids), 2 if small else 4, (ids.astype("<u2") if small else ids).tobytes(), zlib.crc32(ids.tobytes())))
+                    width = 2 if ids.max() < 65536 else 4
+                    rows.append((len(ids), width, planes(ids, width), zlib.crc32(ids.tobytes())))
                 n, width, data, crc = zip(*rows)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(width, pa.int32()), pa.array(data, pa.binary()), pa.array(crc, pa.int64())], names=["doc_id", "n_tokens", "width", "ids", "crc"])
 
@@ -301,7 +316,7 @@ def write_files(tokens: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for doc_id, width, data, p in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "width", "ids", "part"))):
                 part = p
-                held.append(np.frombuffer(data, f"<u{width}"))
+                held.append(from_planes(data, width))
                 docs.append(doc_id)
                 total += len(held[-1])
                 if total >= FILE_IDS:
