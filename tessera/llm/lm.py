@@ -26,7 +26,9 @@ from .common import small_batches, stage, text_parts
 from .langid import remainder
 
 #: Classes, dimensions, noise words a batch, tokens a batch, learning rate, and the most words that are looked up in memory.
-K, DIM, NOISE, BATCH, RATE, HEAD = 512, 16, 64, 1024, 0.2, 150_000
+K, DIM, NOISE, BATCH, RATE, HEAD = 256, 16, 64, 4096, 0.2, 150_000
+#: Steps that a copy makes in a turn at least, if batches of LEAST tokens allow.
+STEPS, LEAST = 128, 128
 #: Noise entries a token inside its group, entries a packed row of a copy, and what a grouped entry's sums of squares start with.
 INNER_NOISE, CHUNK, START = 4, 1024, 1e-7
 #: Tokens that a copy trains on at least, and turns in which copies start from their common average.
@@ -249,7 +251,7 @@ class Vocabulary:
         band = F.floor(F.log2("c") * 8).cast("int")
         rows = counts.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).orderBy(F.desc("band")).collect()  # a few hundred
         self.n, self.v = sum(r["c"] for r in rows), sum(r["n"] for r in rows)
-        entries = max(K - 2, 2 * math.isqrt(self.n))
+        entries = max(2 * K - 2, math.isqrt(self.n) // 2)
         self.slots = 1 << (entries - 1).bit_length()
         low, own = self._lowest(rows, max(HEAD, entries)), self._lowest(rows, entries)
         head = counts.where(band >= low).toPandas() if rows else None
@@ -285,13 +287,14 @@ def fit(docs: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
     proportion to the corpus; with few tokens there is one copy and one turn."""
     copies = max(1, min(vocabulary.n // COPY_TOKENS, max(32, math.isqrt(vocabulary.n) // 140)))
     model, turns = LogBilinear(vocabulary.unigram, K - 1), TURNS if copies > 1 else 1
+    batch = max(LEAST, min(BATCH, vocabulary.n // (copies * turns * STEPS)))
     for turn in range(turns):
         own = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(turns)) == turn)
-        _averaged(own.coalesce(copies), vocabulary, model, RATE / (1 + turn))
+        _averaged(own.coalesce(copies), vocabulary, model, RATE / (1 + turn), batch)
     return model
 
 
-def _averaged(docs: DataFrame, vocabulary: Vocabulary, model: LogBilinear, rate: float) -> None:
+def _averaged(docs: DataFrame, vocabulary: Vocabulary, model: LogBilinear, rate: float, size: int) -> None:
     """Set the model to the average of copies of it, one trained on each partition."""
     held = docs.sparkSession.sparkContext.broadcast((vocabulary.named, vocabulary.slots, vocabulary.unigram, model.pack(), model.pack(model.OWN)))  # bounded by the square root of the tokens
     kinds = "chunk int, copy int, weights binary, model binary"
@@ -308,11 +311,11 @@ def _averaged(docs: DataFrame, vocabulary: Vocabulary, model: LogBilinear, rate:
             texts = [t.lower() for t in batch.column("text").to_pylist()]
             for part in text_parts(texts):
                 kept.append(_sequences(part, entries)[:3])
-                if sum(len(k[2]) for k in kept) >= 16 * BATCH:
-                    n += _train(model, kept, rng)
+                if sum(len(k[2]) for k in kept) >= 8 * size:
+                    n += _train(model, kept, rng, size)
                     kept = []
         if kept:
-            n += _train(model, kept, rng)
+            n += _train(model, kept, rng, size)
 
         def row(chunk, weights, flat):
             return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([flat.astype("<f4").tobytes()], pa.binary())], names=["chunk", "copy", "weights", "model"])
@@ -340,11 +343,11 @@ def _averaged(docs: DataFrame, vocabulary: Vocabulary, model: LogBilinear, rate:
     held.unpersist()
 
 
-def _train(model: LogBilinear, kept: list, rng) -> int:
+def _train(model: LogBilinear, kept: list, rng, size: int) -> int:
     a, b, w = (np.concatenate(x) for x in zip(*kept))
     order = rng.permutation(len(w))
-    for at in range(0, len(w), BATCH):
-        i = order[at : at + BATCH]
+    for at in range(0, len(w), size):
+        i = order[at : at + size]
         model.train(a[i], b[i], w[i], rng)
     return len(w)
 
@@ -380,8 +383,8 @@ def score(docs: DataFrame, mod: int = 10) -> DataFrame:
         logs = {w: (float(np.log10(c + 0.1)), w not in named and w != END) for w, c in head.items()}
         stop_log = float(np.log10(head.get(END, 0) + 0.1))
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch, out = whole.slice(at, 128), []
+            for at in range(0, whole.num_rows, 500):
+                batch, out = whole.slice(at, 500), []
                 texts = [t.lower() for t in batch.column("text").to_pylist()]
                 if not texts:
                     continue
