@@ -79,8 +79,8 @@ def test_any_token_of_many_files(spark, corpus, tmp_path, monkeypatch):
     monkeypatch.setattr(tokens, "FILE_IDS", 3000)
     path = str(tmp_path / "files")
     every = tokens.tokenize(corpus.select("doc_id", "text").limit(40), tokenizer_path()).orderBy("doc_id").collect()
-    ids = np.concatenate([tokens.from_planes(bytes(r["ids"]), r["width"]) for r in every])
-    tokens.encode_corpus(corpus.select("doc_id", "text").limit(40), tokenizer_path(), path)
+    ids = np.concatenate([np.frombuffer(r["ids"], f"<u{r['width']}") for r in every])
+    tokens.encode_corpus(corpus.select("doc_id", "text").limit(40), tokenizer_path(), path, "uncompressed")
     assert spark.read.parquet(path).count() > 1
     for i in (0, 2999, len(ids) // 2, len(ids) - 1):
         assert tokens.token_at(spark, path, i) == ids[i]
