@@ -26,11 +26,11 @@ from .common import small_batches, stage, text_parts
 from .langid import remainder
 
 #: Classes, dimensions, noise words a batch, tokens a batch, learning rate, and the most words that are looked up in memory.
-K, DIM, NOISE, BATCH, RATE, HEAD = 256, 16, 64, 4096, 0.2, 150_000
+K, DIM, NOISE, BATCH, RATE, HEAD = 64, 12, 32, 4096, 0.2, 150_000
 #: Steps that a copy makes in a turn at least, if batches of LEAST tokens allow.
 STEPS, LEAST = 128, 128
 #: Noise entries a token inside its group, entries a packed row of a copy, and what a grouped entry's sums of squares start with.
-INNER_NOISE, CHUNK, START = 4, 1024, 1e-7
+INNER_NOISE, CHUNK, START = 2, 1024, 1e-7
 #: Tokens that a copy trains on at least, and turns in which copies start from their common average.
 COPY_TOKENS, TURNS = 200_000, 3
 #: The end of a text as a word: white space, so that no word equals it; its entry.
@@ -251,7 +251,7 @@ class Vocabulary:
         band = F.floor(F.log2("c") * 8).cast("int")
         rows = counts.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).orderBy(F.desc("band")).collect()  # a few hundred
         self.n, self.v = sum(r["c"] for r in rows), sum(r["n"] for r in rows)
-        entries = max(2 * K - 2, math.isqrt(self.n) // 2)
+        entries = max(510, math.isqrt(self.n) // 2)
         self.slots = 1 << (entries - 1).bit_length()
         low, own = self._lowest(rows, max(HEAD, entries)), self._lowest(rows, entries)
         head = counts.where(band >= low).toPandas() if rows else None
