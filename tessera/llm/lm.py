@@ -26,7 +26,7 @@ from .common import small_batches, stage, text_parts
 from .langid import remainder
 
 #: Classes, dimensions, noise words a batch, tokens a batch, learning rate, and the most words that are looked up in memory.
-K, DIM, NOISE, BATCH, RATE, HEAD = 64, 12, 32, 4096, 0.2, 150_000
+K, DIM, NOISE, BATCH, RATE, HEAD = 64, 12, 32, 8192, 0.2, 150_000
 #: Steps that a copy makes in a turn at least, if batches of LEAST tokens allow.
 STEPS, LEAST = 128, 128
 #: Noise entries a token inside its group, entries a packed row of a copy, and what a grouped entry's sums of squares start with.
@@ -218,6 +218,20 @@ def _sequences(texts: list[bytes], entries: Entries):
     return a, b, w, ends
 
 
+def _joined(batches, rows: int = 2000, most: int = 8 << 20):
+    """Arrow batches joined to so many rows or bytes: contexts recur in larger batches."""
+    import pyarrow as pa
+
+    held: list = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over all tokens of docs(text), ends included; partly summed before the shuffle."""
 
@@ -251,7 +265,7 @@ class Vocabulary:
         band = F.floor(F.log2("c") * 8).cast("int")
         rows = counts.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).orderBy(F.desc("band")).collect()  # a few hundred
         self.n, self.v = sum(r["c"] for r in rows), sum(r["n"] for r in rows)
-        entries = max(510, math.isqrt(self.n) // 2)
+        entries = max(510, math.isqrt(self.n) // 4)
         self.slots = 1 << (entries - 1).bit_length()
         low, own = self._lowest(rows, max(HEAD, entries)), self._lowest(rows, entries)
         head = counts.where(band >= low).toPandas() if rows else None
@@ -382,9 +396,9 @@ def score(docs: DataFrame, mod: int = 10) -> DataFrame:
         m.unpack(own, m.OWN)
         logs = {w: (float(np.log10(c + 0.1)), w not in named and w != END) for w, c in head.items()}
         stop_log = float(np.log10(head.get(END, 0) + 0.1))
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch, out = whole.slice(at, 500), []
+        for whole in _joined(batches):
+            for at in range(0, whole.num_rows, 2000):
+                batch, out = whole.slice(at, 2000), []
                 texts = [t.lower() for t in batch.column("text").to_pylist()]
                 if not texts:
                     continue
