@@ -38,14 +38,20 @@ END, STOP = b"\n", 0
 
 
 class Entries(dict):
-    """Entry of a word: its own, or the slot that its CRC-32 gives. ``slots`` is a power of two."""
+    """Entry of a word: its own, or the slot that its CRC-32 gives. ``slots`` is a power of
+    two. The slots of KEPT words are remembered, a fixed amount of memory."""
+
+    KEPT = 200_000
 
     def __init__(self, named: dict, slots: int):
         super().__init__(named)
-        self.first, self.mask = len(named) + 1, slots - 1
+        self.first, self.mask, self.most = len(named) + 1, slots - 1, len(named) + self.KEPT
 
     def __missing__(self, word):
-        return self.first + (zlib.crc32(word) & self.mask)
+        slot = self.first + (zlib.crc32(word) & self.mask)
+        if len(self) < self.most:
+            self[word] = slot
+        return slot
 
 
 class LogBilinear:
