@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, text_parts
+from .common import small_batches, stage
 from .langid import remainder
 
 #: Classes, dimensions, noise words a batch, tokens a batch, learning rate, and the most words that are looked up in memory.
@@ -53,6 +53,10 @@ class Entries(dict):
             self[word] = slot
         return slot
 
+    def of(self, words):
+        """Entries of a list of words."""
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
 
 class LogBilinear:
     """Score of class w after (a, b): (first[a] + second[b]) . out[w] + bias[w], the sum in
@@ -121,8 +125,7 @@ class LogBilinear:
         r, c = self.context(a, b), self.classes(w)
         real = np.einsum("ij,ij->i", r, self.out[c]) + self.bias[c] - self.shift[c]
         fake = r @ self.out[noise].T + self.bias[noise] - self.shift[noise]
-        g = 0.5 * np.tanh(0.5 * real) - 0.5  # sigmoid - 1
-        h = 0.5 * np.tanh(0.5 * fake) + 0.5
+        g, h = _sigmoid(real) - 1, _sigmoid(fake)
         dr = g[:, None] * self.out[c] + h @ self.out[noise]
         grouped = np.flatnonzero(w >= self.alone)
         if len(grouped):
@@ -147,7 +150,7 @@ class LogBilinear:
         noise = np.clip(np.searchsorted(self.inner_cumulative, draws, "right") - 1, low[:, None], last[:, None])
         x = np.concatenate([w[:, None], noise], axis=1)
         v = self.inner[x]
-        s = 0.5 * np.tanh(0.5 * (np.einsum("ij,ikj->ik", r, v) + self.inner_bias[x] - self.inner_shift[x])) + 0.5
+        s = _sigmoid(np.einsum("ij,ikj->ik", r, v) + self.inner_bias[x] - self.inner_shift[x])
         s[:, 0] -= 1
         self.met += np.bincount(w, minlength=len(self.met)).astype(np.float32)
         dr = np.einsum("ik,ikj->ij", s, v)
@@ -159,7 +162,8 @@ class LogBilinear:
         """Adagrad on the tables' rows that occur."""
         if not len(index):
             return
-        order = np.argsort(index, kind="stable")
+        short = index.astype(np.uint16) if len(self.share) <= 1 << 16 else index  # sorted by radix
+        order = np.argsort(short, kind="stable")
         index = index[order]
         starts = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
         rows = index[starts]
@@ -170,34 +174,50 @@ class LogBilinear:
             sums[rows] = now
             table[rows] -= self.rate * grad / np.sqrt(now)
 
-    def log10(self, a, b, w, block: int = 256):
+    def log10(self, a, b, w, block: int = 512):
         """log10 of the entries' probabilities; a context's normaliser is computed once a call."""
         e = self.alone + len(self.share)
         pairs, at = np.unique(a.astype(np.int64) * e + b, return_inverse=True)
-        r, c = self.context(pairs // e, pairs % e), self.classes(w)
-        z = np.empty(len(pairs), np.float32)
+        r, c = _with(self.context(pairs // e, pairs % e), 1), self.classes(w)
+        out, z = _with(self.out, self.bias), np.empty(len(pairs), np.float32)
         for i in range(0, len(pairs), block):
-            s = r[i : i + block] @ self.out.T
-            s += self.bias
-            z[i : i + block] = _normaliser(s)
-        s = np.einsum("ij,ij->i", r[at], self.out[c]) + self.bias[c] - z[at]
+            z[i : i + block] = _normaliser(out @ r[i : i + block].T)
+        s = np.einsum("ij,ij->i", r[at], out[c]) - z[at]
         grouped = np.flatnonzero(c >= self.alone)
-        grouped = grouped[np.argsort(c[grouped], kind="stable")]
-        for part in np.split(grouped, np.flatnonzero(np.diff(c[grouped])) + 1) if len(grouped) else ():
-            low = (c[part[0]] - self.alone) * self.size
-            for i in range(0, len(part), block):
-                own = part[i : i + block]
-                t = r[at[own]] @ self.inner[low : low + self.size].T + self.inner_bias[low : low + self.size]
-                s[own] += t[np.arange(len(own)), w[own] - self.alone - low]
-                s[own] -= _normaliser(t)
+        grouped = grouped[np.argsort(c[grouped].astype(np.uint16) if len(self.out) <= 1 << 16 else c[grouped], kind="stable")]
+        inner, r, own, group = _with(self.inner, self.inner_bias), r[at[grouped]], w[grouped] - self.alone, c[grouped] - self.alone
+        inside = np.empty(len(grouped), np.float32)
+        edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1)) if len(group) else ()
+        for start, stop in zip(edges[:-1], edges[1:]):
+            low = group[start] * self.size
+            for i in range(start, stop, block):
+                part = slice(i, min(i + block, stop))
+                t = inner[low : low + self.size] @ r[part].T
+                inside[part] = t[own[part] - low, np.arange(t.shape[1])]
+                inside[part] -= _normaliser(t)
+        s[grouped] += inside
         return s.astype(np.float64) / np.log(10)
 
 
+def _with(rows, last):
+    """Rows with one more number, so that a product adds a bias."""
+    return np.concatenate([rows, np.broadcast_to(np.asarray(last, np.float32), len(rows))[:, None]], axis=1)
+
+
 def _normaliser(s):
-    """Logarithms of the sums of the rows' exponentials; overwrites its argument."""
-    top = s.max(axis=1)
-    s -= top[:, None]
-    return top + np.log(np.exp(s, out=s).sum(axis=1))
+    """Logarithms of the sums of the columns' exponentials; overwrites its argument."""
+    top = s.max(axis=0)
+    s -= top
+    return top + np.log(np.exp(s, out=s).sum(axis=0))
+
+
+def _sigmoid(x):
+    """Overwrites its argument."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 def _rows(index, values, k: int):
@@ -205,15 +225,28 @@ def _rows(index, values, k: int):
     return np.stack([np.bincount(index, v, k) for v in values.T], axis=1)
 
 
-def _sequences(texts: list[bytes], entries: Entries):
-    """Entries (a, b, w) of all tokens of lower-cased texts, and where each text ends."""
-    get, lines = entries.__getitem__, []
-    for t in texts:
-        words = t.split()
-        lines.append(np.fromiter(map(get, words), np.int32, len(words)))
+def _words(column):
+    """Of a binary Arrow column: its distinct words (an Arrow array, A-Z lower-cased), the
+    place there of each word in turn, and how many words each text has."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.binary()).view(pa.string())))
+    words = lists.flatten()
+    real = pc.not_equal(pc.binary_length(words), 0)  # white space at a text's ends leaves empty pieces
+    upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[lists.offsets.to_numpy()]
+    coded = words.filter(real).dictionary_encode()
+    return coded.dictionary.view(pa.binary()), coded.indices.to_numpy(), np.diff(upto)
+
+
+def _sequences(words, counts):
+    """Entries (a, b, w) of all tokens from the entries of all words and the words a text,
+    and where each text ends."""
+    ends = np.cumsum(counts + 1)
+    w, inside = np.full(ends[-1], STOP, np.int32), np.ones(ends[-1], bool)
+    inside[ends - 1] = False
+    w[inside] = words
     stop = np.full(1, STOP, np.int32)
-    w = np.concatenate([x for line in lines for x in (line, stop)])
-    ends = np.cumsum([len(line) + 1 for line in lines])
     b = np.concatenate([stop, w[:-1]])
     a = np.concatenate([stop, b[:-1]])
     start = ends[:-1]
@@ -327,13 +360,13 @@ def _averaged(docs: DataFrame, vocabulary: Vocabulary, model: LogBilinear, rate:
         entries, model, rng, kept, n = Entries(named, slots), LogBilinear(unigram, K - 1).unpack(flat), np.random.default_rng(3), [], 0
         model.unpack(own, model.OWN)
         model.rate = rate
-        for batch in batches:
-            texts = [t.lower() for t in batch.column("text").to_pylist()]
-            for part in text_parts(texts):
-                kept.append(_sequences(part, entries)[:3])
-                if sum(len(k[2]) for k in kept) >= 8 * size:
-                    n += _train(model, kept, rng, size)
-                    kept = []
+        for batch in _joined(batches):
+            if batch.num_rows:
+                words, at, counts = _words(batch.column("text"))
+                kept.append(_sequences(entries.of(words.to_pylist())[at], counts)[:3])
+            if sum(len(k[2]) for k in kept) >= 8 * size:
+                n += _train(model, kept, rng, size)
+                kept = []
         if kept:
             n += _train(model, kept, rng, size)
 
@@ -393,40 +426,34 @@ def score(docs: DataFrame, mod: int = 10) -> DataFrame:
     held = spark.sparkContext.broadcast((vocabulary.head, vocabulary.named, vocabulary.slots, vocabulary.unigram, vocabulary.shared, model.pack(), model.pack(model.OWN)))
 
     def run(batches):
-        from collections import Counter
-
         import pyarrow as pa
 
         head, named, slots, unigram, shared, flat, own = held.value
         entries, m = Entries(named, slots), LogBilinear(unigram, K - 1).unpack(flat)
         m.unpack(own, m.OWN)
-        logs = {w: (float(np.log10(c + 0.1)), w not in named and w != END) for w, c in head.items()}
         stop_log = float(np.log10(head.get(END, 0) + 0.1))
         for whole in _joined(batches):
-            for at in range(0, whole.num_rows, 2000):
-                batch, out = whole.slice(at, 2000), []
-                texts = [t.lower() for t in batch.column("text").to_pylist()]
-                if not texts:
-                    continue
-                a, b, w, ends = _sequences(texts, entries)
-                tokens = m.log10(a, b, w) - shared[w]
-                sums = np.add.reduceat(tokens, np.concatenate([[0], ends[:-1]]))
-                for i, text in enumerate(texts):
-                    base, other, known, n = stop_log, 0.0, int(END in head), 1
-                    tail = {}
-                    for word, times in Counter(text.split()).items():
-                        n += times
-                        found = logs.get(word)
-                        if found is None:
-                            tail[word] = times
-                            continue
-                        known += times
-                        base += times * found[0]
-                        if found[1]:
-                            other += times * found[0]
-                    out.append((n, known, base, float(sums[i]), other, list(tail), list(tail.values())))
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *map(pa.array, zip(*out), kinds)], names=["doc_id", "held_out", "n_tokens", "known", "base", "model", "other", "tail", "times"])
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                distinct, at, counts = _words(batch.column("text"))
+                words = distinct.to_pylist()
+                entry = entries.of(words)
+                a, b, w, ends = _sequences(entry[at], counts)
+                model = np.add.reduceat(m.log10(a, b, w) - shared[w], ends - counts - 1)
+                c = np.fromiter((head.get(word, -1) for word in words), np.int64, len(words))
+                row, found, log = np.repeat(np.arange(len(counts)), counts), c >= 0, np.log10(np.maximum(c, 0) + 0.1)
+
+                def total(values):
+                    return np.bincount(row, values[at], len(counts))
+
+                # Words without a count here: (row, word) once, with how often.
+                rare = np.flatnonzero(~found[at])
+                tail, times = np.unique(row[rare] * np.int64(len(words)) + at[rare], return_counts=True)
+                edges = pa.array(np.searchsorted(tail, np.arange(len(counts) + 1) * np.int64(len(words))), pa.int32())
+                tail = distinct.take(pa.array(tail % max(len(words), 1)))
+                columns = [counts + 1, total(found).astype(np.int64) + int(END in head), total(found * log) + stop_log, model, total(found * (entry >= entries.first) * log)]
+                lists = [pa.ListArray.from_arrays(edges, x) for x in (tail, pa.array(times, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *map(pa.array, columns), *lists], names=["doc_id", "held_out", "n_tokens", "known", "base", "model", "other", "tail", "times"])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     found = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, other double, tail array<binary>, times array<int>")
