@@ -231,12 +231,13 @@ def _words(column):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.binary()).view(pa.string())))
+    kind = pa.large_string() if pa.types.is_large_binary(column.type) else pa.string()
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column.view(kind)))
     words = lists.flatten()
     real = pc.not_equal(pc.binary_length(words), 0)  # white space at a text's ends leaves empty pieces
     upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[lists.offsets.to_numpy()]
     coded = words.filter(real).dictionary_encode()
-    return coded.dictionary.view(pa.binary()), coded.indices.to_numpy(), np.diff(upto)
+    return coded.dictionary.view(column.type), coded.indices.to_numpy(), np.diff(upto)
 
 
 def _sequences(words, counts):

@@ -234,6 +234,16 @@ def test_lm_base_score_and_normalisation(spark, corpus):
     assert math.isclose(sum(10 ** model.log10(a, a, np.arange(12))), 1, rel_tol=1e-5)
 
 
+def test_lm_words_are_those_between_ascii_white_space():
+    import pyarrow as pa
+
+    texts = [b"", b" a  B\x0b\x0cc\r\n", "\u00a0x \u0130 \x1c \x85".encode(), b"\xff\xfe A\tb", b"  ", b"b" * 100_000]
+    for column in (pa.array(texts, pa.binary()), pa.array([b"x", *texts], pa.large_binary()).slice(1)):
+        distinct, at, counts = lm._words(column)
+        assert [distinct[int(i)].as_py() for i in at] == [w for t in texts for w in t.lower().split()]
+        assert counts.tolist() == [len(t.split()) for t in texts]
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     base, score = lm.score(docs).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
