@@ -210,6 +210,7 @@ def _met(docs: DataFrame, classes, ranges: int) -> DataFrame:
 
     def meet(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc  # a worker need not have it from an earlier task
 
         blocks: dict[int, list] = {}
 
@@ -218,10 +219,10 @@ def _met(docs: DataFrame, classes, ranges: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()) if times is None else pa.array(times, pa.int32()), pa.nulls(n, pa.int64())], names=["kind", "a", "b", "doc_id", "n", "h"])
 
         for batch in batches:
-            here = batch.filter(pa.compute.less(batch.column("r"), 0))
+            here = batch.filter(pc.less(batch.column("r"), 0))
             if here.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array([DOCUMENT] * here.num_rows, pa.int32()), here.column("id"), pa.nulls(here.num_rows, pa.int64()), here.column("doc_id"), here.column("n"), here.column("h")], names=["kind", "a", "b", "doc_id", "n", "h"])
-            rest = batch.filter(pa.compute.greater_equal(batch.column("r"), 0))
+            rest = batch.filter(pc.greater_equal(batch.column("r"), 0))
             for r, *packs in zip(*(rest.column(c).to_pylist() for c in ("r", "keys", "ids", "steps"))):
                 blocks.setdefault(r, []).append(packs)
         for r in list(blocks):
@@ -237,8 +238,6 @@ def _met(docs: DataFrame, classes, ranges: int) -> DataFrame:
             yield table(STAR, *stars)
         trim()
 
-    import pyarrow.compute  # noqa: F401
-
     sent = docs.mapInArrow(emit, "r int, doc_id long, id long, n int, h long, keys binary, ids binary, steps binary")
     return stage(sent.repartition(ranges, "r").mapInArrow(meet, _FOUND), "ngram-met", by="kind")
 

@@ -1,7 +1,10 @@
 """Clashing columns, tables without labels, hot groups, stored maps, and the pipeline on awkward tables."""
 
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -110,3 +113,15 @@ def test_lm_hardly_depends_on_partitions(spark, corpus, monkeypatch):
         r = lm.score(docs.repartition(n)).where("held_out").agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
         got.append(r[0])
     assert abs(got[0] - got[1]) < 0.02 and min(got) > r[1]
+
+
+def test_ngram_join_in_workers_that_ran_nothing_before():
+    code = """
+from pyspark.sql import SparkSession
+from tessera.llm import ngram_join
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.python.worker.reuse", "false").getOrCreate()
+rows = [(2, "a b c d e f"), (1, "a b c d e  f"), (3, "other words"), (4, None)]
+print("found", sorted(map(tuple, ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect())))
+"""
+    run = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True)
+    assert "found [(1, 1), (2, 1), (3, 3), (4, 4)]" in run.stdout, run.stderr[-3000:]
