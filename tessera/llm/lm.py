@@ -37,25 +37,64 @@ COPY_TOKENS, TURNS = 200_000, 3
 END, STOP = b"\n", 0
 
 
-class Entries(dict):
-    """Entry of a word: its own, or the slot that its CRC-32 gives. ``slots`` is a power of
-    two. The slots of KEPT words are remembered, a fixed amount of memory."""
-
-    KEPT = 200_000
+class Entries:
+    """Entry of a word: its own, or the slot that its CRC-32 gives. ``named`` numbers words
+    from 1 in their order, ``slots`` is a power of two."""
 
     def __init__(self, named: dict, slots: int):
-        super().__init__(named)
-        self.first, self.mask, self.most = len(named) + 1, slots - 1, len(named) + self.KEPT
-
-    def __missing__(self, word):
-        slot = self.first + (zlib.crc32(word) & self.mask)
-        if len(self) < self.most:
-            self[word] = slot
-        return slot
+        self.named, self.first, self.mask = _array(named), len(named) + 1, slots - 1
 
     def of(self, words):
-        """Entries of a list of words."""
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        """Entries of an Arrow array of words."""
+        own = _places(words, self.named)
+        out, rest = (own + 1).astype(np.int32), np.flatnonzero(own < 0)
+        out[rest] = self.first + (_crc32(words)[rest] & np.uint32(self.mask)).astype(np.int32)
+        return out
+
+
+def _array(words):
+    """Words as an Arrow array."""
+    import pyarrow as pa
+
+    return pa.array(list(words), pa.binary())
+
+
+def _places(words, known):
+    """Place of each word of an Arrow array in one of distinct words, -1 without one."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.index_in(words, value_set=known.cast(words.type)), -1).to_numpy()
+
+
+#: Words of more bytes than this are hashed one by one.
+LONG = 64
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, _CRC >> 1 ^ np.uint32(0xEDB88320), _CRC >> 1)
+
+
+def _crc32(words):
+    """CRC-32 of each word of an Arrow array: of all words by their first byte, then the
+    second, and so on, the longest words first."""
+    import pyarrow as pa
+
+    _, places, raw = words.buffers()
+    ends = np.frombuffer(places, np.int64 if pa.types.is_large_binary(words.type) else np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    raw, sizes = np.frombuffer(raw or b"", np.uint8), np.diff(ends)
+    order = np.argsort(LONG - np.minimum(sizes, LONG), kind="stable")
+    at, short = ends[:-1][order].astype(np.int64), np.minimum(sizes, LONG)
+    many = len(words) - np.cumsum(np.bincount(short, minlength=LONG + 1))[:LONG]  # words of more bytes than 0, 1, ...
+    crc = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for i, n in enumerate(many):
+        if not n:
+            break
+        now = crc[:n]
+        crc[:n] = _CRC[(now ^ raw[at[:n] + i]) & np.uint32(255)] ^ now >> np.uint32(8)
+    out = np.empty(len(words), np.uint32)
+    out[order] = ~crc
+    for i in np.flatnonzero(sizes > LONG):
+        out[i] = zlib.crc32(words[int(i)].as_buffer())
+    return out
 
 
 class LogBilinear:
@@ -276,23 +315,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over all tokens of docs(text), ends included; partly summed before the shuffle."""
 
     def run(batches):
-        from collections import Counter
-
         import pyarrow as pa
 
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "c"])
-
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                counts.update(text.lower().split())
-                counts[END] += 1
-                if len(counts) > 400_000:
-                    yield rows()
-                    counts.clear()
-        if counts:
-            yield rows()
+        held, n, ends = [], 0, 0
+        for batch in _joined(batches):
+            if not batch.num_rows:
+                continue
+            words, at, texts = _words(batch.column("text"))
+            held.append(pa.table([words.cast(pa.binary()), pa.array(np.bincount(at, minlength=len(words)), pa.int64())], names=["word", "c"]))
+            n, ends = n + len(words), ends + len(texts)
+            if n > 800_000:
+                held = [pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])]
+                n = held[0].num_rows
+                if n > 400_000:
+                    yield from held.pop().to_batches()
+                    n = 0
+        if ends:
+            held.append(pa.table([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["word", "c"]))
+            yield from pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"]).to_batches()
 
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -364,7 +404,7 @@ def _averaged(docs: DataFrame, vocabulary: Vocabulary, model: LogBilinear, rate:
         for batch in _joined(batches):
             if batch.num_rows:
                 words, at, counts = _words(batch.column("text"))
-                kept.append(_sequences(entries.of(words.to_pylist())[at], counts)[:3])
+                kept.append(_sequences(entries.of(words)[at], counts)[:3])
             if sum(len(k[2]) for k in kept) >= 8 * size:
                 n += _train(model, kept, rng, size)
                 kept = []
@@ -433,15 +473,15 @@ def score(docs: DataFrame, mod: int = 10) -> DataFrame:
         entries, m = Entries(named, slots), LogBilinear(unigram, K - 1).unpack(flat)
         m.unpack(own, m.OWN)
         stop_log = float(np.log10(head.get(END, 0) + 0.1))
+        known, held_counts = _array(head), np.array([*head.values(), -1], np.int64)  # the last for words without a place
         for whole in _joined(batches):
             for start in range(0, whole.num_rows, 2000):
                 batch = whole.slice(start, 2000)
                 distinct, at, counts = _words(batch.column("text"))
-                words = distinct.to_pylist()
-                entry = entries.of(words)
+                entry = entries.of(distinct)
                 a, b, w, ends = _sequences(entry[at], counts)
                 model = np.add.reduceat(m.log10(a, b, w) - shared[w], ends - counts - 1)
-                c = np.fromiter((head.get(word, -1) for word in words), np.int64, len(words))
+                c = held_counts[_places(distinct, known)]
                 row, found, log = np.repeat(np.arange(len(counts)), counts), c >= 0, np.log10(np.maximum(c, 0) + 0.1)
 
                 def total(values):
@@ -449,9 +489,9 @@ def score(docs: DataFrame, mod: int = 10) -> DataFrame:
 
                 # Words without a count here: (row, word) once, with how often.
                 rare = np.flatnonzero(~found[at])
-                tail, times = np.unique(row[rare] * np.int64(len(words)) + at[rare], return_counts=True)
-                edges = pa.array(np.searchsorted(tail, np.arange(len(counts) + 1) * np.int64(len(words))), pa.int32())
-                tail = distinct.take(pa.array(tail % max(len(words), 1)))
+                tail, times = np.unique(row[rare] * np.int64(len(distinct)) + at[rare], return_counts=True)
+                edges = pa.array(np.searchsorted(tail, np.arange(len(counts) + 1) * np.int64(len(distinct))), pa.int32())
+                tail = distinct.take(pa.array(tail % max(len(distinct), 1)))
                 columns = [counts + 1, total(found).astype(np.int64) + int(END in head), total(found * log) + stop_log, model, total(found * (entry >= entries.first) * log)]
                 lists = [pa.ListArray.from_arrays(edges, x) for x in (tail, pa.array(times, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *map(pa.array, columns), *lists], names=["doc_id", "held_out", "n_tokens", "known", "base", "model", "other", "tail", "times"])

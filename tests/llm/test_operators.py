@@ -244,6 +244,24 @@ def test_lm_words_are_those_between_ascii_white_space():
         assert counts.tolist() == [len(t.split()) for t in texts]
 
 
+def test_lm_entries_and_counts_of_arrow_words(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    words = sorted({rng.bytes(int(n)) for n in rng.integers(1, 2 * lm.LONG, 3000)} | {b"a", b"x" * lm.LONG, b"y" * 100_000})
+    named = {w: i + 1 for i, w in enumerate(words[::7])}
+    want = [named.get(w, len(named) + 1 + (zlib.crc32(w) & 255)) for w in words]
+    for column in (pa.array(words, pa.binary()), pa.array([b"before", *words], pa.large_binary()).slice(1)):
+        assert lm.Entries(named, 256).of(column).tolist() == want
+        assert lm._crc32(column).tolist() == [zlib.crc32(w) for w in words]
+    assert lm.Entries({}, 8).of(pa.array([], pa.binary())).tolist() == [] and lm.Entries({}, 8).of(pa.array([b"q"], pa.binary())).tolist() == [1 + (zlib.crc32(b"q") & 7)]
+    texts = [b"B a  b\x0bA a", b"", b" \t ", *(b" ".join(words[i::40]) for i in range(40))] * 300
+    counts = Counter(w for t in texts for w in [*t.lower().split(), lm.END])
+    got = lm.word_counts(spark.createDataFrame([(t,) for t in texts], "text binary").repartition(1)).collect()
+    assert {bytes(r["word"]): r["c"] for r in got} == counts and len(got) == len(counts)
+    assert lm.word_counts(spark.createDataFrame([], "text binary")).count() == 0
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     base, score = lm.score(docs).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
