@@ -128,3 +128,40 @@ print("found", sorted(map(tuple, {call}.collect())))
 """
     run = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True)
     assert f"found {known}" in run.stdout, run.stderr[-3000:]
+
+
+def test_pipeline_in_new_workers_gives_what_the_sql_of_its_stages_gives(spark, tmp_path):
+    import duckdb
+    import pandas as pd
+    from tokenizers import Tokenizer
+
+    from tessera.llm import queries
+
+    code = f"""
+from pyspark.sql import SparkSession
+import corpus_pipeline
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.python.worker.reuse", "false").getOrCreate()
+corpus_pipeline.run(spark, {SF!r}).write.parquet("{tmp_path}/out")
+"""
+    run = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True)
+    assert run.returncode == 0, run.stderr[-3000:]
+    known = [r["doc_id"] for r in queries.op4_language_id(spark, SF).collect() if r["lang_pred"] != "und" and r["score"] >= corpus_pipeline.MIN_SCORE]
+    con = duckdb.connect()
+    con.execute(f"create view benchmark as select * from '{SF}/benchmark.parquet'")
+
+    def keep(ids):
+        con.register("kept", pd.DataFrame({"doc_id": list(ids)}, dtype="int64"))
+        con.execute(f"create or replace table documents as select * from '{SF}/documents.parquet' semi join kept using (doc_id)")
+
+    keep(known)
+    keep(d for d, n, c in con.execute(queries.OP9_SQL).fetchall() if n == 0 or d == c)
+    keep(r[0] for r in con.execute(queries.OP3_SQL).fetchall() if not r[5])
+    times = {d: taken // size for d, size, _, _, taken in con.execute(queries.OP2_SQL).fetchall() if taken}
+    tokenizer, want, start = Tokenizer.from_file(queries.tokenizer_path()), [], 0
+    for d, text in con.execute("select doc_id, text from documents order by doc_id").fetchall():
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4") if d in times else []
+        for _ in range(times.get(d, 0)):
+            want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
+            start += len(ids)
+    got = spark.read.parquet(f"{tmp_path}/out").select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert want and sorted(map(tuple, got)) == want
